@@ -5,9 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from paysift.llm.common import table
 from paysift.llm.simhash import near_duplicates
+from paysift.llm.substring import dedup_substrings
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_substrings(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,5 +25,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, s, array_to_string(w[s:s + 12], ' ') AS win
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM d WHERE len(w) >= 13)),
+rep AS (SELECT doc_id, s FROM (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY win) AS lo FROM win) WHERE lo < doc_id),
+gone AS (SELECT DISTINCT doc_id, s + i AS p FROM rep, range(0, 13) AS t(i)),
+cut AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
+k AS (SELECT d.doc_id, w, coalesce(ps, []) AS ps FROM d LEFT JOIN cut USING (doc_id))
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(ps) AS BIGINT) AS n_removed,
+       sha256(coalesce(array_to_string([w[i] for i in range(1, len(w) + 1) if NOT list_contains(ps, i)], ' '), '')) AS kept_sha256
+FROM k
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql.strip() for name, sql in {"op3_substring_dedup": OP3_SQL}.items()}
