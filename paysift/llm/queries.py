@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 
 from paysift.llm.common import table
 from paysift.llm.decontaminate import matches
+from paysift.llm.mixing import mix
 from paysift.llm.simhash import near_duplicates
 from paysift.llm.substring import dedup_substrings
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_substrings(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -34,6 +39,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                  md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
+w AS (SELECT *, [3.0, 1.0, 2.0][place % 3 + 1]::DOUBLE AS weight FROM s),
+r AS (SELECT *, source_size / weight AS ratio, sum(source_size) OVER () AS total, sum(weight) OVER () AS weights,
+             coalesce(sum(source_size) OVER f, 0) AS full_size, coalesce(sum(weight) OVER f, 0) AS full_weight
+      FROM w WINDOW f AS (ORDER BY source_size / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, (1.5 * total - 2 * full_size)::DOUBLE / (weights - full_weight) AS level FROM r),
+lev AS (SELECT max(level) AS level, max(ratio) AS ratio FROM (SELECT level, ratio FROM l WHERE level <= 2 * ratio ORDER BY ratio, place LIMIT 1)),
+t AS (SELECT source, source_size, CASE WHEN lev.ratio IS NULL OR l.ratio < lev.ratio THEN 2.0::DOUBLE * source_size
+                                       ELSE least(2.0::DOUBLE * source_size, lev.level * weight) END AS target FROM l, lev),
+p AS (SELECT d.*, source_size, target, CAST(floor(target) AS BIGINT) AS budget,
+             coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       CAST(CASE WHEN source_size = 0 THEN 0 ELSE budget // source_size * size
+            + greatest(0, least(size, budget - budget // source_size * source_size - before)) END AS BIGINT) AS taken
+FROM p
+"""
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT doc_id, s, array_to_string(w[s:s + 12], ' ') AS win
@@ -65,5 +90,5 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op3_substring_dedup": OP3_SQL, "op8_benchmark_decontamination": OP8_SQL}
+    found = {"op2_source_mixing": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op8_benchmark_decontamination": OP8_SQL}
     return {name: sql.strip() for name, sql in found.items()}
