@@ -12,6 +12,7 @@ from paysift.llm.decontaminate import matches
 from paysift.llm.mixing import mix
 from paysift.llm.simhash import near_duplicates
 from paysift.llm.substring import dedup_substrings
+from paysift.llm.warc import archive_pages, digests
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(archive_pages(table(spark, sf_dir, "pages")))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -73,6 +78,14 @@ FROM k
 """
 
 
+OP5_SQL = """
+WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS payload_digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS lo FROM p GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id > lo THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id > lo THEN lo END AS refers_to
+FROM p JOIN f USING (payload_digest)
+"""
 _FOLD = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 OP8_SQL = f"""
 WITH d AS (SELECT doc_id, {_FOLD} AS w FROM documents),
@@ -90,5 +103,5 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op2_source_mixing": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op8_benchmark_decontamination": OP8_SQL}
+    found = {"op2_source_mixing": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op5_warc_round_trip": OP5_SQL, "op8_benchmark_decontamination": OP8_SQL}
     return {name: sql.strip() for name, sql in found.items()}
