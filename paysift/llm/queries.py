@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from paysift.llm.common import table
 from paysift.llm.decontaminate import matches
 from paysift.llm.mixing import mix
+from paysift.llm.pivots import top_products
 from paysift.llm.simhash import near_duplicates
 from paysift.llm.substring import dedup_substrings
 from paysift.llm.warc import archive_pages, digests
@@ -28,6 +29,10 @@ def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(archive_pages(table(spark, sf_dir, "pages")))
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -86,6 +91,14 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 100 AND page_id > lo THEN lo END AS refers_to
 FROM p JOIN f USING (payload_digest)
 """
+OP6_SQL = """
+WITH v AS (SELECT DISTINCT vec_id, [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
 _FOLD = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 OP8_SQL = f"""
 WITH d AS (SELECT doc_id, {_FOLD} AS w FROM documents),
@@ -103,5 +116,5 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op2_source_mixing": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op5_warc_round_trip": OP5_SQL, "op8_benchmark_decontamination": OP8_SQL}
+    found = {"op2_source_mixing": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op5_warc_round_trip": OP5_SQL, "op6_exact_top_k": OP6_SQL, "op8_benchmark_decontamination": OP8_SQL}
     return {name: sql.strip() for name, sql in found.items()}
