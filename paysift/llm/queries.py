@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from paysift.llm import langid, quality, toxicity
 from paysift.llm.common import table
 from paysift.llm.decontaminate import matches
+from paysift.llm.html import main_text
 from paysift.llm.mixing import mix
 from paysift.llm.pivots import top_products
 from paysift.llm.simhash import near_duplicates
@@ -45,6 +46,10 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(table(spark, sf_dir, "embeddings"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
