@@ -121,7 +121,7 @@ def candidates(index: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, n_words, n_hit, items (sorted ids), spans.
+    """One row per row of docs: id, key (xxhash64 of the text), n_words, n_hit, items (sorted ids), spans.
 
     Phrase matches are exact: on each candidate offset the item's whole term list is compared with the document's
     positions, and runs of window equal terms (or the whole of a shorter item) are hits. spans are (item, start,
@@ -141,7 +141,7 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str
     grouped = found.groupBy("_did", "_key").agg(F.collect_list(F.struct("item", "shift", "terms")).alias("c"))
     verified = verify(rows.join(grouped, ["_did", "_key"]).select("_did", "_key", "_text", "c"), window)
     return index.select("_did", "_key", "n_words").join(verified.dropDuplicates(["_did", "_key"]), ["_did", "_key"], "left").select(
-        F.nullif("_did", F.lit(LAST_ID)).alias("id"), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        F.nullif("_did", F.lit(LAST_ID)).alias("id"), F.col("_key").alias("key"), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"),
     )
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -211,11 +211,18 @@ def _evidence(rows: DataFrame, model: ToxicityModel) -> DataFrame:
     return rows.select("text", *others).mapInArrow(run, schema)
 
 
-def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: the id, held_out, score, predicted, segments (start, end, score; in tokens).
+def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """One row per row of docs: the id, held_out, score, predicted, segments (start, end, score; in tokens), and the
+    carried columns as c_0, c_1 and so on.
 
     Null and empty texts have no segments and the score of no evidence; repeated rows have equal results; a null id
     is not held out. Other columns are ignored; no rows give no rows.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(crc_mod(id_col, 5) == 0, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return _evidence(rows, model).select(F.col("id").alias(id_col), "held_out", F.col("probability").alias("score"), (F.col("probability") >= 0.5).cast("int").alias("predicted"), "segments")
+    names = [f"c_{i}" for i in range(len(carry))]
+    rows = docs.select(
+        F.col(id_col).alias("id"), F.coalesce(crc_mod(id_col, 5) == 0, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"),
+        *[F.col(c).alias(n) for c, n in zip(carry, names)],
+    )
+    found = _evidence(rows, model)
+    predicted = (F.col("probability") >= 0.5).cast("int").alias("predicted")
+    return found.select(F.col("id").alias(id_col), "held_out", F.col("probability").alias("score"), predicted, "segments", *names)
