@@ -79,11 +79,18 @@ class ToxicityModel:
     slope: float
 
     def evidence(self, raw: bytes | None, scores: _Scores) -> tuple[float, list[tuple[int, int, float]]]:
-        """-log of the expected number of segments as good as the best in a clean text of this length."""
+        """-log of the expected number of sets of segments as good as the best ones in a clean text of this length.
+
+        The r best segments count with their sum of decay * score - log(length), plus log(r!); r is the one that
+        tells most. -20 to 50.
+        """
         words = tokens(raw)
         found = segments(np.fromiter(map(scores.__getitem__, words), np.float64, len(words))) if words else []
-        best = max((s for _, _, s in found), default=0.0)
-        return min(self.decay * best - math.log(len(words) + 1), 50.0) if found else -10.0, found
+        if not found:
+            return -20.0, found
+        each = self.decay * np.sort([s for _, _, s in found])[::-1] - math.log(len(words) + 1)
+        sums = np.cumsum(each + np.log(np.arange(1, len(each) + 1)))
+        return float(np.clip(sums.max(), -20, 50)), found
 
     def probability(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.intercept + self.slope * evidence))))
