@@ -72,7 +72,7 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderkey") % 11 != 0, score).alias("score"), F.when(rule.isNotNull(), "rule").otherwise("model").alias("triggered_by"), F.lit("").alias("reason"), rule.alias("rule_name"),
         F.when(rule.isNotNull(), F.array(rule)).otherwise(F.array().cast("array<string>")).alias("matched_rules"), F.col("o_orderpriority").alias("model_version"), F.lit(0.5).alias("review_threshold"), F.lit(0.9).alias("block_threshold"),
         F.array().cast(schemas.DECISION["top_reasons"].dataType).alias("top_reasons"), F.create_map(F.lit("amount"), F.col("o_totalprice")).alias("features"),
-        (F.col("o_orderkey") % 1000 / 10).alias("latency_ms"), (F.col("o_orderkey") % 13 == 0).alias("degraded"), F.col("o_orderdate").cast("timestamp").alias("kafka_timestamp"),
+        (F.col("o_orderkey") % 1000 / 7).alias("latency_ms"), (F.col("o_orderkey") % 13 == 0).alias("degraded"), F.col("o_orderdate").cast("timestamp").alias("kafka_timestamp"),
     )
     # every fifth payment was tried before: the older attempt was an allow
     older = rows.where("transaction_id % 5 = 0").withColumns({"decided_at": F.col("decided_at") - F.expr("INTERVAL 1 HOUR"), "decision": F.lit("allow")})
