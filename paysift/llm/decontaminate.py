@@ -7,13 +7,14 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paysift.llm.common import LAST_ID, ordered_id, raw_texts, record_batch, write_table
 from paysift.llm.words import text_hashes
 
 WINDOW = 10
+SALTS = 16
 _SPANS = "array<struct<item:string,start:bigint,end:bigint>>"
 _COUNTS = pa.schema([("term", pa.int64()), ("n", pa.int64())])
 
@@ -107,6 +108,15 @@ def _postings(index: DataFrame) -> DataFrame:
     return index.where("size(terms) > 0").select("_did", "_key", F.explode(F.arrays_zip("terms", "positions")).alias("p")).select("_did", "_key", F.col("p.terms").alias("term"), F.col("p.positions").alias("pos"))
 
 
+def _salt() -> Column:
+    """What deals an item that many documents hold over SALTS keys of a join."""
+    return F.pmod(F.xxhash64("_did", "_key"), F.lit(SALTS)).cast("int")
+
+
+def _salted(items: DataFrame) -> DataFrame:
+    return items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def candidates(index: DataFrame, anchors: DataFrame) -> DataFrame:
     """(_did, _key, item, shift): offsets at which both of a window's rarest terms stand where the item has them."""
     places = anchors.select("item", F.explode(F.array(F.struct(F.col("q1").alias("q"), F.col("t1").alias("term")), F.struct(F.col("q2").alias("q"), F.col("t2").alias("term")))).alias("a")).select("item", "a.*").where("term IS NOT NULL").distinct()
@@ -115,9 +125,9 @@ def candidates(index: DataFrame, anchors: DataFrame) -> DataFrame:
         .groupBy("_did", "_key", "item", (F.col("pos") - F.col("q")).alias("shift"))
         .agg(F.collect_set("q").alias("qs"))
     )
-    pairs = anchors.groupBy("item").agg(F.collect_set(F.struct("q1", "q2")).alias("pairs"))
+    pairs = _salted(anchors.groupBy("item").agg(F.collect_set(F.struct("q1", "q2")).alias("pairs")))
     both = F.exists("pairs", lambda p: F.array_contains("qs", p.q1) & (p.q2.isNull() | F.coalesce(F.array_contains("qs", p.q2), F.lit(False))))
-    return seen.join(pairs, "item").where(both).select("_did", "_key", "item", "shift")
+    return seen.withColumn("salt", _salt()).join(pairs, ["item", "salt"]).where(both).select("_did", "_key", "item", "shift")
 
 
 def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -137,7 +147,7 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str
     anchors = write_table(window_anchors(queries, counts, window), "anchors")
     wanted = spark.sparkContext.broadcast(term_filter(anchors.select(F.explode(F.array("t1", "t2")).alias("term")).where("term IS NOT NULL")))
     index = write_table(build_index(rows, wanted), "postings")
-    found = candidates(index, anchors).join(queries, "item")
+    found = candidates(index, anchors).withColumn("salt", _salt()).join(_salted(queries), ["item", "salt"])
     grouped = found.groupBy("_did", "_key").agg(F.collect_list(F.struct("item", "shift", "terms")).alias("c"))
     verified = verify(rows.join(grouped, ["_did", "_key"]).select("_did", "_key", "_text", "c"), window)
     return index.select("_did", "_key", "n_words").join(verified.dropDuplicates(["_did", "_key"]), ["_did", "_key"], "left").select(
