@@ -27,7 +27,7 @@ _MARKS = frozenset(
     "newsletter subscribe subscription signup login paywall popup modal overlay alert footer masthead toolbar".split()
 )
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_NAME = re.compile(r"/?\s*([a-zA-Z][^\s/>]*)")
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _TAG_END = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*>""")
 _HOST = re.compile(r"^\s*[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 _CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
@@ -162,11 +162,11 @@ def parse(source: str) -> Page:
             end = source.find("-->", start + 4)
             at = len(source) if end < 0 else end + 3
             continue
-        if source[start + 1 : start + 2] in ("!", "?"):
+        name = _NAME.match(source, start + 1)
+        if source[start + 1 : start + 2] in ("!", "?") or source.startswith("</", start) and name is None:
             end = source.find(">", start)
             at = len(source) if end < 0 else end + 1
             continue
-        name = _NAME.match(source, start + 1)
         if name is None:
             keep("<")
             at = start + 1

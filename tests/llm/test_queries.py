@@ -1,0 +1,25 @@
+import duckdb
+import pytest
+
+from paysift.llm.queries import oracle_sql, queries
+from tests.conftest import SF
+
+TABLES = "documents embeddings pages benchmark labels".split()
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_equals_sql(spark, name):
+    db = duckdb.connect()
+    for t in TABLES:
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    got = queries()[name](spark, SF)
+    want = db.execute(oracle_sql()[name])
+    columns = sorted(got.columns)
+    names = [d[0] for d in want.description]
+    assert sorted(names) == columns
+    rows = [tuple(r[names.index(c)] for c in columns) for r in want.fetchall()]
+    assert sorted(map(str, (tuple(r[c] for c in columns) for r in got.collect()))) == sorted(map(str, rows))
+
+
+def test_one_query_an_operator():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 11))
