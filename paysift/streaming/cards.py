@@ -93,8 +93,11 @@ def stream_features(payments: DataFrame, card: str = "card_key", ttl_hours: floa
 
 
 def ingest_and_fold(bronze: DataFrame, bronze_path: str, features_path: str, checkpoints: str, once: bool = True) -> list[StreamingQuery]:
-    """Two queries over one stream of bronze rows: the bronze table and the features, each exactly once."""
-    day = stream_features(bronze).withColumn("event_date", F.to_date("event_time"))
+    """Two queries over one stream of bronze rows: the bronze table and the features, each exactly once.
+
+    With `once` they end with what is there, and cards are kept: a state that expires by the clock never lets a query end.
+    """
+    day = stream_features(bronze, ttl_hours=None if once else 48).withColumn("event_date", F.to_date("event_time"))
     return [append_stream(bronze, bronze_path, f"{checkpoints}/bronze", "event_date", once), append_stream(day, features_path, f"{checkpoints}/features", "event_date", once)]
 
 
