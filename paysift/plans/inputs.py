@@ -61,20 +61,23 @@ def silver_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def as_decisions(orders: DataFrame) -> DataFrame:
     """Orders as decisions: open ones allowed, pending ones reviewed, finished ones blocked."""
-    orders = table(spark, sf_dir, "orders")
     score = P.fraction(F.col("o_orderkey"), FRAUD_SEED)
     rule = F.when(F.col("o_totalprice") >= 400_000, "very_large").when(F.col("o_totalprice") >= 300_000, "large")
     made = F.when(F.col("o_orderstatus") == "F", "block").when(F.col("o_orderstatus") == "P", "review").otherwise("allow")
-    rows = orders.select(
+    return orders.select(
         F.col("o_orderkey").alias("transaction_id"), F.md5(F.col("o_custkey").cast("string")).alias("card_token"), F.col("o_orderdate").cast("timestamp").alias("decided_at"), made.alias("decision"),
         F.when(F.col("o_orderkey") % 11 != 0, score).alias("score"), F.when(rule.isNotNull(), "rule").otherwise("model").alias("triggered_by"), F.lit("").alias("reason"), rule.alias("rule_name"),
         F.when(rule.isNotNull(), F.array(rule)).otherwise(F.array().cast("array<string>")).alias("matched_rules"), F.col("o_orderpriority").alias("model_version"), F.lit(0.5).alias("review_threshold"), F.lit(0.9).alias("block_threshold"),
         F.array().cast(schemas.DECISION["top_reasons"].dataType).alias("top_reasons"), F.create_map(F.lit("amount"), F.col("o_totalprice")).alias("features"),
         (F.col("o_orderkey") % 1000 / 7).alias("latency_ms"), (F.col("o_orderkey") % 13 == 0).alias("degraded"), F.col("o_orderdate").cast("timestamp").alias("kafka_timestamp"),
     )
-    # every fifth payment was tried before: the older attempt was an allow
+
+
+def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as decisions; every fifth payment was tried an hour before, and allowed."""
+    rows = as_decisions(table(spark, sf_dir, "orders"))
     older = rows.where("transaction_id % 5 = 0").withColumns({"decided_at": F.col("decided_at") - F.expr("INTERVAL 1 HOUR"), "decision": F.lit("allow")})
     return rows.unionByName(older)
 

@@ -95,6 +95,13 @@ ORACLE: dict[str, str] = {
     "stream_card_features": _FEATURES,
     "stream_bronze": f"""WITH {_PAYMENTS} SELECT transaction_id, CAST(transaction_id % 3 AS INTEGER) AS kafka_partition, transaction_id * 2 + c AS kafka_offset, CAST(event_time AS DATE) AS event_date, card_key,
         round(CASE WHEN c = 1 THEN amount * 2 WHEN transaction_id % 7 = 0 THEN 0 ELSE amount END, 6) AS amount FROM payments, range(0, 2) AS t(c)""",
+    "stream_decisions": f"""WITH {_RULES}, y AS (SELECT *, CASE WHEN large THEN 'large' WHEN velocity THEN 'velocity' WHEN new_card THEN 'new_card' END AS rn FROM x)
+        SELECT transaction_id, CASE WHEN large THEN 'block' WHEN rn IS NOT NULL THEN 'review' ELSE 'allow' END AS decision, CASE WHEN rn IS NOT NULL THEN 'rule' ELSE 'default' END AS triggered_by, rn AS rule_name, true AS degraded FROM y""",
+    "stream_kpis": f"""WITH {_DECISIONS} SELECT CAST(decided_at AS DATE) AS decision_date, count(*) AS payments_scored, {_of("decision = 'allow'")} AS allowed, {_of("decision = 'review'")} AS sent_to_review, {_of("decision = 'block'")} AS blocked
+        FROM attempts GROUP BY 1 HAVING CAST(decided_at AS DATE) + 1 <= (SELECT max(decided_at) - INTERVAL 1 DAY FROM attempts)""",
+    "parsed_decisions": f"""WITH {_DECISIONS}, b AS (SELECT * FROM attempts UNION ALL SELECT * REPLACE (decided_at - INTERVAL 1 HOUR AS decided_at, 'allow' AS decision) FROM attempts WHERE transaction_id % 5 = 0)
+        SELECT transaction_id, decided_at, CAST(decided_at AS DATE) AS decision_date, decision, round(score, 9) AS score, (rule_name IS NOT NULL)::INT AS n_rules, amount FROM b""",
+    "card_states": f"WITH {_PAYMENTS} SELECT card_key, count(*) AS n, round(sum(amount), 2) AS total, count(*)::INTEGER AS n_recent, string_agg(DISTINCT device_info, ',' ORDER BY device_info) AS devices FROM payments GROUP BY card_key",
     "silver_first_arrivals": f"WITH {_SILVER} SELECT transaction_id, event_time, event_date, transaction_dt, card_token, round(amount, 6) AS amount, product_cd, r_emaildomain, device_info FROM silver",
     "gold": f"WITH {_SILVER}, {_features('silver')} SELECT transaction_id, event_time, event_date, transaction_dt, card_token, {', '.join(FEATURES)}, "
     + ", ".join(c if c in ("product_cd", "r_emaildomain") else f"CAST(NULL AS {'VARCHAR' if c in ('card4', 'card6', 'p_emaildomain', 'device_type') else 'DOUBLE'}) AS {c}" for c in PASSTHROUGH) + " FROM f",

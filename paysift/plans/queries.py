@@ -74,6 +74,40 @@ def stream_bronze(spark: SparkSession, sf: str) -> DataFrame:
     return bronze.select("transaction_id", "kafka_partition", "kafka_offset", "event_date", "card_key", F.round("amount", 6).alias("amount"))
 
 
+def stream_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules on score-time features, without a model, in one streaming query."""
+    features = cards.stream_features(I.as_payments(_event_stream(spark, sf)), ttl_hours=None, tracked=1000)
+    made = cards.decide_stream(features, _RULES, 0.6, 0.95)
+    return _finish(made.select("transaction_id", "decision", "triggered_by", "rule_name", "degraded"), "decisions", store=True)
+
+
+def stream_kpis(spark: SparkSession, sf: str) -> DataFrame:
+    """Days that the watermark has closed."""
+    stream = spark.readStream.schema(I.table(spark, sf, "orders").schema).parquet(f"{sf}/orders.parque[t]")
+    return _finish(cards.kpi_stream(I.as_decisions(stream)), "kpis")
+
+
+def parsed_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    rows = I.decisions(spark, sf)
+    sent = rows.select(F.lit(None).cast("binary").alias("key"), F.to_json(F.struct(*[c for c in rows.columns if c != "kafka_timestamp"])).cast("binary").alias("value"), F.col("kafka_timestamp").alias("timestamp"))
+    return S.parse_decisions(sent).select("transaction_id", "decided_at", "decision_date", "decision", F.round("score", 9).alias("score"), F.size("matched_rules").alias("n_rules"), F.col("features")["amount"].alias("amount"))
+
+
+def prediction_drift(spark: SparkSession, sf: str) -> DataFrame:
+    return DR.prediction_drift(R.window_split(D.latest_attempts(I.decisions(spark, sf)).select("transaction_id", "decided_at", "score"), time="decided_at"))
+
+
+def card_states(spark: SparkSession, sf: str) -> DataFrame:
+    """A day's state of each card, to JSON and back."""
+    last = F.max(F.col("event_time").cast("long"))
+    rows = I.payments(spark, sf).groupBy("card_key").agg(F.struct(
+        F.count("*").alias("n"), F.sum("amount").alias("total"), last.alias("last"), F.array_sort(F.collect_list(F.struct(F.col("event_time").cast("long").alias("second"), F.col("amount").alias("amount")))).alias("recent"),
+        F.array_sort(F.collect_set("device_info")).alias("devices"), F.array_sort(F.collect_set("r_emaildomain")).alias("domains"),
+    ).alias("state"))
+    back = cards.decode_state(cards.encode_state(F.col("state")))
+    return rows.select("card_key", back.alias("s")).select("card_key", "s.n", F.round("s.total", 2).alias("total"), F.size("s.recent").alias("n_recent"), F.array_join("s.devices", ",").alias("devices"))
+
+
 def silver_first_arrivals(spark: SparkSession, sf: str) -> DataFrame:
     bronze = S.parse_payment_events(I.as_messages(I.table(spark, sf, "events")))
     return LA.to_silver(bronze, I.SALT).select("transaction_id", "event_time", "event_date", "transaction_dt", "card_token", F.round("amount", 6).alias("amount"), "product_cd", "r_emaildomain", "device_info")
@@ -220,15 +254,16 @@ def unexplained_decisions(spark: SparkSession, sf: str) -> DataFrame:
     return D.unexplained(_facts(spark, sf)).select("transaction_id", "decision", "triggered_by")
 
 
+_RULES = {"rules": [
+    {"name": "velocity", "action": "review", "when": {"all": [{"field": "card_txn_count_24h", "op": ">=", "value": 8}]}},
+    {"name": "new_card", "action": "review", "when": {"all": [{"field": "card_is_new", "op": "==", "value": 1.0}, {"field": "amount", "op": ">", "value": 50}]}},
+    {"name": "large", "action": "block", "when": {"any": [{"field": "amount", "op": ">=", "value": 200}, {"field": "absent", "op": "not_null"}]}},
+    {"name": "kinds", "action": "review", "when": {"all": [{"field": "device_info", "op": "in", "value": ["purchase", "refund"]}, {"field": "r_emaildomain", "op": "not_in", "value": ["1", "2", "3"]}, {"field": "amount", "op": "<", "value": 5}]}},
+]}
+
+
 def _ruled(spark: SparkSession, sf: str) -> DataFrame:
-    rows = FE.add_card_features(I.payments(spark, sf), "card_key")
-    config = {"rules": [
-        {"name": "velocity", "action": "review", "when": {"all": [{"field": "card_txn_count_24h", "op": ">=", "value": 8}]}},
-        {"name": "new_card", "action": "review", "when": {"all": [{"field": "card_is_new", "op": "==", "value": 1.0}, {"field": "amount", "op": ">", "value": 50}]}},
-        {"name": "large", "action": "block", "when": {"any": [{"field": "amount", "op": ">=", "value": 200}, {"field": "absent", "op": "not_null"}]}},
-        {"name": "kinds", "action": "review", "when": {"all": [{"field": "device_info", "op": "in", "value": ["purchase", "refund"]}, {"field": "r_emaildomain", "op": "not_in", "value": ["1", "2", "3"]}, {"field": "amount", "op": "<", "value": 5}]}},
-    ]}
-    return RU.apply_rules(rows, config)
+    return RU.apply_rules(FE.add_card_features(I.payments(spark, sf), "card_key"), _RULES)
 
 
 def rules(spark: SparkSession, sf: str) -> DataFrame:

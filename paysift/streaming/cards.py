@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -92,6 +92,22 @@ def stream_features(payments: DataFrame, card: str = "card_key", ttl_hours: floa
     return rows.groupBy("card").transformWithStateInPandas(CardProcessor(ttl_hours, tracked), OUTPUT, "Append", "None" if ttl_hours is None else "ProcessingTime")
 
 
+def encode_state(state: Column) -> Column:
+    """A card state as JSON: times as they are, amounts to 4 places, for export to other stores."""
+    recent = F.transform(state["recent"], lambda r: F.struct(r["second"].alias("second"), F.round(r["amount"], 4).alias("amount")))
+    return F.to_json(F.struct(state["n"].alias("n"), F.round(state["total"], 4).alias("total"), state["last"].alias("last"), recent.alias("recent"), state["devices"].alias("devices"), state["domains"].alias("domains")))
+
+
+def decode_state(text: Column) -> Column:
+    """The state that a JSON text holds; an empty one if it holds none."""
+    held = F.from_json(text, STATE)
+    strings = F.array().cast("array<string>")
+    return F.struct(
+        F.coalesce(held["n"], F.lit(0)).alias("n"), F.coalesce(held["total"], F.lit(0.0)).alias("total"), held["last"].alias("last"),
+        F.coalesce(held["recent"], F.array().cast("array<struct<second:bigint,amount:double>>")).alias("recent"), F.coalesce(held["devices"], strings).alias("devices"), F.coalesce(held["domains"], strings).alias("domains"),
+    )
+
+
 def ingest_and_fold(bronze: DataFrame, bronze_path: str, features_path: str, checkpoints: str, once: bool = True) -> list[StreamingQuery]:
     """Two queries over one stream of bronze rows: the bronze table and the features, each exactly once.
 
