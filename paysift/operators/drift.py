@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paysift.operators.ranking import running_sums
+from paysift.storage import write_table
 
 SMALL, FEW_VALUES = 1000, 5
 
@@ -74,6 +75,7 @@ def drift(rows: DataFrame, columns: Sequence[str], part: str = "part", share: fl
     columns = [c for c in columns if c in rows.columns]
     if not columns:
         raise ValueError("the windows share no columns")
+    rows = write_table(rows.select(part, *columns), "windows")
     numeric = [c for c in columns if isinstance(rows.schema[c].dataType, T.NumericType)]
     found = {r["column"]: r for r in numeric_distances(rows, numeric, part).collect()} if numeric else {}
     few = [c for c in columns if c not in found or found[c]["distinct"] <= FEW_VALUES]
