@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paysift import schemas
 from paysift.functions import payments as P
 from paysift.operators import cases as C
 from paysift.operators import decisions as D
