@@ -55,11 +55,3 @@ def sliding_min(values: np.ndarray, size: int) -> np.ndarray:
         step = size - span
         out = np.minimum(out[:-step], out[step:])
     return out
-
-
-def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
-    """Which of n positions the runs of length at starts cover."""
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + length, n), -1)
-    return np.cumsum(edge[:n]) > 0
