@@ -202,3 +202,11 @@ ORACLE: dict[str, str] = {
     "model_matrix": f"""WITH {_PAYMENTS}, {_features('payments')} SELECT transaction_id, amount, card_is_new, CAST(NULL AS DOUBLE) AS "C1", CASE WHEN product_cd = 'click' THEN 'mobile' WHEN product_cd = 'view' THEN 'missing' ELSE 'other' END AS device_type,
         CASE WHEN r_emaildomain IS NULL THEN 'missing' ELSE 'other' END AS r_emaildomain, 'missing' AS p_emaildomain FROM f""",
 }
+
+#: The same SQL without the filters that leave cases and payments out.
+_WHOLE = {_COSINE: _COSINE.replace(" WHERE q.vec_id % 50 = 0", ""), _REVIEWS: _REVIEWS.replace(" WHERE transaction_id % 4 = 0", "")}
+for _name in ("nearest_cases", "retrieval_precision", "agreement_rate", "review_feedback", "recent_reviews"):
+    _sql = ORACLE[_name]
+    for _part, _all in _WHOLE.items():
+        _sql = _sql.replace(_part, _all)
+    ORACLE[f"{_name}_all"] = _sql

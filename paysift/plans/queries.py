@@ -348,12 +348,23 @@ def nearest_cases(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
+def nearest_cases_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbours of every case; nearest_cases has those of a fiftieth of them."""
+    stored = I.cases(spark, sf)
+    return C.nearest(stored, stored).withColumn("similarity", F.round("similarity", 6))
+
+
 def retrieval_precision(spark: SparkSession, sf: str) -> DataFrame:
     stored = I.cases(spark, sf)
     out = C.retrieval_precision(C.nearest(stored.where("transaction_id % 50 = 0"), stored), stored)
     return out.withColumn("precision", F.round("precision", 6))
 
 
+def retrieval_precision_all(spark: SparkSession, sf: str) -> DataFrame:
+    stored = I.cases(spark, sf)
+    return C.retrieval_precision(C.nearest(stored, stored), stored).withColumn("precision", F.round("precision", 6))
+
+
 def stored_embedders(spark: SparkSession, sf: str) -> DataFrame:
     return C.stored_embedders(I.cases(spark, sf))
 
@@ -366,24 +377,45 @@ def case_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return C.upsert(latest, new.unionByName(extra)).drop("card_token")
 
 
-def _reviews(spark: SparkSession, sf: str) -> DataFrame:
-    rows = D.latest_attempts(I.decisions(spark, sf)).where("transaction_id % 4 = 0")
+def _reviews(spark: SparkSession, sf: str, part: str = "transaction_id % 4 = 0") -> DataFrame:
+    rows = D.latest_attempts(I.decisions(spark, sf)).where(part)
     return rows.select("transaction_id", F.col("decided_at").alias("reviewed_at"), F.lit("a").alias("analyst"), F.when(F.col("transaction_id") % 8 == 0, "fraud").otherwise("legitimate").alias("verdict"), F.lit("").alias("note"), F.col("decision").alias("platform_decision"), "model_version")
 
 
+def _agreement(reviews: DataFrame) -> DataFrame:
+    return C.agreement_rate(reviews).select(F.round("agreement_rate", 9).alias("agreement_rate"))
+
+
 def agreement_rate(spark: SparkSession, sf: str) -> DataFrame:
-    return C.agreement_rate(_reviews(spark, sf)).select(F.round("agreement_rate", 9).alias("agreement_rate"))
+    return _agreement(_reviews(spark, sf))
 
 
-def review_feedback(spark: SparkSession, sf: str) -> DataFrame:
+def agreement_rate_all(spark: SparkSession, sf: str) -> DataFrame:
+    """With a review of every payment; agreement_rate has one of every fourth. So with the next two."""
+    return _agreement(_reviews(spark, sf, "true"))
+
+
+def _feedback(spark: SparkSession, sf: str, reviews: DataFrame) -> DataFrame:
     facts = D.latest_attempts(I.decisions(spark, sf)).select("transaction_id", "card_token", F.col("decided_at").alias("occurred_at"), F.col("features")["amount"].alias("amount"), "features")
-    return C.cases_from_reviews(_reviews(spark, sf), facts).select("transaction_id", "is_fraud", "decision", "resolution", "description")
+    return C.cases_from_reviews(reviews, facts).select("transaction_id", "is_fraud", "decision", "resolution", "description")
+
+
+def review_feedback(spark: SparkSession, sf: str) -> DataFrame:
+    return _feedback(spark, sf, _reviews(spark, sf))
+
+
+def review_feedback_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _feedback(spark, sf, _reviews(spark, sf, "true"))
 
 
 def recent_reviews(spark: SparkSession, sf: str) -> DataFrame:
     return C.recent_reviews(_reviews(spark, sf)).select("transaction_id", "reviewed_at", "verdict")
 
 
+def recent_reviews_all(spark: SparkSession, sf: str) -> DataFrame:
+    return C.recent_reviews(_reviews(spark, sf, "true")).select("transaction_id", "reviewed_at", "verdict")
+
+
 def numbers_in_texts(spark: SparkSession, sf: str) -> DataFrame:
     rows = I.table(spark, sf, "conversations").select("conv_id", "turn", RE.numbers_in(F.col("text")).alias("numbers"))
     return rows.select("conv_id", "turn", F.size("numbers").alias("n"), F.round(F.aggregate("numbers", F.lit(0.0), lambda s, x: s + x), 2).alias("total"))
