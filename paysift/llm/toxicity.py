@@ -52,9 +52,13 @@ class _Scores(dict):
 
 
 def token_scores(words: list[bytes], scores: _Scores) -> np.ndarray:
-    """Scores in text order; the n-th time that a text repeats a token of positive score counts an n-th."""
-    found = np.fromiter(map(scores.__getitem__, words), np.float64, len(words))
-    times: Counter[bytes] = Counter()
+    """Scores in text order."""
+    return np.fromiter(map(scores.__getitem__, words), np.float64, len(words))
+
+
+def repeats_discounted(words: list[bytes], each: np.ndarray) -> np.ndarray:
+    """The scores with the n-th time that a text repeats a token of positive score at an n-th."""
+    found, times = each.copy(), Counter()
     for i in np.flatnonzero(found > 0).tolist():
         times[words[i]] += 1
         found[i] /= times[words[i]]
@@ -86,22 +90,26 @@ class ToxicityModel:
     table: dict[int, float]  # feature hash to log-odds; at most table_size entries
     drift: float
     decay: float  # lambda of the extreme-value distribution of maximal segment scores
+    document_decay: float  # the same where repeats of a token count less
     intercept: float
     slope: float
 
     def evidence(self, raw: bytes | None, scores: _Scores) -> tuple[float, list[tuple[int, int, float]]]:
-        """-log of the expected number of sets of segments as good as the best ones in a clean text of this length.
+        """-log of the expected number of sets of segments as good as the best ones in a clean text of this length,
+        and the segments of the text that are significant by themselves.
 
-        The r best segments count with their sum of decay * score - log(length), plus log(r!); r is the one of 1 to
-        5 that tells most. -20 to 50.
+        Of segments found with repeats discounted the r best count with their sum of decay * score - log(length), plus
+        log(r!); r is the one that tells most. -20 to 50. The significant segments have the full score of each token.
         """
         words = tokens(raw)
-        found = segments(token_scores(words, scores)) if words else []
-        if not found:
-            return -20.0, found
-        each = self.decay * np.sort([s for _, _, s in found])[::-1][:5] - math.log(len(words) + 1)
-        sums = np.cumsum(each + np.log(np.arange(1, len(each) + 1)))
-        return float(np.clip(sums.max(), -20, 50)), found
+        each = token_scores(words, scores)
+        if not (each > 0).any():
+            return -20.0, []
+        limit = (3 + math.log(len(words))) / self.decay  # about one such segment in twenty clean texts
+        passages = [x for x in segments(each) if x[2] >= limit]
+        best = np.sort([s for _, _, s in segments(repeats_discounted(words, each))])[::-1]
+        sums = np.cumsum(self.document_decay * best - math.log(len(words) + 1) + np.log(np.arange(1, len(best) + 1)))
+        return float(np.clip(sums.max(), -20, 50)), passages
 
     def probability(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.intercept + self.slope * evidence))))
@@ -163,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 20_000, table_size: int
     totals = learn.agg(F.coalesce(F.sum((F.col("label") > 0).cast("long")), F.lit(0)), F.count("*")).first()
     n_toxic, n_clean = totals[0], totals[1] - totals[0]
     if not n_toxic or not n_clean:
-        return ToxicityModel({}, drift, 1.0, -50.0, 0.0)
+        return ToxicityModel({}, drift, 1.0, 1.0, -50.0, 0.0)
     counts = feature_counts(learn).where("toxic >= 2")
     share, all_share = (F.col("toxic") + F.col("clean")) * prior, (n_toxic + n_clean) * prior
     odds = lambda n, of: F.log((F.col(n) + share) / (of + all_share - F.col(n) - share))
@@ -172,36 +180,42 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 20_000, table_size: int
     )
     top = scored.where((F.col("z") >= least_z) & (F.col("odds") >= least_odds)).orderBy(F.desc("z"), "feature").limit(table_size).select("feature", "odds").toArrow()
     table = dict(zip(top.column("feature").to_pylist(), top.column("odds").to_pylist()))
-    model = ToxicityModel(table, drift, 1.0, 0.0, 1.0)
-    spread = _score_spread(sample.where("label = 0"), model)
-    model = ToxicityModel(table, drift, _decay(*spread), 0.0, 1.0)
+    model = ToxicityModel(table, drift, 1.0, 1.0, 0.0, 1.0)
+    full, discounted = _score_spread(sample.where("label = 0"), model)
+    model = ToxicityModel(table, drift, _decay(*full), _decay(*discounted), 0.0, 1.0)
     found = _evidence(check, model).select("evidence", "label").toArrow()
     x, y = found.column("evidence").to_numpy(), (found.column("label").to_numpy() > 0).astype(float)
     intercept, slope = _logistic(x, y) if 0 < y.sum() < len(y) else (0.0, 1.0)
-    return ToxicityModel(table, drift, model.decay, intercept, slope)
+    return ToxicityModel(table, drift, model.decay, model.document_decay, intercept, slope)
 
 
-def _score_spread(rows: DataFrame, model: ToxicityModel) -> tuple[np.ndarray, np.ndarray]:
-    """Scores to half a unit and their token counts, with one token in all at every score that the table has."""
+def _score_spread(rows: DataFrame, model: ToxicityModel) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Scores to half a unit and their token counts, with one token in all at every score that the table has: of full
+    scores, then with repeats discounted."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = _Scores(shared.value.table, shared.value.drift)
         for batch in batches:
-            found = [np.zeros(0, np.int64)]
+            found: tuple[list[np.ndarray], list[np.ndarray]] = ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)])
             for raw in raw_texts(batch.column(0)):
                 words = tokens(raw)
-                s = token_scores(words, scores)
-                found.append(np.round(np.where(s > 0, 2 * s, 0)).astype(np.int64))
-            values, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], names=["value", "n"])
-
-    rows = rows.select("text").mapInArrow(run, "value long, n long").groupBy("value").agg(F.sum("n").alias("n")).toArrow()
-    counts = dict(zip(rows.column("value").to_pylist(), rows.column("n").to_pylist()))
-    for odds in model.table.values():
-        counts.setdefault(round(2 * odds), 1)
-    values = np.array(list(counts), float)
-    return np.where(values > 0, values / 2, -model.drift), np.array(list(counts.values()), float)
+                full = token_scores(words, scores)
+                for kind, s in enumerate((full, repeats_discounted(words, full))):
+                    found[kind].append(np.round(np.where(s > 0, 2 * s, 0)).astype(np.int64))
+            for kind in (0, 1):
+                values, n = np.unique(np.concatenate(found[kind]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind)), pa.array(values), pa.array(n)], names=["kind", "value", "n"])
+
+    rows = rows.select("text").mapInArrow(run, "kind long, value long, n long").groupBy("kind", "value").agg(F.sum("n").alias("n")).toArrow()
+    spreads = []
+    for kind in (0, 1):
+        counts = {v: n for k, v, n in zip(*[rows.column(c).to_pylist() for c in ("kind", "value", "n")]) if k == kind}
+        for odds in model.table.values():
+            counts.setdefault(round(2 * odds), 1)
+        values = np.array(list(counts), float)
+        spreads.append((np.where(values > 0, values / 2, -model.drift), np.array(list(counts.values()), float)))
+    return spreads
 
 
 def _evidence(rows: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -219,8 +233,7 @@ def _evidence(rows: DataFrame, model: ToxicityModel) -> DataFrame:
             for raw in raw_texts(batch.column(0)):
                 e, found = m.evidence(raw, scores)
                 evidence.append(e)
-                limit = (3 + math.log(len(raw or b"") + 1)) / m.decay  # about one such segment in twenty clean texts
-                passages.append([{"start": a, "end": b, "score": s} for a, b, s in found if s >= limit])
+                passages.append([{"start": a, "end": b, "score": s} for a, b, s in found])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[1:], pa.array(evidence, pa.float64()), pa.array([m.probability(e) for e in evidence], pa.float64()), pa.array(passages, kind)],
                 names=[*others, "evidence", "probability", "segments"],
