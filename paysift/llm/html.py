@@ -20,6 +20,7 @@ _CONTAINERS = frozenset("body main article section div td".split())
 _DROPPED = frozenset("nav aside footer form button menu dialog head".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 _SAFE = frozenset("html body main article".split())
+_WHOLE = frozenset("main article".split())
 #: Words of class and id names that mark menus, adverts, notices, side matter and reader comments.
 _MARKS = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs pagination pager "
@@ -81,16 +82,41 @@ class Page:
         total = sum(strong.values())
         return [(p, s / total) for p, s in strong.items()]
 
+    def ancestors(self, node: int) -> list[int]:
+        """The node and what it is in, innermost first; the last is the root."""
+        found = [node]
+        while found[-1] > 0:
+            found.append(self.nodes[found[-1]].parent)
+        return found
+
+    def widened(self, chosen: set[int], voted: set[int]) -> set[int]:
+        """Chosen containers as whole articles: each as its nearest article or main, with what the page votes for in the
+        same one. Without any, the innermost element around them and what the page votes for below its body."""
+        outer = {n: [a for a in self.ancestors(n) if self.nodes[a].tag in _WHOLE] for n in chosen | voted}
+        if any(outer[n] for n in chosen):
+            around = {a for n in chosen for a in outer[n]}
+            return {(outer[n] or [n])[0] for n in chosen | {v for v in voted if around & set(outer[v])}}
+        inside = chosen | {v for v in voted if self.nodes[v].tag != "body" and not outer[v]}
+        if inside == chosen:
+            return chosen
+        chains = [self.ancestors(n) for n in inside]
+        shared = set.intersection(*map(set, chains))
+        return {next(n for n in chains[0] if n in shared)}
+
     def text(self, paths: list[str] | None) -> str:
-        """Blocks under the first of the host's paths that the page has, or under its own best container."""
+        """Blocks of the article around the first of the host's paths that the page has, or around its own best container."""
         here: dict[str, set[int]] = {}
         for node in {c for block in self.blocks for c in self.containers(block[0])}:
             here.setdefault(self.path(node), set()).add(node)
         chosen = next((here[p] for p in paths or [] if p in here), None)
+        strong = {p for p, _ in self.votes()}
         if chosen is None:
             own = self.scores()
             chosen = {max(own, key=lambda n: (own[n], -n))} if own else {0}
-        return "\n".join(text for node, text, _ in self.blocks if 0 in chosen or any(c in chosen for c in self.containers(node)))
+        else:
+            strong &= set(paths or [])
+        chosen = self.widened(chosen, {n for p in strong for n in here[p]})
+        return "\n".join(text for node, text, _ in self.blocks if not chosen.isdisjoint(self.ancestors(node)))
 
 
 def _step(tag: str, classes: list[str]) -> str:
@@ -239,7 +265,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """One row per row of pages: the id, the url, text, n_chars.
 
     Pages vote for container paths by host, and each is read again by the first path of its host that it has, or by its own
-    best container. Null and empty html and pages without text have an empty text; a null url is a host of its own; repeated
+    best container, either widened to the article it is in. Null and empty html and pages without text have an empty text; a null url is a host of its own; repeated
     rows vote as often as they come. Other columns are ignored; no rows give no rows.
     """
     rows = _rows(pages, id_col, url_col, html_col)
