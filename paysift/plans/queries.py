@@ -107,6 +107,20 @@ def card_states(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("card_key", back.alias("s")).select("card_key", "s.n", F.round("s.total", 2).alias("total"), F.size("s.recent").alias("n_recent"), F.array_join("s.devices", ",").alias("devices"))
 
 
+def card_day_states(spark: SparkSession, sf: str) -> DataFrame:
+    """The state of each card with its last 24 hours, as the stream keeps it, to JSON and back. Payments of a second are
+    one entry, so no card has more than 86,401."""
+    rows = I.payments(spark, sf).withColumn("second", F.col("event_time").cast("long"))
+    cards_ = rows.groupBy("card_key").agg(F.count("*").alias("n"), F.sum("amount").alias("total"), F.max("second").alias("last"), F.array_sort(F.collect_set("device_info")).alias("devices"), F.array_sort(F.collect_set("r_emaildomain")).alias("domains"))
+    seconds = rows.groupBy("card_key", "second").agg(F.sum("amount").alias("amount"))
+    near = seconds.join(cards_.select("card_key", "last"), "card_key").where(F.col("second") >= F.col("last") - FE.DAY)
+    recent = near.groupBy("card_key").agg(F.array_sort(F.collect_list(F.struct("second", "amount"))).alias("recent"))
+    state = F.struct("n", "total", "last", "recent", "devices", "domains")
+    back = cards.decode_state(cards.encode_state(state))
+    states = cards_.join(recent, "card_key").select("card_key", back.alias("s"))
+    return states.select("card_key", "s.n", F.round("s.total", 2).alias("total"), F.size("s.recent").alias("n_recent"), F.array_join("s.devices", ",").alias("devices"))
+
+
 def silver_first_arrivals(spark: SparkSession, sf: str) -> DataFrame:
     bronze = S.parse_payment_events(I.as_messages(I.table(spark, sf, "events")))
     return LA.to_silver(bronze, I.SALT).select("transaction_id", "event_time", "event_date", "transaction_dt", "card_token", F.round("amount", 6).alias("amount"), "product_cd", "r_emaildomain", "device_info")

@@ -18,3 +18,14 @@ def test_every_case_is_searched(spark):
 def test_every_payment_is_reviewed(spark):
     paid = {r.transaction_id for r in D.latest_attempts(I.decisions(spark, SF)).select("transaction_id").collect()}
     assert {r.transaction_id for r in QUERIES["review_feedback_all"](spark, SF).collect()} == paid
+
+
+def test_day_state_leaves_older_payments_out(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    last = datetime(2023, 6, 3)
+    times = [last - timedelta(days=2), last - timedelta(seconds=86_401), last - timedelta(seconds=86_400), last, last, last]
+    rows = [(i, t, 7, "view", 1.5, '{"k": 1}') for i, t in enumerate(times)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    (got,) = QUERIES["card_day_states"](spark, str(tmp_path)).collect()
+    assert (got.n, got.total, got.n_recent) == (6, 9.0, 2)
