@@ -212,3 +212,5 @@ for _name in ("nearest_cases", "retrieval_precision", "agreement_rate", "review_
     for _part, _all in _WHOLE.items():
         _sql = _sql.replace(_part, _all)
     ORACLE[f"{_name}_all"] = _sql
+
+ORACLE["tuned_thresholds_all"] = ORACLE["tuned_thresholds"].replace("i / 20.0::DOUBLE for i in range(0, 21)", "i / 100.0::DOUBLE for i in range(0, 101)")

@@ -315,11 +315,20 @@ def expected_cost(spark: SparkSession, sf: str) -> DataFrame:
     return E.expected_cost(_scored(spark, sf), 0.5, 0.8).select(*[F.round(c, 1).alias(c) for c in ("missed_fraud_cost", "review_cost", "false_block_cost", "expected_cost")])
 
 
-def tuned_thresholds(spark: SparkSession, sf: str) -> DataFrame:
-    out = E.tune_thresholds(_scored(spark, sf).withColumn("amount", F.col("amount") / 10_000), grid=21)
+def _tuned(spark: SparkSession, sf: str, **given: int) -> DataFrame:
+    out = E.tune_thresholds(_scored(spark, sf).withColumn("amount", F.col("amount") / 10_000), **given)
     return out.select(*[F.round(c, 6).alias(c) for c in ("review_threshold", "block_threshold")], F.round("expected_cost", 3).alias("expected_cost"), F.round("baseline_cost", 3).alias("baseline_cost"))
 
 
+def tuned_thresholds(spark: SparkSession, sf: str) -> DataFrame:
+    return _tuned(spark, sf, grid=21)
+
+
+def tuned_thresholds_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Over the operator's own 101 quantiles; tuned_thresholds has 21."""
+    return _tuned(spark, sf)
+
+
 def class_weight(spark: SparkSession, sf: str) -> DataFrame:
     return E.class_weight(I.chargebacks(spark, sf)).select(F.round("positive_weight", 9).alias("positive_weight"))
 
@@ -467,7 +476,7 @@ def trained_model(spark: SparkSession, sf: str) -> DataFrame:
 def explained_decisions(spark: SparkSession, sf: str) -> DataFrame:
     rows = FE.add_card_features(I.payments(spark, sf), "card_key").withColumn("is_fraud", (F.col("amount") > 120).cast("int"))
     matrix = MO.model_matrix(rows, keep=("transaction_id", "is_fraud"))
-    model = MO.fit(matrix, rounds=10)
+    model = MO.fit(matrix)
     scored = model.contributions(model.score(matrix))
     return MO.top_reasons(scored, flagged=F.col("model_score") >= 0.5).select("transaction_id", "model_score", "top_reasons")
 

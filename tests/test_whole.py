@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from paysift.operators import decisions as D
+from paysift.operators import model as MO
 from paysift.plans import inputs as I
 from paysift.plans.queries import QUERIES
 from tests.conftest import SF
@@ -29,3 +30,14 @@ def test_day_state_leaves_older_payments_out(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
     (got,) = QUERIES["card_day_states"](spark, str(tmp_path)).collect()
     assert (got.n, got.total, got.n_recent) == (6, 9.0, 2)
+
+
+def test_finer_thresholds_cost_no_more(spark):
+    coarse, fine = (QUERIES[n](spark, SF).first() for n in ("tuned_thresholds", "tuned_thresholds_all"))
+    assert fine.expected_cost < coarse.expected_cost and fine.baseline_cost == coarse.baseline_cost
+
+
+def test_reasons_come_from_a_whole_fit(spark, monkeypatch):
+    given, fit = [], MO.fit
+    monkeypatch.setattr(MO, "fit", lambda *a, **k: given.append(k) or fit(*a, **k))
+    assert QUERIES["explained_decisions"](spark, SF).count() > 0 and given == [{}]
