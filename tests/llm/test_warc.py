@@ -46,3 +46,46 @@ def test_files_are_gzip_members(spark, tmp_path):
 
 def test_nothing(spark):
     assert digests(archive_pages(frame(spark).where("false"))).count() == 0
+
+
+def test_each_file_is_read_by_a_task(spark):
+    pages = spark.range(200).selectExpr("id AS page_id", "'u' AS url", "repeat(cast(id AS string), 100) AS html")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = archive_pages(pages)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    n = files.count()
+    assert n > 1 and read_archives(files).rdd.getNumPartitions() == n
+
+
+def test_large_payloads_take_linear_time():
+    """4, 16 and 64 MB through the chunker and the stream reader: four times the bytes, well under eight times the seconds."""
+    import time
+
+    import pyarrow as pa
+
+    from paysift.llm import warc
+
+    def seconds(megabytes):
+        column = pa.array(["é<p>x " * (megabytes << 17)])
+        began = time.perf_counter()
+        (payload,) = warc._views(column)
+        so_far = hashlib.sha256()
+        for at in range(0, len(payload), warc.CHUNK):
+            so_far.update(payload[at : at + warc.CHUNK])
+        source = warc._Members(pa.BufferReader(gzip.compress(payload, 1)))
+        while source.read(warc.CHUNK):
+            pass
+        return time.perf_counter() - began
+
+    seconds(4)
+    small, large = min(seconds(4) for _ in range(3)), seconds(64)
+    assert large < 40 * small + 0.5
+
+
+def test_one_large_page(spark):
+    pages = spark.range(2).selectExpr("id AS page_id", "'u' AS url", "repeat('0123456789abcdeé', 1000000) AS html")
+    got = sorted(tuple(r) for r in digests(archive_pages(pages)).collect())
+    raw = ("0123456789abcdeé" * 1_000_000).encode()
+    assert got == [(0, len(raw), hashlib.sha256(raw).hexdigest(), "response", None), (1, len(raw), hashlib.sha256(raw).hexdigest(), "revisit", 0)]
