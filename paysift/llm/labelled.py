@@ -13,7 +13,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
 
     The labels with the least hashes are drawn first, so the side that is broadcast has at most `bound` rows and
     documents are read once without a shuffle. Rows with null ids or labels are left out; an id that is labelled
-    twice has the greater label.
+    twice has the greater label, and so has a text that comes under several ids, with the smallest of them.
     """
     hashed = F.xxhash64("id")
     drawn = (
@@ -23,4 +23,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
         .orderBy(hashed, "id").limit(bound)
     )
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return write_table(texts.join(F.broadcast(drawn), "id"), "labelled").dropDuplicates(["text"])
+    found = write_table(texts.join(F.broadcast(drawn), "id"), "labelled")
+    return found.groupBy("text").agg(F.min("id").alias("id"), F.max("label").alias("label")).select("id", "text", "label")

@@ -13,13 +13,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paysift.llm.common import crc_mod, raw_texts
+from paysift.llm.common import crc_mod, raw_texts, record_batch
 from paysift.llm.labelled import labelled_sample
 from paysift.llm.words import ALNUM
 
-STEMS = (6, 5, 4)
+#: Leading characters that inflected and compound words share, longest first.
+STEMS = (8, 6, 4)
 _CACHE = 200_000
-_COUNTS = pa.schema([("feature", pa.int64()), ("toxic", pa.int64()), ("clean", pa.int64())])
+#: Scores are binned to this width where their distribution is counted.
+_BIN = 0.05
+_COUNTS = pa.schema([("feature", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())])
 
 
 def tokens(raw: bytes | None) -> list[bytes]:
@@ -27,24 +30,29 @@ def tokens(raw: bytes | None) -> list[bytes]:
     return (raw or b"").decode("utf-8", "replace").lower().encode().translate(ALNUM).split()
 
 
-def _feature(token: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(token) - (1 << 63)
+def _names(token: bytes) -> list[str]:
+    """The word itself, then its stems of whole characters, each with its length; a word has length 0."""
+    word = token.decode("utf-8", "replace")
+    return [f"0_{word}", *[f"{n}_{word[:n]}" for n in STEMS if len(word) > n]]
+
 
+def _hashed(name: str) -> int:
+    return xxhash.xxh3_64_intdigest(name) - (1 << 63)
 
-def _features(token: bytes) -> list[int]:
-    """The word itself, then its leading 6, 5 and 4 bytes, which inflected and compound words share."""
-    return [_feature(token), *[_feature(b"%d_%b" % (n, token[:n])) for n in STEMS if len(token) > n]]
+
+def _feature(token: bytes) -> int:
+    return _hashed(_names(token)[0])
 
 
 class _Scores(dict):
-    """Token to score; words that no table entry covers have -drift. Holds at most _CACHE tokens."""
+    """Token to score: that of the word, or of the longest stem that the table has, or -drift. Holds at most _CACHE tokens."""
 
     def __init__(self, table: dict[int, float], drift: float) -> None:
         super().__init__()
         self.table, self.drift = table, drift
 
     def __missing__(self, token: bytes) -> float:
-        score = next((self.table[f] for f in _features(token) if f in self.table), -self.drift)
+        score = next((self.table[f] for f in map(_hashed, _names(token)) if f in self.table), -self.drift)
         if len(self) >= _CACHE:
             self.clear()
         self[token] = score
@@ -66,29 +74,33 @@ def repeats_discounted(words: list[bytes], each: np.ndarray) -> np.ndarray:
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end, score) of a score sequence, by one pass over its positive runs."""
+    """All maximal scoring segments (start, end, score) of a score sequence, in linear time.
+
+    A stack holds the segments so far. Each remembers the nearest one before it that starts from a lower sum, so looking
+    for where a new segment can reach back jumps over all that can't matter again.
+    """
     total = np.concatenate(([0.0], np.cumsum(scores)))
     edge = np.flatnonzero(np.diff(np.concatenate(([0], scores > 0, [0])).astype(np.int8)))
-    found: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum at the end
-    for start, end in zip(edge[::2].tolist(), edge[1::2].tolist()):
-        low, high = total[start], total[end]
-        j = len(found) - 1
+    starts, ends, lows, highs, lower = [], [], [], [], []
+    for start, end, low, high in zip(edge[::2].tolist(), edge[1::2].tolist(), total[edge[::2]].tolist(), total[edge[1::2]].tolist()):
         while True:
-            while j >= 0 and found[j][2] >= low:
-                j -= 1
-            if j < 0 or found[j][3] >= high:
-                found.append((start, end, low, high))
+            j = len(lows) - 1
+            while j >= 0 and lows[j] >= low:
+                j = lower[j]
+            if j < 0 or highs[j] >= high:
                 break
-            start, low = found[j][0], found[j][2]
-            del found[j:]
-            j -= 1
-    return [(s, e, float(high - low)) for s, e, low, high in found]
+            start, low = starts[j], lows[j]
+            for column in (starts, ends, lows, highs, lower):
+                del column[j:]
+        for column, value in zip((starts, ends, lows, highs, lower), (start, end, low, high, j)):
+            column.append(value)
+    return [(s, e, high - low) for s, e, low, high in zip(starts, ends, lows, highs)]
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    table: dict[int, float]  # feature hash to log-odds; at most table_size entries
-    drift: float
+    table: dict[int, float]  # feature hash to log-odds less drift
+    drift: float  # what every token loses, so that segments of words without any leaning end
     decay: float  # lambda of the extreme-value distribution of maximal segment scores
     document_decay: float  # the same where repeats of a token count less
     intercept: float
@@ -116,22 +128,38 @@ class ToxicityModel:
 
 
 def feature_counts(rows: DataFrame) -> DataFrame:
-    """(feature, toxic, clean): documents of either class that hold the feature; summed in batches before the shuffle."""
+    """(feature, toxic, clean): documents of either class that hold the word or stem; summed in batches before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                each, label = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                toxic, clean = Counter(), Counter()
                 for raw, y in zip(raw_texts(part.column(0)), part.column(1).to_pylist()):
-                    seen = np.fromiter({f for t in set(tokens(raw)) for f in _features(t)}, np.int64)
-                    each.append(seen)
-                    label.append(np.full(len(seen), y > 0))
-                keys, at_key = np.unique(np.concatenate(each), return_inverse=True)
-                toxic = np.bincount(at_key, np.concatenate(label), len(keys)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(toxic), pa.array(np.bincount(at_key, minlength=len(keys)) - toxic)], schema=_COUNTS)
+                    (toxic if y > 0 else clean).update({f for t in set(tokens(raw)) for f in _names(t)})
+                names = list(toxic.keys() | clean.keys())
+                yield record_batch(_COUNTS, names, [toxic[n] for n in names], [clean[n] for n in names])
+
+    counts = rows.select("text", "label").mapInArrow(run, "feature string, toxic long, clean long")
+    return counts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
 
-    return rows.select("text", "label").mapInArrow(run, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+def log_odds(features: Iterator[tuple[str, int, int]], share: float, prior: float) -> dict[str, float]:
+    """Log-odds of the toxic class for features (name, toxic, clean), against its share of all documents.
+
+    The two classes of a feature have a Dirichlet prior of `prior` documents, divided as the posterior of its longest
+    stem divides them, and for the shortest stems as all documents are. So a rare word leans as its stem does.
+    """
+    known: dict[str, float] = {}
+    lengths = sorted(STEMS)
+    for name, toxic, clean in sorted(features, key=lambda f: (int(f[0].partition("_")[0]) or 1 << 30, f[0])):
+        word = name.partition("_")[2]
+        size = int(name.partition("_")[0]) or len(word)
+        above = (known.get(f"{n}_{word[:n]}") for n in reversed(lengths) if n < size)
+        mean = next((p for p in above if p is not None), share)
+        known[name] = (toxic + prior * mean) / (toxic + clean + prior)
+    base = math.log(share / (1 - share))
+    return {name: math.log(p / (1 - p)) - base for name, p in known.items()}
 
 
 def _decay(values: np.ndarray, weights: np.ndarray) -> float:
@@ -159,11 +187,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return float(w[0]), float(max(w[1], 0.0))
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = 20_000, table_size: int = 50_000, prior: float = 0.1, least_z: float = 2.5, least_odds: float = 1.5, drift: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
-    """Fits on at most `bound` labelled documents outside the held-out fold; three quarters give the log-odds of
-    features, the rest the calibration. Log-odds have an informative Dirichlet prior: `prior` times the counts of
-    both classes together. Features of at least least_z standard errors and least_odds enter the
-    table, at most table_size, the most significant first. Without both classes every score is 0.
+def fit(docs: DataFrame, labels: DataFrame, bound: int = 20_000, prior: float = 10.0, least_documents: int = 2, drift: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
+    """Fits on at most `bound` labelled documents outside the held-out fold; three quarters give the log-odds of words and
+    stems (log_odds()), the rest the score distribution of clean documents and the calibration. The table has every word and
+    stem that at least least_documents of the sample hold, so the sample bounds it. Without both classes every score is 0.
     """
     sample = labelled_sample(docs, labels, "toxic", bound, id_col=id_col, text_col=text_col)
     part = F.pmod(F.xxhash64("text"), F.lit(4))
@@ -172,16 +199,11 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 20_000, table_size: int
     n_toxic, n_clean = totals[0], totals[1] - totals[0]
     if not n_toxic or not n_clean:
         return ToxicityModel({}, drift, 1.0, 1.0, -50.0, 0.0)
-    counts = feature_counts(learn).where("toxic >= 2")
-    share, all_share = (F.col("toxic") + F.col("clean")) * prior, (n_toxic + n_clean) * prior
-    odds = lambda n, of: F.log((F.col(n) + share) / (of + all_share - F.col(n) - share))
-    scored = counts.withColumn("odds", odds("toxic", n_toxic) - odds("clean", n_clean)).withColumn(
-        "z", F.col("odds") / F.sqrt(1 / (F.col("toxic") + share) + 1 / (F.col("clean") + share))
-    )
-    top = scored.where((F.col("z") >= least_z) & (F.col("odds") >= least_odds)).orderBy(F.desc("z"), "feature").limit(table_size).select("feature", "odds").toArrow()
-    table = dict(zip(top.column("feature").to_pylist(), top.column("odds").to_pylist()))
+    counts = feature_counts(learn).where(F.col("toxic") + F.col("clean") >= least_documents).toArrow()
+    odds = log_odds(zip(*[counts.column(c).to_pylist() for c in ("feature", "toxic", "clean")]), n_toxic / totals[1], prior)
+    table = {_hashed(name): round(score - drift, 9) for name, score in odds.items()}
     model = ToxicityModel(table, drift, 1.0, 1.0, 0.0, 1.0)
-    full, discounted = _score_spread(sample.where("label = 0"), model)
+    full, discounted = _score_spread(check.where("label = 0"), model)
     model = ToxicityModel(table, drift, _decay(*full), _decay(*discounted), 0.0, 1.0)
     found = _evidence(check, model).select("evidence", "label").toArrow()
     x, y = found.column("evidence").to_numpy(), (found.column("label").to_numpy() > 0).astype(float)
@@ -190,8 +212,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 20_000, table_size: int
 
 
 def _score_spread(rows: DataFrame, model: ToxicityModel) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Scores to half a unit and their token counts, with one token in all at every score that the table has: of full
-    scores, then with repeats discounted."""
+    """Binned scores and their token counts: of full scores, then with repeats discounted. One token more has the highest
+    score of the table, so that a sample without toxic words has a distribution too."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,20 +224,15 @@ def _score_spread(rows: DataFrame, model: ToxicityModel) -> list[tuple[np.ndarra
                 words = tokens(raw)
                 full = token_scores(words, scores)
                 for kind, s in enumerate((full, repeats_discounted(words, full))):
-                    found[kind].append(np.round(np.where(s > 0, 2 * s, 0)).astype(np.int64))
+                    found[kind].append(np.round(s / _BIN).astype(np.int64))
             for kind in (0, 1):
                 values, n = np.unique(np.concatenate(found[kind]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind)), pa.array(values), pa.array(n)], names=["kind", "value", "n"])
 
-    rows = rows.select("text").mapInArrow(run, "kind long, value long, n long").groupBy("kind", "value").agg(F.sum("n").alias("n")).toArrow()
-    spreads = []
-    for kind in (0, 1):
-        counts = {v: n for k, v, n in zip(*[rows.column(c).to_pylist() for c in ("kind", "value", "n")]) if k == kind}
-        for odds in model.table.values():
-            counts.setdefault(round(2 * odds), 1)
-        values = np.array(list(counts), float)
-        spreads.append((np.where(values > 0, values / 2, -model.drift), np.array(list(counts.values()), float)))
-    return spreads
+    rows = rows.select("text").mapInArrow(run, "kind long, value long, n long").groupBy("kind", "value").agg(F.sum("n").alias("n")).orderBy("kind", "value").toArrow()
+    kinds, values, n = (rows.column(c).to_numpy() for c in ("kind", "value", "n"))
+    top = max(model.table.values(), default=0.0)
+    return [(np.append(values[kinds == kind] * _BIN, top), np.append(n[kinds == kind], 1).astype(float)) for kind in (0, 1)]
 
 
 def _evidence(rows: DataFrame, model: ToxicityModel) -> DataFrame:
