@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
-PATHS = 20
+from paysift.llm.common import write_table
+
+#: A broadcast table of host paths has at most so many bytes; a larger one is joined.
+BROADCAST_BYTES = 32 << 20
+#: A path this long goes on from a hash of what came before, so deep pages take no quadratic space.
+_LONG_PATH = 400
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style template noscript svg math iframe object canvas textarea title select".split())
 _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr br img input button".split())
@@ -24,90 +30,142 @@ _WHOLE = frozenset("main article".split())
 #: Words of class and id names that mark menus, adverts, notices, side matter and reader comments.
 _MARKS = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs pagination pager "
-    "sidebar widget related recommended share sharing social comment comments reply replies respond disqus notice notices cookie cookies consent gdpr "
+    "sidebar comment comments reply replies respond disqus notice notices cookie cookies consent gdpr "
     "newsletter subscribe subscription signup login paywall popup modal overlay alert footer masthead toolbar".split()
 )
+#: Those that say so as a part of a longer name too.
+_CLEAR = frozenset("ads advert adverts advertisement sponsored navbar breadcrumb breadcrumbs pagination sidebar comment comments disqus cookie cookies gdpr newsletter".split())
+#: Words that mark link lists, which an article may also have as names of its own parts.
+_LISTS = frozenset("widget related recommended share sharing social".split())
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _TAG_END = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*>""")
+_SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/$""")
 _HOST = re.compile(r"^\s*[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 _CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 
 
 @dataclass(slots=True)
 class _Node:
+    """An element; what it takes from those around it is kept with it, so nothing walks up to the root."""
+
     tag: str
     parent: int
     step: str
-    dropped: bool
+    dropped: bool  # never text of the article: a tag, role or style says so
+    mark: int  # 0 none, 1 a marking word in a longer name, 2 a marking name, 3 a name of link lists
+    aside: bool  # in an element with a mark
+    depth: int  # in the stack of open elements
+    container: int  # nearest container, itself included; 0 if none
+    outside: int  # the nearest container around that one
+    block: int  # nearest element that is not inline, itself included
+    near: int  # nearest article or main, itself included; 0 if none
+    top: int  # outermost article or main
 
 
 @dataclass(slots=True)
 class Page:
-    nodes: list[_Node] = field(default_factory=lambda: [_Node("", -1, "", False)])
+    nodes: list[_Node] = field(default_factory=lambda: [_Node("", -1, "", False, 0, False, 0, 0, 0, 0, 0, 0)])
     blocks: list[tuple[int, str, int]] = field(default_factory=list)  # element, text, characters in links
+    known: dict[int, str] = field(default_factory=dict)
+
+    def add(self, tag: str, attributes: dict[str, str], parent: int, depth: int) -> int:
+        at, above = len(self.nodes), self.nodes[parent]
+        mark = _mark(tag, attributes)
+        holds, whole = tag in _CONTAINERS, tag in _WHOLE
+        self.nodes.append(_Node(
+            tag, parent, _step(tag, attributes.get("class", "").split()), above.dropped or _boilerplate(tag, attributes, above.near > 0), mark, above.aside or mark > 0, depth,
+            at if holds else above.container, above.container if holds else above.outside, above.block if tag in _INLINE else at, at if whole else above.near, above.top or (at if whole else 0),
+        ))
+        return at
 
     def path(self, node: int) -> str:
-        steps = []
-        while node > 0:
-            steps.append(self.nodes[node].step)
-            node = self.nodes[node].parent
-        return ">".join(reversed(steps))
-
-    def containers(self, node: int) -> Iterator[int]:
-        while node > 0:
-            if self.nodes[node].tag in _CONTAINERS:
-                yield node
+        """The generalised steps from the root."""
+        chain = []
+        while node > 0 and node not in self.known:
+            chain.append(node)
             node = self.nodes[node].parent
+        for n in reversed(chain):
+            before = self.known.get(self.nodes[n].parent, "")
+            if len(before) > _LONG_PATH:
+                before = f"~{xxhash.xxh3_64_hexdigest(before)}"
+            self.known[n] = f"{before}>{self.nodes[n].step}" if before else self.nodes[n].step
+            node = n
+        return self.known.get(node, "")
 
     def scores(self) -> dict[int, float]:
-        """Characters outside links in a container's own blocks, and half of those one container below."""
+        """Characters outside links in a container's own blocks, and half of those one container below. Marked elements count
+        only if what is outside them is less than a tenth of their text."""
         found: dict[int, float] = {}
-        for node, text, linked in self.blocks:
+        plain = [b for b in self.blocks if not self.nodes[b[0]].aside]
+        if 11 * sum(len(b[1]) for b in plain) < sum(len(b[1]) for b in self.blocks):
+            plain = self.blocks
+        for node, text, linked in plain:
             share = float(max(0, len(text) - linked))
-            for place, container in enumerate(self.containers(node)):
-                if place > 1:
-                    break
-                found[container] = found.get(container, 0.0) + share / (1 + place)
+            inner, outer = self.nodes[node].container, self.nodes[node].outside
+            if inner:
+                found[inner] = found.get(inner, 0.0) + share
+            if outer:
+                found[outer] = found.get(outer, 0.0) + share / 2
         return found
 
     def votes(self) -> list[tuple[str, float]]:
         """Paths of the containers that score at least half the best, with their shares of one vote."""
-        paths: dict[str, float] = {}
-        for node, s in self.scores().items():
-            path = self.path(node)
-            paths[path] = max(paths.get(path, 0.0), s)
-        best = max(paths.values(), default=0.0)
-        strong = {p: s for p, s in paths.items() if best > 0 and s >= best / 2}
+        scored = self.scores()
+        best = max(scored.values(), default=0.0)
+        strong: dict[str, float] = {}
+        for node, s in scored.items():
+            if best > 0 and s >= best / 2:
+                path = self.path(node)
+                strong[path] = max(strong.get(path, 0.0), s)
         total = sum(strong.values())
         return [(p, s / total) for p, s in strong.items()]
 
-    def ancestors(self, node: int) -> list[int]:
-        """The node and what it is in, innermost first; the last is the root."""
-        found = [node]
-        while found[-1] > 0:
-            found.append(self.nodes[found[-1]].parent)
-        return found
+    def around(self, inside: set[int]) -> int:
+        """The innermost element that holds all of inside: that of the first and the last in page order."""
+        first, last = min(inside), max(inside)
+        while last > first:
+            last = self.nodes[last].parent
+            if last < first:
+                first, last = last, first
+        return first
 
     def widened(self, chosen: set[int], voted: set[int]) -> set[int]:
         """Chosen containers as whole articles: each as its nearest article or main, with what the page votes for in the
         same one. Without any, the innermost element around them and what the page votes for below its body."""
-        outer = {n: [a for a in self.ancestors(n) if self.nodes[a].tag in _WHOLE] for n in chosen | voted}
-        if any(outer[n] for n in chosen):
-            around = {a for n in chosen for a in outer[n]}
-            return {(outer[n] or [n])[0] for n in chosen | {v for v in voted if around & set(outer[v])}}
-        inside = chosen | {v for v in voted if self.nodes[v].tag != "body" and not outer[v]}
-        if inside == chosen:
-            return chosen
-        chains = [self.ancestors(n) for n in inside]
-        shared = set.intersection(*map(set, chains))
-        return {next(n for n in chains[0] if n in shared)}
+        nodes = self.nodes
+        tops = {nodes[n].top for n in chosen if nodes[n].top}
+        if tops:
+            return {nodes[n].near or n for n in chosen | {v for v in voted if nodes[v].top in tops}}
+        inside = chosen | {v for v in voted if nodes[v].tag != "body" and not nodes[v].top}
+        return chosen if inside == chosen else {self.around(inside)}
+
+    def sizes(self) -> tuple[list[int], list[int], list[int]]:
+        """Of every element with all inside it: characters, those in links, and those outside inner elements of marking names."""
+        size, linked, plain = ([0] * len(self.nodes) for _ in range(3))
+        for node, text, in_links in self.blocks:
+            size[node] += len(text)
+            plain[node] += len(text)
+            linked[node] += in_links
+        for n in range(len(self.nodes) - 1, 0, -1):
+            parent = self.nodes[n].parent
+            size[parent] += size[n]
+            linked[parent] += linked[n]
+            plain[parent] += 0 if self.nodes[n].mark == 2 else plain[n]
+        return size, linked, plain
 
     def text(self, paths: list[str] | None) -> str:
-        """Blocks of the article around the first of the host's paths that the page has, or around its own best container."""
+        """Blocks of the article around the first of the host's paths that the page has, or around its own best container.
+
+        The article decides what a name means: in it an element goes if its whole name, or a clear part of it, marks it and the
+        article has text besides (a tenth of the element's), or if it is named as a link list and is mostly links. A word that is
+        only a part of a name takes nothing away.
+        """
+        size, linked, plain = self.sizes()
         here: dict[str, set[int]] = {}
-        for node in {c for block in self.blocks for c in self.containers(block[0])}:
-            here.setdefault(self.path(node), set()).add(node)
+        for n, node in enumerate(self.nodes):
+            if node.container == n > 0 and size[n]:
+                here.setdefault(self.path(n), set()).add(n)
         chosen = next((here[p] for p in paths or [] if p in here), None)
         strong = {p for p, _ in self.votes()}
         if chosen is None:
@@ -115,32 +173,53 @@ class Page:
             chosen = {max(own, key=lambda n: (own[n], -n))} if own else {0}
         else:
             strong &= set(paths or [])
-        chosen = self.widened(chosen, {n for p in strong for n in here[p]})
-        return "\n".join(text for node, text, _ in self.blocks if not chosen.isdisjoint(self.ancestors(node)))
+        chosen = self.widened(chosen, {n for p in strong for n in here.get(p, ())})
+        within = [0 if 0 in chosen else -1] + [-1] * (len(self.nodes) - 1)  # the article that an element is in; -1 for none
+        for n, node in enumerate(self.nodes[1:], 1):
+            if n in chosen and within[node.parent] < 0:
+                within[n] = n
+            elif (article := within[node.parent]) >= 0:
+                goes = 10 * plain[article] >= size[n] if node.mark == 2 else 2 * linked[n] > size[n] if node.mark == 3 else False
+                within[n] = -2 if goes else article
+            elif within[node.parent] == -2:
+                within[n] = -2
+        return "\n".join(text for node, text, _ in self.blocks if within[node] >= 0)
 
 
 def _step(tag: str, classes: list[str]) -> str:
-    return ".".join([tag, *sorted({re.sub(r"\d+", "#", c.lower()) for c in classes})])
+    return ".".join([tag, *sorted({re.sub(r"\d+", "#", c.lower()) for c in classes})]) if classes else tag
 
 
 def _boilerplate(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
+    """What a tag, a role or a style says is not text of an article, whatever is around it."""
     if tag in _DROPPED or tag == "header" and not in_article:
         return True
     if not attributes or tag in _SAFE:
         return False
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role", "").lower() in _ROLES:
         return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""), re.I):
-        return True
-    names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    names = re.sub(r"([a-z])([A-Z])", r"\1-\2", names).lower()
-    return any(word in _MARKS for word in re.split(r"[^a-z]+", names))
+    return bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""), re.I))
+
+
+def _mark(tag: str, attributes: dict[str, str]) -> int:
+    if not attributes or tag in _SAFE or not ("class" in attributes or "id" in attributes):
+        return 0
+    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".split()
+    found = 0
+    for name in names:
+        whole = name.lower()
+        parts = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if w]
+        if whole in _MARKS or not _CLEAR.isdisjoint(parts):
+            return 2
+        found = 3 if whole in _LISTS else found or int(not (_MARKS | _LISTS).isdisjoint(parts))
+    return found
 
 
 def parse(source: str) -> Page:
     """One pass over the tags: elements with generalised steps, and text blocks outside what is dropped."""
     page = Page()
     nodes, stack = page.nodes, [0]
+    open_tags: Counter[str] = Counter()
     buffer: list[str] = []
     linked = at = 0
 
@@ -148,28 +227,28 @@ def parse(source: str) -> Page:
         nonlocal linked
         if buffer:
             if text := " ".join(entities.unescape("".join(buffer)).split()):
-                node = next(n for n in reversed(stack) if nodes[n].tag not in _INLINE)
-                page.blocks.append((node, text, min(linked, len(text))))
+                page.blocks.append((nodes[stack[-1]].block, text, min(linked, len(text))))
             buffer.clear()
         linked = 0
 
+    def pop(depth: int) -> None:
+        """Ends the open elements from this depth on."""
+        while len(stack) > depth:
+            open_tags[nodes[stack.pop()].tag] -= 1
+
     def close(tag: str) -> None:
-        """Ends the innermost open element of the tag, and what is open inside it."""
-        for i in range(len(stack) - 1, 0, -1):
-            if nodes[stack[i]].tag == tag:
-                del stack[i:]
-                return
+        """Ends the innermost open element of the tag, and what is open inside it; what it looks at, it ends."""
+        if open_tags[tag]:
+            depth = len(stack) - 1
+            while nodes[stack[depth]].tag != tag:
+                depth -= 1
+            pop(depth)
 
     def implied(tag: str) -> None:
-        """Ends elements that the start of a block ends by itself, up to the nearest container."""
-        ends = {"p", *_CLOSES.get(tag, "").split()}
-        for i in range(len(stack) - 1, 0, -1):
-            name = nodes[stack[i]].tag
-            if name in ends:
-                del stack[i:]
-                return
-            if name not in _INLINE:
-                return
+        """Ends the innermost block if the start of this one does so by itself."""
+        block = nodes[nodes[stack[-1]].block]
+        if block.tag == "p" or block.tag in _CLOSES.get(tag, "").split():
+            pop(block.depth)
 
     def keep(text: str) -> None:
         nonlocal linked
@@ -213,17 +292,15 @@ def parse(source: str) -> Page:
         if tag in _VOID:
             continue
         if tag in _RAW:
-            if not inside.endswith("/"):
+            if not _SELF_CLOSED.search(inside):
                 stop = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(source, at)
                 at = stop.end() if stop else len(source)
             continue
         attributes = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(inside)} if inside.strip() else {}
-        parent = stack[-1]
-        in_article = any(nodes[n].tag in ("article", "main") for n in stack)
-        dropped = nodes[parent].dropped or _boilerplate(tag, attributes, in_article)
-        nodes.append(_Node(tag, parent, _step(tag, attributes.get("class", "").split()), dropped))
-        if not inside.endswith("/"):
-            stack.append(len(nodes) - 1)
+        added = page.add(tag, attributes, stack[-1], len(stack))
+        if not _SELF_CLOSED.search(inside):
+            stack.append(added)
+            open_tags[tag] += 1
     flush()
     return page
 
@@ -238,7 +315,10 @@ def _rows(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFra
 
 
 def host_paths(pages: DataFrame, least_share: float = 0.05, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, paths): the container paths with at least least_share of a host's votes, most votes first."""
+    """(host, paths): the container paths with at least least_share of a host's votes, most votes first.
+
+    Pages of a host without such a path agree on nothing and are read by their own best containers.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,26 +334,26 @@ def host_paths(pages: DataFrame, least_share: float = 0.05, id_col: str = "page_
             )
 
     votes = _rows(pages, id_col, url_col, html_col).select("url", "html").mapInArrow(run, "host string, path string, votes double")
-    votes = votes.groupBy("host", "path").agg(F.round(F.sum("votes"), 6).alias("votes"))
-    ranked = Window.partitionBy("host").orderBy(F.desc("votes"), "path")
-    votes = votes.withColumn("all", F.sum("votes").over(Window.partitionBy("host"))).withColumn("rank", F.row_number().over(ranked))
-    kept = votes.where((F.col("rank") <= PATHS) & ((F.col("votes") >= F.col("all") * least_share) | (F.col("rank") == 1)))
-    return kept.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("rank", "path"))).alias("r")).select("host", F.col("r.path").alias("paths"))
+    votes = write_table(votes.groupBy("host", "path").agg(F.round(F.sum("votes"), 6).alias("votes")), "votes")
+    least = votes.groupBy("host").agg((F.sum("votes") * least_share).alias("least"))
+    kept = votes.join(least, "host").where("votes >= least").groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("order"), "path"))).alias("r"))
+    return kept.select("host", F.col("r.path").alias("paths"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of pages: the id, the url, text, n_chars.
 
     Pages vote for container paths by host, and each is read again by the first path of its host that it has, or by its own
-    best container, either widened to the article it is in. Null and empty html and pages without text have an empty text; a null url is a host of its own; repeated
-    rows vote as often as they come. Other columns are ignored; no rows give no rows.
+    best container, either widened to the article it is in. Pages stay where they are while the paths are a small table; else
+    both are joined by host, which adaptive execution splits for large hosts. Null and empty html and pages without text have an
+    empty text; a null url is a host of its own; repeated rows vote as often as they come. Other columns are ignored; no rows
+    give no rows.
     """
     rows = _rows(pages, id_col, url_col, html_col)
-    # the pages of a large host are dealt over SALTS keys
-    paths = host_paths(pages, id_col=id_col, url_col=url_col, html_col=html_col).select("host", "paths", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    paths = write_table(host_paths(pages, id_col=id_col, url_col=url_col, html_col=html_col), "paths")
     name = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST.pattern, 1))
-    keyed = rows.withColumn("host", name).withColumn("salt", F.pmod(F.xxhash64("page", "html"), F.lit(SALTS)).cast("int"))
-    joined = keyed.join(paths, ["host", "salt"], "left").select("html", "paths", "page", "url")
+    size = paths.agg(F.coalesce(F.sum(F.octet_length("host") + F.aggregate("paths", F.lit(64), lambda n, p: n + F.octet_length(p) + 16)), F.lit(0))).first()[0]
+    joined = rows.withColumn("host", name).join(F.broadcast(paths) if size <= BROADCAST_BYTES else paths, "host", "left").select("html", "paths", "page", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
