@@ -41,3 +41,27 @@ def test_ties_and_few(spark):
 
 def test_nothing(spark):
     assert top_products(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_pivots_spare_products(spark):
+    """On vectors in clusters far fewer products are computed than there are pairs, and blocks with no chance are left out."""
+    from paysift.llm.pivots import search
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 16)) * 3
+    rows = [(i, [float(np.float32(x)) for x in centres[i % 12] + 0.1 * rng.normal(size=16)]) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    done = search(frame, block=128, query_block=4, step=16).groupBy("query_id").agg({"evaluated": "sum", "vec_id": "count"}).collect()
+    assert len(done) == 60 and sum(r["sum(evaluated)"] for r in done) < 0.2 * 60 * 3000
+    same(spark, rows, block=128, query_block=4, step=16)
+
+
+def test_no_join_on_one_key(spark, monkeypatch):
+    """Rows of one number of components meet by block; with broadcasts off the plan joins vectors on the block number too."""
+    rows = [(i, [float(i % 7), float(i % 11)]) for i in range(300)]
+    monkeypatch.setattr("paysift.llm.pivots.SAMPLE", 3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        same(spark, rows, block=16, query_block=2)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
