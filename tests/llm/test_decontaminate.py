@@ -77,3 +77,36 @@ def test_words(text):
     from paysift.llm.words import text_hashes
 
     assert len(text_hashes(text.encode(), folded=True)) == len(words(text))
+
+
+def test_one_text_repeats_a_passage(spark):
+    """A passage stands 100,000 times in one text; nothing is gathered by text."""
+    passage = "one two three four five six seven eight nine ten eleven"
+    docs = spark.range(1).selectExpr("1L AS doc_id", f"repeat('{passage} x ', 100000) AS text")
+    items = spark.createDataFrame([(1, passage), (2, "zero " + passage)], "item_id long, text string")
+    (found,) = matches(docs, items).collect()
+    assert (found.n_words, found.n_hit, found["items"]) == (1_200_000, 1_100_000, ["1", "2"])
+
+
+def test_phrases(spark, docs):
+    from paysift.llm.decontaminate import build_index, phrases
+
+    items = spark.createDataFrame([(1, "a b c d e f g h i j k"), (2, "x y")], "item_id long, text string")
+    index = build_index(docs((1, "0 A b c d e f g h i j k a b"), (2, "x y x y"), (3, "a b c")))
+    assert sorted(tuple(r) for r in phrases(index, items).collect()) == [(1, "1", 1, 11), (1, "1", 2, 12), (2, "2", 0, 2), (2, "2", 2, 4)]
+
+
+def test_proximity_finds_edited_copies(spark, docs):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    items = spark.createDataFrame([(1, item), (2, item.replace("alpha", "unseen"))], "item_id long, text string")
+    rows = [(1, item.replace("epsilon", "other")), (2, item.replace("theta", "more words")), (3, "kappa iota theta eta"), (4, "alpha " + "pad " * 30 + item[6:30]), (None, None), (5, "")]
+    found = {(r.id, r.item) for r in proximity_matches(docs(*rows), items, slop=2).collect()}
+    assert found == {(1, "1"), (1, "2"), (2, "1"), (2, "2")}
+    assert proximity_matches(docs(*rows), items.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("shards", [1, 60])
+def test_shards_make_no_difference(spark, docs, monkeypatch, shards):
+    monkeypatch.setattr("paysift.llm.decontaminate.SHARD_WORDS", shards)
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 23}" for j in range(40))) for i in range(12)]
+    assert same(spark, docs(*rows), rows, [(1, rows[3][1]), (2, "w1 w2"), (3, rows[5][1][:60])]) > 0
