@@ -1,4 +1,4 @@
-"""Substring dedup: a de Bruijn view of repeated token k-mers, compacted into spans with source coordinates."""
+"""Substring dedup: repeated token k-mers as de Bruijn edges, compacted by joins into spans with proved source coordinates."""
 
 from __future__ import annotations
 
@@ -10,12 +10,11 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paysift.llm.common import ordered_id, raw_texts, record_batch
-from paysift.llm.words import rolling, sliding_min, spaced_words, text_hashes
+from paysift.llm.common import ordered_id, raw_texts, record_batch, write_table
+from paysift.llm.words import paired_hashes, rolling, sliding_min, spaced_words
 
 _SEED = pa.schema([("h", pa.int64()), ("did", pa.int64())])
-_RUN = pa.schema([("h", pa.int64()), ("hot", pa.bool_()), ("did", pa.int64()), ("at", pa.int64()), ("edges", pa.list_(pa.int64()))])
-_PATH = pa.schema([(n, pa.int64()) for n in ("did", "at", "length", "source_did", "source_at")])
+_EDGE = pa.schema([(n, pa.int64()) for n in ("edge", "proof", "did", "at")])
 #: A coordinate `at` is a word position below this, plus a multiple that tells rows with one id apart.
 AT = 1 << 40
 
@@ -27,42 +26,38 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = ()
     return docs.select(ordered_id(id_col).alias("_did"), tag.alias("_tag"), text.alias("_text"), *[F.col(c).alias(f"c_{i}") for i, c in enumerate(carry)])
 
 
-def _windows(raw: bytes | None, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes, and for every window of k words the least hash of the seed-word runs in it (its minimizer)."""
-    hashes = text_hashes(raw)
+def _windows(raw: bytes | None, k: int, seed: int, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two independent hashes of every word, and for every window of k words the least hash of the seed-word runs in it
+    (its minimizer)."""
+    hashes, proofs = paired_hashes(raw, salt)
     if len(hashes) < k:
-        return hashes, np.zeros(0, np.uint64)
-    return hashes, sliding_min(rolling(hashes, seed), k - seed + 1)
+        return hashes, proofs, np.zeros(0, np.uint64)
+    return hashes, proofs, sliding_min(rolling(hashes, seed), k - seed + 1)
 
 
-def seed_filters(rows: DataFrame, k: int, seed: int, bits: int, hot_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two bitmaps of 2**bits bits each: minimizers in at least two documents, and those in over hot_rows.
+def seed_filter(rows: DataFrame, k: int, seed: int, bits: int, salt: int) -> np.ndarray:
+    """A bitmap of 2**bits bits: minimizers in at least two documents.
 
     Equal windows have equal minimizers, so a window whose minimizer is in one document only can't recur. The
-    bitmaps' size is fixed whatever the corpus; false hits of a full bitmap cost work, never results.
+    bitmap's size is fixed whatever the corpus; false hits of a full bitmap cost work, never results.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for did, raw in zip(batch.column(0).to_numpy(), raw_texts(batch.column(1))):
-                least = np.unique(_windows(raw, k, seed)[1])
+                least = np.unique(_windows(raw, k, seed, salt)[2])
                 found.append(least)
                 of.append(np.full(len(least), did, np.int64))
             yield record_batch(_SEED, pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(of)))
 
     seeds = rows.select("_did", "_text").mapInArrow(run, "h long, did long")
-    seeds = seeds.groupBy("h").agg(F.min("did").alias("lo"), F.max("did").alias("hi"), F.count("*").alias("n"))
-    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
-    words = (
-        seeds.where("lo < hi")
-        .groupBy(F.shiftright(F.col("h").bitwiseAND(F.lit((1 << bits) - 1)), 6).cast("int").alias("i"))
-        .agg(F.bit_or(bit).alias("repeated"), F.coalesce(F.bit_or(F.when(F.col("n") > hot_rows, bit)), F.lit(0)).alias("hot"))
-    ).toArrow()
-    out = np.zeros((2, 1 << (bits - 6)), np.int64)
-    for j, name in enumerate(("repeated", "hot")):
-        out[j, words.column("i").to_numpy()] = words.column(name).to_numpy()
-    return out[0].view(np.uint64), out[1].view(np.uint64)
+    repeated = seeds.groupBy("h").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi")
+    slot = F.shiftright(F.col("h").bitwiseAND(F.lit((1 << bits) - 1)), 6).cast("int")
+    words = repeated.groupBy(slot.alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("word")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words.column("i").to_numpy()] = words.column("word").to_numpy()
+    return out.view(np.uint64)
 
 
 def _in_filter(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -70,123 +65,79 @@ def _in_filter(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
-def edge_runs(rows: DataFrame, filters: Broadcast, k: int, seed: int) -> DataFrame:
-    """(h, hot, did, at, edges): consecutive windows with one repeated minimizer h; each window is a graph edge."""
+def repeated_edges(rows: DataFrame, repeated: Broadcast, k: int, seed: int, salt: int, bits: int) -> DataFrame:
+    """(edge, proof, did, at): a row for every window whose minimizer is repeated. edge, a hash of its words (of so many
+    bits), names an edge of the de Bruijn graph; proof is another hash of the same words, independent of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeated, hot = filters.value
         for batch in batches:
-            ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             out: list[tuple[np.ndarray, ...]] = []
             size = 0
-            for did, tag, raw in zip(ids, tags, raw_texts(batch.column(2))):
-                hashes, least = _windows(raw, k, seed)
-                at = np.flatnonzero(_in_filter(repeated, least)) if len(least) else least
-                if len(at):
-                    h = least[at]
-                    first = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 1) | (h[1:] != h[:-1]))))
-                    ends = np.append(first[1:], len(at))
-                    out.append((h[first], np.full(len(first), did, np.int64), at[first] + tag * AT, ends - first, rolling(hashes, k)[at]))
-                    size += len(at)
-                if size > 1 << 18:
-                    yield table(out, hot)
-                    out, size = [], 0
+            for did, tag, raw in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), raw_texts(batch.column(2))):
+                hashes, proofs, least = _windows(raw, k, seed, salt)
+                at = np.flatnonzero(_in_filter(repeated.value, least)) if len(least) else least
+                for lo in range(0, len(at), 1 << 18):
+                    part = at[lo : lo + (1 << 18)]
+                    out.append((rolling(hashes, k)[part] >> np.uint64(64 - bits), rolling(proofs, k)[part], np.full(len(part), did, np.int64), part + tag * AT))
+                    size += len(part)
+                    if size > 1 << 18:
+                        yield table(out)
+                        out, size = [], 0
             if out:
-                yield table(out, hot)
+                yield table(out)
 
-    def table(out: list[tuple[np.ndarray, ...]], hot: np.ndarray) -> pa.RecordBatch:
-        h, did, at, length, edges = (np.concatenate(x) for x in zip(*out))
-        offsets = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(edges.view(np.int64)))
-        return record_batch(_RUN, pa.array(h.view(np.int64)), pa.array(_in_filter(hot, h)), pa.array(did), pa.array(at), lists)
+    def table(out: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        return record_batch(_EDGE, *[pa.array(np.concatenate(x).astype(np.uint64, copy=False).view(np.int64)) for x in zip(*out)])
 
-    return rows.select("_did", "_tag", "_text").mapInArrow(run, "h long, hot boolean, did long, at long, edges array<long>")
+    return rows.select("_did", "_tag", "_text").mapInArrow(run, "edge long, proof long, did long, at long")
 
 
-def _compact(h: np.ndarray, did: np.ndarray, at: np.ndarray, lengths: np.ndarray, edges: np.ndarray) -> pa.RecordBatch:
-    """Partial paths of whole minimizer groups, given in the order h, did, at."""
-    inside = np.arange(len(edges)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    h, did, at = np.repeat(h, lengths), np.repeat(did, lengths), np.repeat(at, lengths) + inside
-    order = np.lexsort((edges, h))  # stable: an edge's first row is its first coordinate
-    fresh = np.concatenate(([True], (edges[order][1:] != edges[order][:-1]) | (h[order][1:] != h[order][:-1])))
-    source = np.empty(len(order), np.int64)
-    source[order] = order[fresh][np.cumsum(fresh) - 1]
-    keep = np.flatnonzero(did > did[source])
-    did, at, source_did, source_at = did[keep], at[keep], did[source][keep], at[source][keep]
-    same = (np.diff(did) == 0) & (np.diff(at) == 1) & (np.diff(source_did) == 0) & (np.diff(source_at) == 1)
-    first = np.flatnonzero(np.concatenate(([True] * bool(len(did)), ~same)))
-    length = np.diff(np.append(first, len(did)))
-    return record_batch(_PATH, *[pa.array(x) for x in (did[first], at[first], length, source_did[first], source_at[first])])
+def compacted(edges: DataFrame) -> DataFrame:
+    """(did, tag, at, length, source_did, source_at, unproved): maximal unbranched paths of edges that a smaller document has.
 
-
-def _cold_paths(runs: DataFrame) -> DataFrame:
-    """Groups that are not hot, each in one task, as a sorted stream: a task holds few groups at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for batch in batches:
-            part = pa.Table.from_batches([batch])
-            rest = pa.concat_tables([rest, part]) if rest is not None else part
-            h = rest.column("h").to_numpy()
-            last = int(np.argmax(h == h[-1])) if len(h) else 0
-            if last > 1 << 13:
-                yield done(rest.slice(0, last))
-                rest = rest.slice(last)
-        if rest is not None and len(rest):
-            yield done(rest)
-
-    def done(rows: pa.Table) -> pa.RecordBatch:
-        lists = rows.column("edges").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        lengths = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-        return _compact(*[rows.column(c).to_numpy() for c in ("h", "did", "at")], lengths, lists.flatten().to_numpy())
-
-    dealt = runs.where("not hot").select("h", "did", "at", "edges").repartition("h").sortWithinPartitions("h", "did", "at")
-    return dealt.mapInArrow(run, "did long, at long, length long, source_did long, source_at long")
-
-
-def _hot_paths(runs: DataFrame) -> DataFrame:
-    """Groups of many documents: sources by partial aggregation before the shuffle, then a join that AQE can split."""
-    edges = runs.where("hot").select("h", "did", F.posexplode("edges").alias("i", "edge"), "at").select("h", "edge", "did", (F.col("at") + F.col("i")).alias("at"))
-    sources = edges.groupBy("h", "edge").agg(F.min(F.struct("did", "at")).alias("source"), F.max("did").alias("last"))
-    sources = sources.where("last > source.did").select("h", "edge", "source")
-    return edges.join(sources, ["h", "edge"]).where("did > source.did").select(
-        "did", "at", F.lit(1).cast("long").alias("length"), F.col("source.did").alias("source_did"), F.col("source.at").alias("source_at")
+    The source of an edge is its first coordinate: the smallest document, then position, that holds it; it is found before
+    edges are shuffled as far as each task can, and joined back to the edges, which the join splits where very many windows
+    are equal. Consecutive edges of a document whose sources are consecutive too lie on one unbranched path and become
+    one row. unproved counts the edges whose words are not those at the source coordinate.
+    """
+    sources = edges.groupBy("edge").agg(F.min(F.struct("did", "at", "proof")).alias("source"), F.max("did").alias("last"))
+    sources = sources.where("last > source.did").select("edge", "source")
+    steps = edges.join(sources, "edge").where("did > source.did").select(
+        "did", "at", F.col("source.did").alias("source_did"), (F.col("at") - F.col("source.at")).alias("shift"), (F.col("proof") != F.col("source.proof")).cast("long").alias("odd")
     )
+    line = Window.partitionBy("did", "source_did", "shift").orderBy("at")
+    path = (F.col("at") - F.dense_rank().over(line)).alias("path")
+    return (
+        steps.select("did", "source_did", "shift", "at", "odd", path).groupBy("did", "source_did", "shift", "path")
+        .agg(F.min("at").alias("at"), (F.max("at") - F.min("at") + 1).alias("length"), F.sum("odd").alias("unproved"))
+        .select(
+            "did", F.floor(F.col("at") / AT).alias("tag"), F.pmod("at", F.lit(AT)).alias("at"), "length", "source_did",
+            F.pmod(F.col("at") - F.col("shift"), F.lit(AT)).alias("source_at"), "unproved",
+        )
+    )
 
 
 def repeated_spans(
-    docs: DataFrame, k: int = 13, seed: int = 5, filter_bits: int = 26, hot_rows: int = 4096, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, k: int = 13, seed: int = 5, filter_bits: int = 26, edge_bits: int = 64, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(did, tag, at, length, source_did, source_at): maximal unbranched paths of repeated k-word windows.
+    """(did, tag, at, length, source_did, source_at): maximal unbranched paths of repeated k-word windows, each of
+    length + k - 1 words, that a smaller document holds too at the source coordinate.
 
-    Every window is an edge of a de Bruijn graph. Its source is its first coordinate: the smallest document, then
-    position, that holds it. Consecutive edges of a document whose sources are consecutive too lie on one
-    unbranched path and become one span of length edges, length + k - 1 words; where the path branches, or the
-    source changes, a new span starts. Only repeats of a smaller document's edges are given.
+    The words at both coordinates of every window are compared by a second hash. If two windows share an edge without
+    sharing their words, all is done again under another salt with edges of 64 bits, until every span is proved.
     """
     rows = _rows(docs, id_col, text_col)
-    repeated, hot = seed_filters(rows, k, seed, filter_bits, hot_rows)
-    runs = edge_runs(rows, rows.sparkSession.sparkContext.broadcast((repeated, hot)), k, seed)
-    paths = _cold_paths(runs)
-    if hot.any():
-        paths = paths.unionByName(_hot_paths(runs))
-    line = Window.partitionBy("did", "source_did", "shift").orderBy("at")
-    starts = (F.lag(F.col("at") + F.col("length")).over(line) != F.col("at")).cast("int")
-    return (
-        paths.withColumn("shift", F.col("at") - F.col("source_at"))
-        .withColumn("path", F.sum(F.coalesce(starts, F.lit(0))).over(line))
-        .groupBy("did", "source_did", "shift", "path")
-        .agg(F.min("at").alias("at"), F.sum("length").alias("length"))
-        .select(
-            "did", F.floor(F.col("at") / AT).alias("tag"), F.pmod("at", F.lit(AT)).alias("at"), "length", "source_did",
-            F.pmod(F.col("at") - F.col("shift"), F.lit(AT)).alias("source_at"),
-        )
-    )
+    context = rows.sparkSession.sparkContext
+    for salt in range(16):
+        filter_ = context.broadcast(seed_filter(rows, k, seed, filter_bits, salt))
+        spans = write_table(compacted(repeated_edges(rows, filter_, k, seed, salt, 64 if salt else edge_bits)), "spans")
+        if spans.where("unproved > 0").isEmpty():
+            return spans.drop("unproved")
+    raise RuntimeError("edges of different words share their hashes under every salt")
 
 
 def dedup_substrings(
-    docs: DataFrame, k: int = 13, seed: int = 5, filter_bits: int = 26, hot_rows: int = 4096,
+    docs: DataFrame, k: int = 13, seed: int = 5, filter_bits: int = 26, edge_bits: int = 64,
     id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (),
 ) -> DataFrame:
     """One row per row of docs: the carried columns, then kept_text, n_words, n_removed.
@@ -197,7 +148,7 @@ def dedup_substrings(
     equal results. Other columns than those named are ignored. An empty table gives an empty result. kept_text
     holds the kept words joined by one space.
     """
-    spans = repeated_spans(docs, k, seed, filter_bits, hot_rows, id_col, text_col)
+    spans = repeated_spans(docs, k, seed, filter_bits, edge_bits, id_col, text_col)
     cuts = spans.groupBy("did", "tag").agg(F.collect_list("at").alias("_at"), F.collect_list("length").alias("_length"))
     rows = _rows(docs, id_col, text_col, carry)
     joined = rows.join(cuts, (rows._did == cuts.did) & (rows._tag == cuts.tag), "left")

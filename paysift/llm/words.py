@@ -31,6 +31,14 @@ def text_hashes(raw: bytes | None, folded: bool = False) -> np.ndarray:
     return np.concatenate(parts) if len(parts) > 1 else parts[0]
 
 
+def paired_hashes(raw: bytes | None, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of every word between spaces: the halves of a 128-bit one."""
+    digest = xxhash.xxh3_128_digest
+    parts = [np.frombuffer(b"".join([digest(w, salt) for w in piece.split()]), "<u8").reshape(-1, 2) for piece in pieces(raw or b"")]
+    both = np.concatenate(parts) if len(parts) > 1 else parts[0]
+    return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+
+
 def rolling(hashes: np.ndarray, size: int) -> np.ndarray:
     """A hash of every run of size words; empty for shorter texts."""
     n = len(hashes) - size + 1

@@ -51,9 +51,24 @@ def test_equals_brute_force(docs):
         assert same(docs(*rows), rows) > 0
 
 
-def test_hot_minimizers(docs):
-    rows = passages(9)
-    same(docs(*rows), rows, hot_rows=2)
+def test_many_copies(docs):
+    """No switch for groups of many rows is left: all edges take the same way."""
+    rows = passages(9) + [(100 + i, t) for i, (_, t) in enumerate(passages(9)[:5] * 8)]
+    same(docs(*rows), rows)
+
+
+def test_one_text_repeats_a_line(docs):
+    """A line stands 20,000 times in one text and once in a smaller and a larger document."""
+    line = "the same line of thirteen words stands here again and again and again "
+    rows = [(1, "first " + line), (2, line * 20_000), (3, "x " + line * 2), (4, "nothing of the kind")]
+    assert same(docs(*rows), rows) > 200_000
+
+
+def test_equal_hashes_of_different_words(docs):
+    """Edges of 6 bits collide all the time; the proof at the source coordinate finds it out and the result stays exact."""
+    for seed in (11, 12):
+        rows = passages(seed)
+        assert same(docs(*rows), rows, edge_bits=6) > 0
 
 
 def test_full_filter(docs):
