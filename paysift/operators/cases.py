@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from paysift.functions.payments import agreed, amount_band, let
 
 DIMENSIONS, NGRAM = 384, 4
+#: Cases in a block of a search.
+BLOCK = 8192
 #: What an upsert of a case replaces; the rest keeps its old value.
 CASE_UPDATES = ("decision", "is_fraud", "confirmed_at", "resolution", "description", "facts", "embedding", "embedder")
 REVIEW_UPDATES = ("reviewed_at", "analyst", "verdict", "note")
@@ -44,7 +46,11 @@ def embed(text: Column, dims: int = DIMENSIONS, n: int = NGRAM) -> Column:
     """A unit vector of hashed character n-grams of the lower-cased text; zeros for an empty one."""
     clean = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))
     grams = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i: F.pmod(F.xxhash64(F.substring(t, i, F.lit(n))), F.lit(dims)).cast("int"))
-    counted = lambda g: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(g, lambda x: x == i)).cast("double"))
+    # sorted buckets with one more of each: a bucket's count is the distance of its places, less one; both steps are linear
+    counted = lambda g: let(F.array_sort(F.concat(g, F.sequence(F.lit(0), F.lit(dims)))), lambda s: let(
+        F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1) != x), i)), lambda i: i.isNotNull()),
+        lambda at: F.transform(F.slice(at, 1, dims), lambda a, i: (F.get(at, i + 1) - a - 1).cast("double")),
+    ))
     vector = let(let(let(clean, grams), counted), unit)
     return F.when(F.length(clean) == 0, F.array_repeat(F.lit(0.0), dims)).otherwise(vector)
 
@@ -61,12 +67,15 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms > 0, dot(a, b) / norms).otherwise(0.0)
 
 
-def nearest(queries: DataFrame, cases: DataFrame, k: int = 5, key: str = "transaction_id", vector: str = "embedding", blocks: int = 16) -> DataFrame:
+def nearest(queries: DataFrame, cases: DataFrame, k: int = 5, key: str = "transaction_id", vector: str = "embedding", blocks: int | None = None) -> DataFrame:
     """(query_id, rank, key, similarity): the k most similar cases of every query but itself; ties to the smaller key.
 
     Unit vectors are prepared once on either side. Queries are a stated set: each is copied to every block of cases, whose k best
-    are merged after, so neither side is broadcast and no task has all cases.
+    are merged after, so neither side is broadcast and no task has all cases. The number of blocks grows with the cases, so a
+    block has some thousands of them whatever their number.
     """
+    if blocks is None:
+        blocks = max(16, -(-cases.count() // BLOCK))
     q = queries.select(F.col(key).alias("query_id"), unit(F.col(vector)).alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
     c = cases.select(F.col(key), unit(F.col(vector)).alias("_c"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_b"))
     dot = F.aggregate(F.zip_with("_q", "_c", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
@@ -76,6 +85,11 @@ def nearest(queries: DataFrame, cases: DataFrame, k: int = 5, key: str = "transa
     return local.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "rank", key, "similarity")
 
 
+def ingest_report(stored: DataFrame) -> DataFrame:
+    """One row: how many cases there are after an ingest, of which outcome, and how many are from chargebacks."""
+    return stored.agg(F.count("*").alias("cases"), F.count_if("is_fraud").alias("fraud"), F.count_if(~F.col("is_fraud")).alias("legitimate"), F.count_if(F.col("resolution") == "chargeback").alias("from_chargebacks"))
+
+
 def stored_embedders(cases: DataFrame) -> DataFrame:
     return cases.select("embedder").distinct().orderBy("embedder")
 

@@ -49,9 +49,14 @@ def audit(decided: DataFrame, features: Sequence[str], decided_at: Column | None
     )
 
 
+#: What settles equal times if nothing else is said: arrival, then what was decided, so that reruns agree.
+TIES = ("kafka_timestamp", "decision", "score", "model_version", "rule_name")
+
+
 def latest_attempts(decisions: DataFrame, ties: Sequence[str] = ()) -> DataFrame:
-    """The newest decision of each transaction; `ties` are columns, later first, that settle equal times."""
-    order = [F.desc_nulls_last("decided_at"), *[F.desc_nulls_last(c) for c in ties]]
+    """The newest decision of each transaction; `ties` are columns, later first, that settle equal times before TIES do."""
+    settle = [*ties, *[c for c in TIES if c in decisions.columns and c not in ties]]
+    order = [F.desc_nulls_last("decided_at"), *[F.desc_nulls_last(c) for c in settle]]
     return decisions.withColumn("_attempt", F.row_number().over(Window.partitionBy("transaction_id").orderBy(*order))).where("_attempt = 1").drop("_attempt")
 
 

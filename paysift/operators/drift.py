@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +13,8 @@ from paysift.operators.ranking import running_sums
 from paysift.storage import write_table
 
 SMALL, FEW_VALUES = 1000, 5
+#: Neighbouring values that one task compares.
+BUCKET = 1 << 16
 
 
 def _ks_p(d: float, n: int, m: int) -> float:
@@ -44,12 +46,22 @@ def numeric_distances(rows: DataFrame, columns: Sequence[str], part: str = "part
     base = sums.groupBy("column").agg(F.min(F.col("sa") - F.col("a")).alias("a0"), F.min(F.col("sb") - F.col("b")).alias("b0"), F.sum("a").alias("na"), F.sum("b").alias("nb"), F.count("*").alias("distinct"))
     gap = F.abs((F.col("sa") - F.col("a0")) / F.col("na") - (F.col("sb") - F.col("b0")) / F.col("nb"))
     gaps = sums.join(F.broadcast(base), "column").withColumn("gap", F.when((F.col("na") > 0) & (F.col("nb") > 0), gap))
-    after = sums.select("column", (F.col("r") - 1).alias("r"), F.col("v").alias("next"))
-    moved = gaps.join(after, ["column", "r"], "left").groupBy("column").agg(F.max("gap").alias("ks"), F.coalesce(F.sum(F.col("gap") * (F.col("next") - F.col("v"))), F.lit(0.0)).alias("wasserstein"))
+    moved = _with_next(gaps).groupBy("column").agg(F.max("gap").alias("ks"), F.coalesce(F.sum(F.col("gap") * (F.col("next") - F.col("v"))), F.lit(0.0)).alias("wasserstein"))
     spread = each.where("old").groupBy("column").agg(F.stddev_samp("v").alias("deviation"))
     return base.select("column", F.col("na").alias("n_reference"), F.col("nb").alias("n_current"), "distinct").join(moved, "column").join(spread, "column", "left")
 
 
+def _with_next(gaps: DataFrame) -> DataFrame:
+    """gaps with next, the column's value after v. Ranks r are dealt into buckets of neighbours; the first value of a bucket,
+    one row a bucket, is what follows the last of the bucket before, so no task holds a column and nothing is joined by rank."""
+    bucket = F.floor(F.col("r") / BUCKET).alias("bucket")
+    inside = Window.partitionBy("bucket").orderBy("r")
+    held = gaps.withColumn("bucket", bucket)
+    firsts = held.groupBy("bucket").agg(F.min_by(F.struct("column", "v"), "r").alias("first")).select((F.col("bucket") - 1).alias("bucket"), "first")
+    after = F.coalesce(F.lead(F.struct("column", "v")).over(inside), F.col("first"))
+    return held.join(firsts, "bucket", "left").withColumn("after", after).withColumn("next", F.when(F.col("after.column") == F.col("column"), F.col("after.v"))).drop("after", "first", "bucket")
+
+
 def category_distances(rows: DataFrame, columns: Sequence[str], part: str = "part") -> DataFrame:
     """(column, n_reference, n_current, distinct, js, chi2): Jensen-Shannon distance and chi-square of value shares."""
     old = F.col(part) == "reference"

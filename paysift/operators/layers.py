@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paysift.functions.payments import card_token
-from paysift.operators.features import FEATURES, add_card_features
+from paysift.operators.features import FEATURES, add_card_features, add_card_features_by_day
 
 SILVER = (
     "transaction_id event_time event_date transaction_dt card_token amount product_cd card3 card4 card5 card6 dist1 dist2 p_emaildomain r_emaildomain "
@@ -28,9 +28,12 @@ def to_silver(bronze: DataFrame, salt: str) -> DataFrame:
     return first_arrivals(bronze).where("amount > 0").withColumn("card_token", card_token(F.col("card_key"), salt)).select(*SILVER)
 
 
-def to_gold(silver: DataFrame) -> DataFrame:
-    """Keys, features, passed-through columns and maps of each payment."""
-    return add_card_features(silver).select(*KEYS, *FEATURES, *PASSTHROUGH, "counts", "deltas", "match_flags")
+def to_gold(silver: DataFrame, by_day: bool = True) -> DataFrame:
+    """Keys, features, passed-through columns and maps of each payment.
+
+    by_day splits each card by day, so that a card with very many payments is not one task; without it there is one shuffle less.
+    """
+    return (add_card_features_by_day if by_day else add_card_features)(silver).select(*KEYS, *FEATURES, *PASSTHROUGH, "counts", "deltas", "match_flags")
 
 
 def staged_payments(silver: DataFrame) -> DataFrame:

@@ -86,7 +86,7 @@ def decision_detail(facts: DataFrame, chargebacks: DataFrame, transaction_id: in
 def latest_features(decisions: DataFrame, transaction_id: int | None = None) -> DataFrame:
     """Features and reasons of the newest attempt of a payment, or of each."""
     rows = decisions if transaction_id is None else decisions.where(F.col("transaction_id") == transaction_id)
-    return rows.groupBy("transaction_id").agg(F.max_by(F.struct("features", "top_reasons"), "decided_at").alias("s")).select("transaction_id", "s.*")
+    return rows.groupBy("transaction_id").agg(F.max_by(F.struct("features", "top_reasons"), F.struct("decided_at", *[c for c in ("kafka_timestamp", "decision", "score") if c in rows.columns])).alias("s")).select("transaction_id", "s.*")
 
 
 def flagged_known(latest: DataFrame, chargebacks: DataFrame, as_of: str, limit: int | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paysift.operators.layers import SILVER
+from paysift.storage import write_table
 
 
 @dataclass(frozen=True)
@@ -43,6 +44,27 @@ SILVER_SUITE = (
 )
 
 
+_DECISIONS = {"values": ["allow", "review", "block"]}
+_SHARE = {"low": 0, "high": 1}
+#: The contracts of the marts and of the tables that they are made of.
+MART_SUITES = {
+    "silver": (Expect("unique", "transaction_id"), Expect("not_null", "transaction_id"), Expect("not_null", "card_token"), Expect("not_null", "amount")),
+    "decisions": (Expect("not_null", "transaction_id"), Expect("not_null", "decision"), Expect("in_set", "decision", _DECISIONS)),
+    "chargebacks": (Expect("unique", "transaction_id"), Expect("not_null", "transaction_id"), Expect("not_null", "is_fraud"), Expect("in_set", "is_fraud", {"values": [0, 1]})),
+    "fct_decisions": (
+        Expect("unique", "transaction_id"), Expect("not_null", "transaction_id"), Expect("not_null", "decision"), Expect("in_set", "decision", _DECISIONS), Expect("not_null", "outcome"),
+        Expect("in_set", "outcome", {"values": ["pending", "fraud_blocked", "fraud_to_review", "fraud_missed", "false_block", "false_review", "correctly_allowed"]}),
+        Expect("not_null", "latency_ms"), Expect("not_null", "card_token"),
+    ),
+    "agg_daily_kpis": (
+        Expect("unique", "decision_date"), Expect("not_null", "decision_date"), Expect("not_null", "payments_scored"), Expect("not_null", "review_rate"),
+        Expect("between", "review_rate", _SHARE), Expect("between", "false_positive_rate", _SHARE),
+    ),
+    "agg_model_performance": (Expect("between", "precision_at_block", _SHARE), Expect("between", "recall_at_block", _SHARE)),
+    "agg_rule_effectiveness": (Expect("unique", "rule_name"), Expect("not_null", "rule_name"), Expect("not_null", "times_fired"), Expect("between", "hit_rate", _SHARE)),
+}
+
+
 def _bad(e: Expect) -> Column:
     x = F.col(e.column)
     if e.kind == "not_null":
@@ -58,8 +80,13 @@ def _bad(e: Expect) -> Column:
 
 
 def check(rows: DataFrame, suite: Sequence[Expect] = SILVER_SUITE) -> DataFrame:
-    """One row an expectation: i, expectation, success, observed, unexpected_count."""
+    """One row an expectation: i, expectation, success, observed, unexpected_count.
+
+    What a table with unique columns has of the suite's columns is written once, so that it is not computed for each of them.
+    """
     have = set(rows.columns)
+    if any(e.kind == "unique" and e.column in have for e in suite):
+        rows = write_table(rows.select(*sorted({e.column for e in suite if e.column in have})), "checked")
     counted = {i: e for i, e in enumerate(suite) if e.column in have and e.kind not in ("unique", "row_count", "columns")}
     totals = rows.agg(
         F.count("*").alias("n"), *[F.count_if(_bad(e)).alias(f"bad_{i}") for i, e in counted.items()],

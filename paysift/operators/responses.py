@@ -26,6 +26,16 @@ NARRATIVE = {
 }
 
 
+#: Headings of a facts text.
+HEADINGS = {
+    "head": "PAYMENT UNDER REVIEW",
+    "facts": "\nBEHAVIOURAL FACTS",
+    "reasons": "\nWHAT DROVE THE SCORE (from the model, strongest first)",
+    "cases": "\nSIMILAR PAST CASES (already confirmed)",
+    "no_cases": "\nSIMILAR PAST CASES: none found.",
+}
+
+
 def numbers_in(text: Column) -> Column:
     """Every number in a text, as a reader sees them: 1,234.50 or -3.2."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NUMBER), F.lit(0))
@@ -79,16 +89,16 @@ def facts_text(facts: DataFrame) -> Column:
 
     line = lambda label, value: F.concat(F.lit(f"- {label}: "), value)
     rule = F.concat(F.col("triggered_by"), F.coalesce(F.concat(F.lit(" (rule: "), F.col("rule_name"), F.lit(")")), F.lit("")))
-    head = [F.lit("PAYMENT UNDER REVIEW"), line("transaction id", F.col("transaction_id").cast("string")), line("amount", F.format_string("%.2f", "amount")), line("decision", F.col("decision")), line("decided by", rule)]
+    head = [F.lit(HEADINGS["head"]), line("transaction id", F.col("transaction_id").cast("string")), line("amount", F.format_string("%.2f", "amount")), line("decision", F.col("decision")), line("decided by", rule)]
     head.append(F.when(F.col("score").isNotNull(), F.format_string("- model score: %.4f (review at %.4f, block at %.4f)", "score", "review_threshold", "block_threshold")))
     feature = lambda name: F.try_element_at("features", F.lit(name))
     known = [F.when(feature(n).isNotNull(), line(label, _plain(feature(n)))) for n, label in NARRATIVE.items()]
     reasons = F.transform("top_reasons", lambda r: F.format_string("- %s = %s (contribution %+.3f)", r["feature"], r["value"], r["contribution"]))
-    drove = F.when(F.size("top_reasons") > 0, F.concat_ws("\n", F.lit("\nWHAT DROVE THE SCORE (from the model, strongest first)"), F.array_join(reasons, "\n")))
+    drove = F.when(F.size("top_reasons") > 0, F.concat_ws("\n", F.lit(HEADINGS["reasons"]), F.array_join(reasons, "\n")))
     near = lambda c: F.when(c["similarity"] != 0, F.format_string(", similarity %.2f", c["similarity"])).otherwise("")
     cases = F.transform("similar_cases", lambda c: F.concat(F.format_string("- id %d: ", c["transaction_id"]), summary_line(c["occurred_at"], c["amount"], c["decision"], c["is_fraud"], c["resolution"]), near(c)))
-    past = F.when(F.size("similar_cases") > 0, F.concat_ws("\n", F.lit("\nSIMILAR PAST CASES (already confirmed)"), F.array_join(cases, "\n"))).otherwise("\nSIMILAR PAST CASES: none found.")
-    return F.concat_ws("\n", *head, F.lit("\nBEHAVIOURAL FACTS"), *known, drove, past)
+    past = F.when(F.size("similar_cases") > 0, F.concat_ws("\n", F.lit(HEADINGS["cases"]), F.array_join(cases, "\n"))).otherwise(HEADINGS["no_cases"])
+    return F.concat_ws("\n", *head, F.lit(HEADINGS["facts"]), *known, drove, past)
 
 
 def parse_responses(responses: DataFrame, text: str = "response") -> DataFrame:

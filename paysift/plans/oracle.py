@@ -73,9 +73,9 @@ _SPLIT = f"{_PLACED}, split AS (SELECT *, CASE WHEN place < floor(total * 0.7) T
 _WINDOWS = f"{_PLACED}, win AS (SELECT *, CASE WHEN place < floor(total * 0.7) THEN 'reference' ELSE 'current' END AS part, isodow(event_time) - 1 AS day_of_week FROM p)"
 _COSINE = """e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, c.vec_id AS transaction_id, q.label AS ql, c.label AS cl, round(list_inner_product(q.v, c.v) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(c.v, c.v))), 9) AS similarity
-      FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+      FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
 t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, transaction_id) AS rank FROM s) WHERE rank <= 5)"""
-_REVIEWS = f"{_DECISIONS}, reviews AS (SELECT *, CASE WHEN transaction_id % 8 = 0 THEN 'fraud' ELSE 'legitimate' END AS verdict FROM attempts WHERE transaction_id % 4 = 0)"
+_REVIEWS = f"{_DECISIONS}, reviews AS (SELECT *, CASE WHEN transaction_id % 8 = 0 THEN 'fraud' ELSE 'legitimate' END AS verdict FROM attempts)"
 
 
 def _rate(part: str, whole: str) -> str:
@@ -167,7 +167,7 @@ ORACLE: dict[str, str] = {
           pr_auc, roc_auc, round(v, 1) AS fraud_value_total, round(coalesce(vb, 0), 1) AS fraud_value_blocked, round(coalesce(vm, 0), 1) AS fraud_value_missed, round(coalesce(lb, 0), 1) AS legitimate_value_blocked, round(coalesce(vm, 0) + re * 5 + fp * 25, 1) AS expected_cost FROM b, a""",
     "expected_cost": f"""WITH {_SCORED}, {_MADE} SELECT round(coalesce(sum(amount) FILTER (WHERE is_fraud = 1 AND made = 'allow'), 0), 1) AS missed_fraud_cost, round({_of("made = 'review'")} * 5.0::DOUBLE, 1) AS review_cost,
         round({_of("is_fraud = 0 AND made = 'block'")} * 25.0::DOUBLE, 1) AS false_block_cost, round(coalesce(sum(amount) FILTER (WHERE is_fraud = 1 AND made = 'allow'), 0) + {_of("made = 'review'")} * 5 + {_of("is_fraud = 0 AND made = 'block'")} * 25, 1) AS expected_cost FROM d""",
-    "tuned_thresholds": f"""WITH {_SCORED}, t AS (SELECT DISTINCT unnest(quantile_cont(score, [i / 20.0::DOUBLE for i in range(0, 21)])) AS t FROM scored),
+    "tuned_thresholds": f"""WITH {_SCORED}, t AS (SELECT DISTINCT unnest(quantile_cont(score, [i / 100.0::DOUBLE for i in range(0, 101)])) AS t FROM scored),
         g AS (SELECT t, coalesce(sum(amount / 10000) FILTER (WHERE is_fraud = 1 AND score < t), 0) AS fb, count(*) FILTER (WHERE is_fraud = 0 AND score < t) AS lb, count(*) FILTER (WHERE score < t) AS nb FROM scored, t GROUP BY t),
         w AS (SELECT sum(amount / 10000) FILTER (WHERE is_fraud = 1) AS fa, count(*) FILTER (WHERE is_fraud = 0) AS la FROM scored)
         SELECT round(r.t, 6) AS review_threshold, round(b.t, 6) AS block_threshold, round(r.fb + (b.nb - r.nb) * 5 + (la - b.lb) * 25, 3) AS expected_cost, round(fa, 3) AS baseline_cost FROM g r JOIN g b ON b.t >= r.t, w
@@ -205,12 +205,16 @@ ORACLE: dict[str, str] = {
         CASE WHEN r_emaildomain IS NULL THEN 'missing' ELSE 'other' END AS r_emaildomain, 'missing' AS p_emaildomain FROM f""",
 }
 
-#: The same SQL without the filters that leave cases and payments out.
-_WHOLE = {_COSINE: _COSINE.replace(" WHERE q.vec_id % 50 = 0", ""), _REVIEWS: _REVIEWS.replace(" WHERE transaction_id % 4 = 0", "")}
+#: The same SQL with every case as a query.
+_WHOLE = {_COSINE: _COSINE.replace(" WHERE q.vec_id % 20 = 0", "")}
 for _name in ("nearest_cases", "retrieval_precision", "agreement_rate", "review_feedback", "recent_reviews"):
     _sql = ORACLE[_name]
     for _part, _all in _WHOLE.items():
         _sql = _sql.replace(_part, _all)
     ORACLE[f"{_name}_all"] = _sql
 
-ORACLE["tuned_thresholds_all"] = ORACLE["tuned_thresholds"].replace("i / 20.0::DOUBLE for i in range(0, 21)", "i / 100.0::DOUBLE for i in range(0, 101)")
+ORACLE["tuned_thresholds_all"] = ORACLE["tuned_thresholds"]
+
+from paysift.plans import chains_sql  # noqa: E402
+
+ORACLE |= chains_sql.SQL

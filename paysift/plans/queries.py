@@ -93,7 +93,8 @@ def parsed_decisions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prediction_drift(spark: SparkSession, sf: str) -> DataFrame:
-    return DR.prediction_drift(R.window_split(D.latest_attempts(I.decisions(spark, sf)).select("transaction_id", "decided_at", "score"), time="decided_at"))
+    out = DR.prediction_drift(R.window_split(D.latest_attempts(I.decisions(spark, sf)).select("transaction_id", "decided_at", "score"), time="decided_at"))
+    return out.withColumn("drifted_columns", F.array_join("drifted_columns", ","))
 
 
 def card_states(spark: SparkSession, sf: str) -> DataFrame:
@@ -321,11 +322,11 @@ def _tuned(spark: SparkSession, sf: str, **given: int) -> DataFrame:
 
 
 def tuned_thresholds(spark: SparkSession, sf: str) -> DataFrame:
-    return _tuned(spark, sf, grid=21)
+    return _tuned(spark, sf)
 
 
 def tuned_thresholds_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Over the operator's own 101 quantiles; tuned_thresholds has 21."""
+    """As tuned_thresholds, which once tried fewer quantiles."""
     return _tuned(spark, sf)
 
 
@@ -367,19 +368,19 @@ def drift_report(spark: SparkSession, sf: str) -> DataFrame:
 
 def nearest_cases(spark: SparkSession, sf: str) -> DataFrame:
     stored = I.cases(spark, sf)
-    found = C.nearest(stored.where("transaction_id % 50 = 0"), stored)
+    found = C.nearest(stored.where("transaction_id % 20 = 0"), stored)
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
 def nearest_cases_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Neighbours of every case; nearest_cases has those of a fiftieth of them."""
+    """Neighbours of every case; nearest_cases has those of every id that 20 divides."""
     stored = I.cases(spark, sf)
     return C.nearest(stored, stored).withColumn("similarity", F.round("similarity", 6))
 
 
 def retrieval_precision(spark: SparkSession, sf: str) -> DataFrame:
     stored = I.cases(spark, sf)
-    out = C.retrieval_precision(C.nearest(stored.where("transaction_id % 50 = 0"), stored), stored)
+    out = C.retrieval_precision(C.nearest(stored.where("transaction_id % 20 = 0"), stored), stored)
     return out.withColumn("precision", F.round("precision", 6))
 
 
@@ -400,7 +401,7 @@ def case_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return C.upsert(latest, new.unionByName(extra)).drop("card_token")
 
 
-def _reviews(spark: SparkSession, sf: str, part: str = "transaction_id % 4 = 0") -> DataFrame:
+def _reviews(spark: SparkSession, sf: str, part: str = "true") -> DataFrame:
     rows = D.latest_attempts(I.decisions(spark, sf)).where(part)
     return rows.select("transaction_id", F.col("decided_at").alias("reviewed_at"), F.lit("a").alias("analyst"), F.when(F.col("transaction_id") % 8 == 0, "fraud").otherwise("legitimate").alias("verdict"), F.lit("").alias("note"), F.col("decision").alias("platform_decision"), "model_version")
 
@@ -414,7 +415,7 @@ def agreement_rate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def agreement_rate_all(spark: SparkSession, sf: str) -> DataFrame:
-    """With a review of every payment; agreement_rate has one of every fourth. So with the next two."""
+    """As agreement_rate, which once saw every fourth review; so with the next two."""
     return _agreement(_reviews(spark, sf, "true"))
 
 
@@ -468,13 +469,19 @@ def model_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("transaction_id", F.round("amount", 6).alias("amount"), "card_is_new", "C1", "device_type", "r_emaildomain", "p_emaildomain")
 
 
+def _labelled(spark: SparkSession, sf: str) -> DataFrame:
+    rows = FE.add_card_features_by_day(I.payments(spark, sf), "card_key")
+    return rows.join(I.chargebacks(spark, sf).select("transaction_id", "is_fraud"), "transaction_id")
+
+
 def trained_model(spark: SparkSession, sf: str) -> DataFrame:
-    rows = FE.add_card_features(I.payments(spark, sf), "card_key").withColumn("is_fraud", (F.col("amount") > 120).cast("int"))
+    """Trained, tuned and tested on the labels of the payments that have one."""
+    rows = _labelled(spark, sf)
     return MO.train_and_test(rows)[2].select("rows", "fraud_count", "pr_auc", "roc_auc", "expected_cost", "baseline_cost")
 
 
 def explained_decisions(spark: SparkSession, sf: str) -> DataFrame:
-    rows = FE.add_card_features(I.payments(spark, sf), "card_key").withColumn("is_fraud", (F.col("amount") > 120).cast("int"))
+    rows = _labelled(spark, sf)
     matrix = MO.model_matrix(rows, keep=("transaction_id", "is_fraud"))
     model = MO.fit(matrix)
     scored = model.contributions(model.score(matrix))
@@ -484,3 +491,7 @@ def explained_decisions(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", None) == __name__ and not f.__name__.startswith("_")
 }
+
+from paysift.plans import chains  # noqa: E402
+
+QUERIES |= chains.QUERIES

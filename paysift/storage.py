@@ -13,9 +13,15 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where that is unset."""
-    if at := spark.conf.get("spark.checkpoint.dir", None):
-        return at.rstrip("/")
+    """spark.checkpoint.dir, or the context's checkpoint folder; a folder of our own only for a local master without either.
+
+    On a cluster a local folder would be another one on every machine, so there a shared one has to be named.
+    """
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if given:
+        return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="paysift-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)

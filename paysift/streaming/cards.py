@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from typing import Any
 
@@ -47,11 +48,50 @@ def folded(state: Remembered, second: int, amount: float, device: str | None, do
     return n + 1, total + amount, clock, kept, seen(device, devices), seen(domain, domains)
 
 
+class _Day:
+    """A card's last day of payments in the order of seconds, with running sums: a window takes two binary searches."""
+
+    def __init__(self, recent: list[tuple[int, float]]) -> None:
+        self.seconds: list[int] = []
+        self.sums, self.first = [0.0], 0
+        for second, amount in sorted(recent):
+            self.add(second, amount)
+
+    def add(self, second: int, amount: float) -> None:
+        at = bisect_right(self.seconds, second)
+        self.seconds.insert(at, second)
+        self.sums.insert(at + 1, self.sums[at] + amount)
+        for i in range(at + 2, len(self.sums)):  # only after a late payment
+            self.sums[i] += amount
+
+    def forget(self, before: int) -> None:
+        self.first = bisect_left(self.seconds, before, self.first)
+        if self.first > 1000 and 2 * self.first > len(self.seconds):
+            del self.seconds[: self.first]
+            base = self.sums[self.first]
+            self.sums = [x - base for x in self.sums[self.first :]]
+            self.first = 0
+
+    def within(self, second: int, span: int) -> tuple[int, float]:
+        """Number and amount of what is kept from second - span to second."""
+        low = max(self.first, bisect_left(self.seconds, second - span))
+        high = max(low, bisect_right(self.seconds, second))
+        return high - low, self.sums[high] - self.sums[low]
+
+    def kept(self) -> list[tuple[int, float]]:
+        return [(s, b - a) for s, a, b in zip(self.seconds[self.first :], self.sums[self.first :], self.sums[self.first + 1 :])]
+
+
 class CardProcessor(StatefulProcessor):
-    """One row out for each payment: its features before it is folded into its card's state."""
+    """One row out for each payment: its features before it is folded into its card's state.
+
+    The same as score_time_features() and folded() one after the other, but a payment costs the logarithm of a day's
+    payments and not their number.
+    """
 
-    def __init__(self, ttl_hours: float | None = 48, tracked: int = TRACKED) -> None:
+    def __init__(self, ttl_hours: float | None = 48, tracked: int = TRACKED, idle_hours: float | None = None) -> None:
         self.tracked = tracked
+        self.idle = None if idle_hours is None else idle_hours * 3600
         self.ttl = int(ttl_hours * 3_600_000) if ttl_hours else None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -63,25 +103,35 @@ class CardProcessor(StatefulProcessor):
         if held is not None:
             n, total, last, recent, devices, domains = held
             state = n, total, last, [(r[0], r[1]) for r in recent], list(devices), list(domains)
+        day = _Day(state[3])
         batch = pd.concat(list(rows)).sort_values(["second", "transaction_id"], kind="stable")  # a card's payments of one micro-batch
         out = []
         for r in batch.itertuples(index=False):
             device, domain = (None if pd.isna(x) else x for x in (r.device_info, r.r_emaildomain))
             second, amount = int(r.second), float(r.amount)
-            out.append({"transaction_id": r.transaction_id, "event_time": r.event_time} | score_time_features(state, second, amount, device, domain, bool(r.identity)))
-            state = folded(state, second, amount, device, domain, self.tracked)
-        n, total, last, recent, devices, domains = state
-        self.state.update((n, total, last, [(int(s), float(a)) for s, a in recent], devices, domains))
+            if self.idle is not None and state[2] is not None and second - state[2] > self.idle:
+                state, day = EMPTY, _Day([])
+            n, total, last, _, devices, domains = state
+            counts = {name: float(1 + day.within(second, span)[0]) for name, span in (("card_txn_count_10m", 600), ("card_txn_count_1h", 3600), ("card_txn_count_24h", DAY))}
+            found = score_time_features((n, total, last, [], devices, domains), second, amount, device, domain, bool(r.identity))
+            found |= counts | {"card_amount_sum_24h": amount + day.within(second, DAY)[1]}
+            out.append({"transaction_id": r.transaction_id, "event_time": r.event_time} | found)
+            state = folded((n, total, last, [], devices, domains), second, amount, device, domain, self.tracked)
+            day.add(second, amount)
+            day.forget(state[2] - DAY)
+        n, total, last, _, devices, domains = state
+        self.state.update((n, total, last, [(int(s), float(a)) for s, a in day.kept()], devices, domains))
         yield pd.DataFrame(out)
 
     def close(self) -> None:
         pass
 
 
-def stream_features(payments: DataFrame, card: str = "card_key", ttl_hours: float | None = 48, tracked: int = TRACKED) -> DataFrame:
+def stream_features(payments: DataFrame, card: str = "card_key", ttl_hours: float | None = 48, tracked: int = TRACKED, idle_hours: float | None = None) -> DataFrame:
     """Features of a stream of payments. State and offsets commit together, so a repeated batch is folded once.
 
-    A card that is idle for ttl_hours is forgotten; None keeps it. Of a card's devices and domains the last `tracked` are known. Needs the RocksDB state store.
+    A card that is idle for ttl_hours by the clock is forgotten; None keeps it. A payment that comes over idle_hours of event time
+    after its card's last one finds a new card, which a one-shot run can do too. Of a card's devices and domains the last `tracked` are known. Needs the RocksDB state store.
     """
     identity = F.col("device_info").isNotNull()
     if "identity_numeric" in payments.columns:
@@ -89,7 +139,7 @@ def stream_features(payments: DataFrame, card: str = "card_key", ttl_hours: floa
     rows = payments.select(
         F.col(card).alias("card"), "transaction_id", F.col("event_time").cast("timestamp").alias("event_time"), F.col("event_time").cast("timestamp").cast("long").alias("second"), "amount", "device_info", "r_emaildomain", identity.alias("identity")
     )
-    return rows.groupBy("card").transformWithStateInPandas(CardProcessor(ttl_hours, tracked), OUTPUT, "Append", "None" if ttl_hours is None else "ProcessingTime")
+    return rows.groupBy("card").transformWithStateInPandas(CardProcessor(ttl_hours, tracked, idle_hours), OUTPUT, "Append", "None" if ttl_hours is None else "ProcessingTime")
 
 
 def encode_state(state: Column) -> Column:
