@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,38 +14,34 @@ from pyspark.sql import functions as F
 
 from paysift.llm.common import crc_mod, pieces, raw_texts
 
-SLOTS = 64
 UNKNOWN = "und"
+#: Bits of a code point in a trigram's code; 0 is the edge of a word.
+_BITS = 21
 
 
 @cache
-def _slots() -> np.ndarray:
-    """Slot of every code point below 65536: 0 for other than letters, 1-26 for a-z, others dealt over 27-63."""
-    table = np.array([27 + cp * 40503 % 65536 * 37 // 65536 if chr(cp).isalpha() else 0 for cp in range(1 << 16)], np.uint32)
-    table[97:123] = np.arange(1, 27)
-    return table
+def _is_letter() -> np.ndarray:
+    """For every code point: letters and the marks that go with them."""
+    return np.array([unicodedata.category(chr(cp))[0] in "LM" for cp in range(0x110000)])
 
 
-@cache
-def _letters(dims: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Random vectors of +1 and -1 for the slots, as they are and permuted once and twice (a rotation)."""
-    first = np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (SLOTS, dims))
-    return first, np.roll(first, 1, axis=1), np.roll(first, 2, axis=1)
+@lru_cache(maxsize=4096)
+def _letter(point: int, dims: int, seed: int) -> np.ndarray:
+    """The random vector of +1 and -1 of a letter, every code point its own: drawn from seed and code point alone."""
+    return np.random.default_rng((seed, point)).choice(np.array([-1, 1], np.int8), dims)
 
 
 def _trigrams(text: str) -> np.ndarray:
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    slots = _slots()[np.minimum(points, 0xFFFF)]
-    slots = np.where(points > 0xFFFF, 27 + points % 37, slots)
-    slots = np.concatenate(([0], slots, [0])).astype(np.int32)
-    slots = slots[np.concatenate(([True], (slots[1:] != 0) | (slots[:-1] != 0)))]
-    codes = (slots[:-2] * SLOTS + slots[1:-1]) * SLOTS + slots[2:]
-    return codes[slots[1:-1] != 0]
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    points = np.concatenate(([0], np.where(_is_letter()[points], points, 0), [0]))
+    points = points[np.concatenate(([True], (points[1:] != 0) | (points[:-1] != 0)))]
+    codes = points[:-2] << 2 * _BITS | points[1:-1] << _BITS | points[2:]
+    return codes[points[1:-1] != 0]
 
 
 def trigram_counts(raw: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     """Codes of letter trigrams, word edges counting as a letter, and their counts; empty without letters."""
-    codes, counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
+    codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for piece in pieces(raw or b""):
         found, n = np.unique(_trigrams(piece.decode("utf-8", "replace")), return_counts=True)
         if len(codes):
@@ -62,12 +59,16 @@ def bundles(texts: list[tuple[np.ndarray, np.ndarray]], dims: int, seed: int) ->
     for i, (own, n) in enumerate(texts):
         weights[i, where[at : at + len(own)]] = n
         at += len(own)
-    last, middle, first = _letters(dims, seed)
+    parts = np.stack([codes >> 2 * _BITS, codes >> _BITS & (1 << _BITS) - 1, codes & (1 << _BITS) - 1])
+    points, where = np.unique(parts, return_inverse=True)
+    where = where.reshape(parts.shape)
+    last = np.array([_letter(int(p), dims, seed) for p in points], np.int8).reshape(len(points), dims)
+    middle, first = np.roll(last, 1, axis=1), np.roll(last, 2, axis=1)  # permuted once and twice, by their place
     out = np.zeros((len(texts), dims), np.float32)
     for lo in range(0, len(codes), 4096):
-        c = codes[lo : lo + 4096]
-        bound = first[c // (SLOTS * SLOTS)] * middle[c // SLOTS % SLOTS] * last[c % SLOTS]
-        out += weights[:, lo : lo + 4096] @ bound.astype(np.float32)
+        at = slice(lo, lo + 4096)
+        bound = first[where[0, at]] * middle[where[1, at]] * last[where[2, at]]
+        out += weights[:, at] @ bound.astype(np.float32)
     return out
 
 
@@ -79,7 +80,7 @@ class LanguageModel:
     seed: int
 
 
-def fit(docs: DataFrame, bound: int = 20_000, dims: int = 1024, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+def fit(docs: DataFrame, bound: int = 20_000, dims: int = 2048, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Bundles the documents of each language, at most `bound` in all, outside the held-out fold.
 
     Those with the least id hashes are drawn. Each task sums a vector for each language; Spark adds them up.
