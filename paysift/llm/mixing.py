@@ -53,7 +53,7 @@ def mix(
     docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix",
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
-    """One row per row of docs: id, size, source_size, target, taken.
+    """One row per row of docs: id, size, source_size, target, taken; also _source, the hash key and text_key, a hash of the text.
 
     A source gives floor(target) words: as many whole epochs as fit, then the rows first in hash order, the last
     of them in part. Hash keys of the ids put the rows of a source in order; the leading digits of a key are its
@@ -62,11 +62,12 @@ def mix(
     ordered by size. Reruns agree. Other columns are ignored; no rows give no rows.
     """
     text = F.col(text_col).cast("string")
-    name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    # rows without an id are told apart by their texts, so that they are spread over the ranges as well
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
     rows = write_table(
         docs.select(
             F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text).alias("size"),
-            F.md5(F.concat(F.lit(f"{seed}:"), name)).alias("key"),
+            F.md5(F.concat(F.lit(f"{seed}:"), name)).alias("key"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"),
         ),
         "sizes",
     )
@@ -85,4 +86,4 @@ def mix(
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     left = budget - epochs * F.col("source_size") - F.col("offset") - F.col("inside")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left))
-    return joined.select("id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("source").alias("_source"), "key")
+    return joined.select("id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("source").alias("_source"), "key", "text_key")
