@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paysift.llm.common import ordered_id, raw_texts, record_batch, write_table
-from paysift.llm.words import paired_hashes, rolling, sliding_min, spaced_words
+from paysift.llm.words import FACTOR, paired_hashes, rolling, sliding_min, spaced_words
 
 _SEED = pa.schema([("h", pa.int64()), ("did", pa.int64())])
-_EDGE = pa.schema([(n, pa.int64()) for n in ("edge", "proof", "did", "at")])
+_RUN = pa.schema([(n, pa.int64()) for n in ("h", "key", "proof", "did", "at", "length")])
+_EDGE = pa.schema([(n, pa.int64()) for n in ("key", "proof", "did", "at", "length")])
 #: A coordinate `at` is a word position below this, plus a multiple that tells rows with one id apart.
 AT = 1 << 40
 
@@ -35,12 +36,18 @@ def _windows(raw: bytes | None, k: int, seed: int, salt: int) -> tuple[np.ndarra
     return hashes, proofs, sliding_min(rolling(hashes, seed), k - seed + 1)
 
 
-def seed_filter(rows: DataFrame, k: int, seed: int, bits: int, salt: int) -> np.ndarray:
-    """A bitmap of 2**bits bits: minimizers in at least two documents.
+def bitmap(values: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of 2**bits bits of column h. Its size is fixed whatever the corpus; false hits cost work, never results."""
+    slot = F.shiftright(F.col("h").bitwiseAND(F.lit((1 << bits) - 1)), 6).cast("int")
+    words = values.groupBy(slot.alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("word")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words.column("i").to_numpy()] = words.column("word").to_numpy()
+    return out.view(np.uint64)
 
-    Equal windows have equal minimizers, so a window whose minimizer is in one document only can't recur. The
-    bitmap's size is fixed whatever the corpus; false hits of a full bitmap cost work, never results.
-    """
+
+def seed_filter(rows: DataFrame, k: int, seed: int, bits: int, salt: int) -> np.ndarray:
+    """A bitmap of the minimizers in at least two documents. Equal windows have equal minimizers, so a window whose minimizer
+    is in one document only can't recur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -52,12 +59,7 @@ def seed_filter(rows: DataFrame, k: int, seed: int, bits: int, salt: int) -> np.
             yield record_batch(_SEED, pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(of)))
 
     seeds = rows.select("_did", "_text").mapInArrow(run, "h long, did long")
-    repeated = seeds.groupBy("h").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi")
-    slot = F.shiftright(F.col("h").bitwiseAND(F.lit((1 << bits) - 1)), 6).cast("int")
-    words = repeated.groupBy(slot.alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("word")).toArrow()
-    out = np.zeros(1 << (bits - 6), np.int64)
-    out[words.column("i").to_numpy()] = words.column("word").to_numpy()
-    return out.view(np.uint64)
+    return bitmap(seeds.groupBy("h").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi"), bits)
 
 
 def _in_filter(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -65,54 +67,83 @@ def _in_filter(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
-def repeated_edges(rows: DataFrame, repeated: Broadcast, k: int, seed: int, salt: int, bits: int) -> DataFrame:
-    """(edge, proof, did, at): a row for every window whose minimizer is repeated. edge, a hash of its words (of so many
-    bits), names an edge of the de Bruijn graph; proof is another hash of the same words, independent of it."""
+def _mixed(edges: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A hash of each run of edges, in their order."""
+    inside = np.arange(len(edges)) - np.repeat(first, lengths)
+    powers = np.cumprod(np.full(int(lengths.max()), FACTOR, np.uint64))
+    return rolling(np.add.reduceat(edges * powers[inside], first) + lengths.astype(np.uint64), 1)
+
+
+def edge_runs(rows: DataFrame, repeated: Broadcast, k: int, seed: int, salt: int, bits: int, wanted: Broadcast | None = None) -> DataFrame:
+    """(h, key, proof, did, at, length): consecutive windows of a document with one repeated minimizer h.
+
+    A window is an edge of the de Bruijn graph and a run a first stretch of a path. key, of so many bits, is a hash of its words
+    and names it; proof is another hash of the same words, independent of it. With a filter `wanted` of key xor did, the
+    edges of the runs that it has are given one by one, as runs of length 1 with the edge's own key and without h.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[np.ndarray, ...]] = []
             size = 0
             for did, tag, raw in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), raw_texts(batch.column(2))):
-                hashes, proofs, least = _windows(raw, k, seed, salt)
-                at = np.flatnonzero(_in_filter(repeated.value, least)) if len(least) else least
-                for lo in range(0, len(at), 1 << 18):
-                    part = at[lo : lo + (1 << 18)]
-                    out.append((rolling(hashes, k)[part] >> np.uint64(64 - bits), rolling(proofs, k)[part], np.full(len(part), did, np.int64), part + tag * AT))
-                    size += len(part)
-                    if size > 1 << 18:
-                        yield table(out)
-                        out, size = [], 0
+                found = runs(raw, did, tag)
+                if found is not None:
+                    out.append(found)
+                    size += len(found[0])
+                if size > 1 << 17:
+                    yield record_batch(schema, *[pa.array(np.concatenate(x)) for x in zip(*out)])
+                    out, size = [], 0
             if out:
-                yield table(out)
-
-    def table(out: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        return record_batch(_EDGE, *[pa.array(np.concatenate(x).astype(np.uint64, copy=False).view(np.int64)) for x in zip(*out)])
+                yield record_batch(schema, *[pa.array(np.concatenate(x)) for x in zip(*out)])
+
+    def runs(raw: bytes | None, did: int, tag: int) -> tuple[np.ndarray, ...] | None:
+        hashes, proofs, least = _windows(raw, k, seed, salt)
+        at = np.flatnonzero(_in_filter(repeated.value, least)) if len(least) else least
+        if not len(at):
+            return None
+        h = least[at]
+        first = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 1) | (h[1:] != h[:-1]))))
+        lengths = np.diff(np.append(first, len(at)))
+        edges, proved = rolling(hashes, k)[at], rolling(proofs, k)[at]
+        key = _mixed(edges, first, lengths) >> np.uint64(64 - bits)
+        if wanted is None:
+            columns = h[first], key, _mixed(proved, first, lengths), np.full(len(first), did), at[first] + tag * AT, lengths
+        else:
+            take = np.repeat(_in_filter(wanted.value, key ^ np.uint64(np.int64(did).view(np.uint64))), lengths)
+            columns = edges[take] >> np.uint64(64 - bits), proved[take], np.full(int(take.sum()), did), at[take] + tag * AT, np.ones(int(take.sum()), np.int64)
+        return tuple(x.astype(np.uint64, copy=False).view(np.int64) if x.dtype == np.uint64 else x for x in columns)
+
+    schema = _RUN if wanted is None else _EDGE
+    return rows.select("_did", "_tag", "_text").mapInArrow(run, ", ".join(f"{n} long" for n in schema.names))
+
+
+def _steps(runs: DataFrame, sources: DataFrame) -> DataFrame:
+    """(did, at, length, source_did, shift, odd): runs that a smaller document holds too, joined to their sources; odd counts
+    those whose words are not those at the source coordinate."""
+    later = sources.where("last > source.did").select("key", "source")
+    return runs.join(later, "key").where("did > source.did").select(
+        "did", "at", "length", F.col("source.did").alias("source_did"), (F.col("at") - F.col("source.at")).alias("shift"), (F.col("proof") != F.col("source.proof")).cast("long").alias("odd")
+    )
 
-    return rows.select("_did", "_tag", "_text").mapInArrow(run, "edge long, proof long, did long, at long")
 
+def _sources(runs: DataFrame) -> DataFrame:
+    """(key, h of any, source, last): the first coordinate that holds a run, the smallest document, then position."""
+    extra = [F.min("h").alias("h")] if "h" in runs.columns else []
+    return runs.groupBy("key").agg(F.min(F.struct("did", "at", "proof")).alias("source"), F.max("did").alias("last"), *extra)
 
-def compacted(edges: DataFrame) -> DataFrame:
-    """(did, tag, at, length, source_did, source_at, unproved): maximal unbranched paths of edges that a smaller document has.
 
-    The source of an edge is its first coordinate: the smallest document, then position, that holds it; it is found before
-    edges are shuffled as far as each task can, and joined back to the edges, which the join splits where very many windows
-    are equal. Consecutive edges of a document whose sources are consecutive too lie on one unbranched path and become
-    one row. unproved counts the edges whose words are not those at the source coordinate.
-    """
-    sources = edges.groupBy("edge").agg(F.min(F.struct("did", "at", "proof")).alias("source"), F.max("did").alias("last"))
-    sources = sources.where("last > source.did").select("edge", "source")
-    steps = edges.join(sources, "edge").where("did > source.did").select(
-        "did", "at", F.col("source.did").alias("source_did"), (F.col("at") - F.col("source.at")).alias("shift"), (F.col("proof") != F.col("source.proof")).cast("long").alias("odd")
-    )
-    line = Window.partitionBy("did", "source_did", "shift").orderBy("at")
-    path = (F.col("at") - F.dense_rank().over(line)).alias("path")
+def _compacted(steps: DataFrame) -> DataFrame:
+    """(did, tag, at, length, source_did, source_at, odd): steps that follow each other, in the document and in its source, as
+    one unbranched path."""
+    line = Window.partitionBy("did", "source_did", "shift").orderBy("at", "length")
+    starts = (F.lag(F.col("at") + F.col("length")).over(line) != F.col("at")).cast("int")
     return (
-        steps.select("did", "source_did", "shift", "at", "odd", path).groupBy("did", "source_did", "shift", "path")
-        .agg(F.min("at").alias("at"), (F.max("at") - F.min("at") + 1).alias("length"), F.sum("odd").alias("unproved"))
+        steps.withColumn("path", F.sum(F.coalesce(starts, F.lit(0))).over(line.rowsBetween(Window.unboundedPreceding, 0))).groupBy("did", "source_did", "shift", "path")
+        .agg(F.min("at").alias("at"), F.sum("length").alias("length"), F.sum("odd").alias("odd"))
         .select(
             "did", F.floor(F.col("at") / AT).alias("tag"), F.pmod("at", F.lit(AT)).alias("at"), "length", "source_did",
-            F.pmod(F.col("at") - F.col("shift"), F.lit(AT)).alias("source_at"), "unproved",
+            F.pmod(F.col("at") - F.col("shift"), F.lit(AT)).alias("source_at"), "odd",
         )
     )
 
@@ -120,20 +151,32 @@ def compacted(edges: DataFrame) -> DataFrame:
 def repeated_spans(
     docs: DataFrame, k: int = 13, seed: int = 5, filter_bits: int = 26, edge_bits: int = 64, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(did, tag, at, length, source_did, source_at): maximal unbranched paths of repeated k-word windows, each of
-    length + k - 1 words, that a smaller document holds too at the source coordinate.
+    """(did, tag, at, length, source_did, source_at): unbranched paths of repeated k-word windows, each of length + k - 1
+    words, that a smaller document holds too at the source coordinate.
+
+    Paths compact in two joins. First, runs of windows that are equal as a whole: all but those of the smallest document
+    are repeats of it. What is left, one run of each kind, can still share windows with a run of another kind, but only if
+    both have the same minimizer; their windows are joined one by one. Sources are found before the shuffle as far as a task
+    can, and the joins split what very many documents share. Then steps that follow each other become one path.
 
-    The words at both coordinates of every window are compared by a second hash. If two windows share an edge without
-    sharing their words, all is done again under another salt with edges of 64 bits, until every span is proved.
+    The words at both coordinates are compared by a second hash. If two runs or windows share a key without sharing their
+    words, all is done again under another salt with keys of 64 bits, until every span is proved.
     """
     rows = _rows(docs, id_col, text_col)
     context = rows.sparkSession.sparkContext
     for salt in range(16):
-        filter_ = context.broadcast(seed_filter(rows, k, seed, filter_bits, salt))
-        spans = write_table(compacted(repeated_edges(rows, filter_, k, seed, salt, 64 if salt else edge_bits)), "spans")
-        if spans.where("unproved > 0").isEmpty():
-            return spans.drop("unproved")
-    raise RuntimeError("edges of different words share their hashes under every salt")
+        bits = 64 if salt else edge_bits
+        repeated = context.broadcast(seed_filter(rows, k, seed, filter_bits, salt))
+        runs = write_table(edge_runs(rows, repeated, k, seed, salt, bits), "runs")
+        sources = write_table(_sources(runs), "sources")
+        mixed = sources.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h")
+        names = sources.join(mixed, "h").select(F.col("key").bitwiseXOR(F.col("source.did")).alias("h"))
+        edges = write_table(edge_runs(rows, repeated, k, seed, salt, bits, context.broadcast(bitmap(names, filter_bits))), "edges")
+        steps = _steps(runs, sources).unionByName(_steps(edges, _sources(edges)))
+        spans = write_table(_compacted(steps), "spans")
+        if spans.where("odd > 0").isEmpty():
+            return spans.drop("odd")
+    raise RuntimeError("different words share their hashes under every salt")
 
 
 def dedup_substrings(
