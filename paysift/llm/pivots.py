@@ -101,8 +101,9 @@ def _search(q: np.ndarray, q_ids: np.ndarray, q_d: np.ndarray, seeds: np.ndarray
     """(scores, ids, evaluated) of the k best of a block for each query, worst possible where there are fewer.
 
     |d(q, p) - d(c, p)| over all pivots p bounds a candidate's distance from below, so its product from above. All queries
-    take their candidates in the order of the bounds, step by step; one stops at a bound below its k-th best score, which
-    its seed, a k-th best score found elsewhere, may be instead.
+    take their candidates in the order of the bounds, in growing steps; one stops when no bound left reaches its k-th best
+    score, which its seed, a k-th best score found elsewhere, may be instead. When a step would be a quarter of the block, all
+    that may still enter is computed as one product.
     """
     low = np.zeros((len(q), len(c)))
     for j in range(c_d.shape[1]):
@@ -111,24 +112,40 @@ def _search(q: np.ndarray, q_ids: np.ndarray, q_d: np.ndarray, seeds: np.ndarray
     best_s, best_i = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
     evaluated = np.zeros(len(q), np.int64)
     active = np.flatnonzero(bound.max(axis=1) >= seeds)
-    order = np.argsort(-bound[active], axis=1, kind="stable")
-    at = 0
-    while len(active) and at < len(c):
-        part = order[:, at : at + step]
-        s = np.einsum("qd,qsd->qs", q[active], c[part])
-        i = ids[part]
+    while len(active):
+        left = bound[active]
+        all_left = 4 * step >= len(c)
+        if all_left:
+            needed = left >= np.maximum(seeds, best_s[:, k - 1])[active, None]
+            needed &= left > -np.inf
+            columns = np.flatnonzero(needed.any(axis=0))
+            s = np.where(needed[:, columns], q[active] @ c[columns].T, -np.inf)
+            i = np.broadcast_to(ids[columns], s.shape)
+        else:
+            columns = np.argpartition(-left, step - 1, axis=1)[:, :step]
+            s, i = np.einsum("qd,qsd->qs", q[active], c[columns]), ids[columns]
+            np.put_along_axis(left, columns, -np.inf, axis=1)
+            bound[active] = left
+        evaluated[active] += s.shape[1]
         s[i == q_ids[active, None]] = -np.inf
-        evaluated[active] += part.shape[1]
-        s, i = np.concatenate([best_s[active], s], axis=1), np.concatenate([best_i[active], i], axis=1)
-        rank = np.lexsort((i, -s), axis=1)[:, :k]
-        best_s[active], best_i[active] = np.take_along_axis(s, rank, 1), np.take_along_axis(i, rank, 1)
-        at += part.shape[1]
-        if at < len(c):
-            goes_on = bound[active, order[:, at]] >= np.maximum(seeds[active], best_s[active, k - 1])
-            active, order = active[goes_on], order[goes_on]
+        best_s[active], best_i[active] = _best(np.concatenate([best_s[active], s], axis=1), np.concatenate([best_i[active], i], axis=1), k)
+        if all_left:
+            break
+        step *= 4
+        active = active[bound[active].max(axis=1) >= np.maximum(seeds, best_s[:, k - 1])[active]]
     return best_s, best_i, evaluated
 
 
+def _best(s: np.ndarray, i: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k greatest of each row, ties to smaller ids: only what reaches the k-th greatest is sorted."""
+    row, column = np.nonzero(s >= np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None])
+    order = np.lexsort((i[row, column], -s[row, column], row))
+    row, column = row[order], column[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    row, column = row[rank < k], column[rank < k]
+    return s[row, column].reshape(-1, k), i[row, column].reshape(-1, k)
+
+
 def _arrays(batch: pa.RecordBatch, names: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
     for r in range(batch.num_rows):
         yield [batch.column(n)[r].values.to_numpy() for n in names]
