@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from paysift.functions.payments import agreed, amount_band, let
 
 DIMENSIONS, NGRAM = 384, 4
 #: Cases in a block of a search.
-BLOCK = 8192
+BLOCK, QUERY_BLOCK = 8192, 256
 #: What an upsert of a case replaces; the rest keeps its old value.
 CASE_UPDATES = ("decision", "is_fraud", "confirmed_at", "resolution", "description", "facts", "embedding", "embedder")
 REVIEW_UPDATES = ("reviewed_at", "analyst", "verdict", "note")
@@ -67,22 +69,45 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms > 0, dot(a, b) / norms).otherwise(0.0)
 
 
+def _blocks(rows: DataFrame, n: int, key: str, vector: str, name: str) -> DataFrame:
+    """(block number, keys, unit vectors): rows with a vector, dealt by a hash of the key into n blocks for each length."""
+    kept = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("k"), unit(F.col(vector)).alias("v"), F.size(vector).alias("dims"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("b"))
+    packed = kept.groupBy("dims", "b").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("rows"))
+    return packed.select("dims", F.col("b").alias(name), F.col("rows.k").alias(f"{name}_keys"), F.flatten("rows.v").alias(f"{name}_v"))
+
+
 def nearest(queries: DataFrame, cases: DataFrame, k: int = 5, key: str = "transaction_id", vector: str = "embedding", blocks: int | None = None) -> DataFrame:
     """(query_id, rank, key, similarity): the k most similar cases of every query but itself; ties to the smaller key.
 
-    Unit vectors are prepared once on either side. Queries are a stated set: each is copied to every block of cases, whose k best
-    are merged after, so neither side is broadcast and no task has all cases. The number of blocks grows with the cases, so a
-    block has some thousands of them whatever their number.
+    Queries are a stated set. Both sides are packed into blocks of bounded size, whose number grows with the rows; every query
+    block meets every case block by its number, as one matrix product, and keeps k cases a query for the merge after it. Rows
+    without a key or a vector take no part, and vectors meet those of their own length.
     """
-    if blocks is None:
-        blocks = max(16, -(-cases.count() // BLOCK))
-    q = queries.select(F.col(key).alias("query_id"), unit(F.col(vector)).alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
-    c = cases.select(F.col(key), unit(F.col(vector)).alias("_c"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_b"))
-    dot = F.aggregate(F.zip_with("_q", "_c", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-    scored = q.join(c, "_b").where(F.col("query_id") != F.col(key)).select("query_id", "_b", key, F.round(dot, 9).alias("similarity"))
-    order = [F.desc("similarity"), F.asc(key)]
-    local = scored.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "_b").orderBy(*order))).where(F.col("_r") <= k)
-    return local.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "rank", key, "similarity")
+    n_cases = blocks or max(1, -(-cases.count() // BLOCK))
+    n_queries = max(1, -(-queries.count() // QUERY_BLOCK))
+    c = _blocks(cases, n_cases, key, vector, "c")
+    q = _blocks(queries, n_queries, key, vector, "q").withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n_cases - 1))))
+    kind = cases.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q_keys, q_v, c_keys, c_v in zip(*[batch.column(i) for i in range(4)]):
+                q_keys, c_keys = q_keys.values, c_keys.values
+                q_k, c_k = q_keys.to_numpy(zero_copy_only=False), c_keys.to_numpy(zero_copy_only=False)
+                scores = np.round(q_v.values.to_numpy().reshape(len(q_k), -1) @ c_v.values.to_numpy().reshape(len(c_k), -1).T, 9) + 0.0
+                scores[q_k[:, None] == c_k[None, :]] = -np.inf
+                at = max(0, len(c_k) - k)
+                row, column = np.nonzero(scores >= np.partition(scores, at, axis=1)[:, at, None])
+                order = np.lexsort((column, -scores[row, column], row))  # keys are in order within a block
+                row, column = row[order], column[order]
+                keep = (np.arange(len(row)) - np.searchsorted(row, row) < k) & np.isfinite(scores[row, column])
+                row, column = row[keep], column[keep]
+                yield pa.RecordBatch.from_arrays([q_keys.take(pa.array(row)), c_keys.take(pa.array(column)), pa.array(scores[row, column])], names=["query_id", "k", "similarity"])
+
+    pairs = q.join(c, ["dims", "c"]).select("q_keys", "q_v", "c_keys", "c_v")
+    found = pairs.mapInArrow(run, f"query_id {queries.schema[key].dataType.simpleString()}, k {kind}, similarity double")
+    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc("k"))
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("k").alias(key), "similarity")
 
 
 def ingest_report(stored: DataFrame) -> DataFrame:

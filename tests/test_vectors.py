@@ -30,3 +30,20 @@ def test_gaps_cross_buckets(spark, monkeypatch):
     monkeypatch.setattr(DR, "BUCKET", 7)
     got = sorted(map(tuple, DR.numeric_distances(frame, ["a", "b"]).collect()))
     assert [r[:5] for r in got] == [r[:5] for r in want] and all(abs(x[5] - y[5]) < 1e-9 for x, y in zip(got, want))
+
+
+def test_nearest_equals_all_pairs(spark, monkeypatch):
+    """Blocks of any size give what all pairs give, ties, repeated vectors, zeros, nulls and other lengths included."""
+    rng = random.Random(3)
+    rows = [(i, [rng.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(3)]) for i in range(120)] + [(200, None), (None, [1.0, 1.0, 1.0]), (201, [1.0, 2.0]), (202, [2.0, 4.0])]
+    frame = spark.createDataFrame(rows, "transaction_id long, embedding array<double>")
+    unit = lambda v: [x / (math.sqrt(sum(y * y for y in v)) or 1.0) for x in v]
+    good = [(i, unit(v)) for i, v in rows if i is not None and v]
+    want = []
+    for i, v in good:
+        near = sorted((-round(sum(x * y for x, y in zip(v, w)), 9), j) for j, w in good if j != i and len(w) == len(v))[:5]
+        want += [(i, r + 1, j) for r, (_, j) in enumerate(near)]
+    for size in (7, 8192):
+        monkeypatch.setattr(C, "BLOCK", size)
+        got = sorted((r.query_id, r["rank"], r.transaction_id) for r in C.nearest(frame, frame).collect())
+        assert got == sorted(want)
