@@ -45,13 +45,14 @@ def contract_failures(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_landed_decisions(spark: SparkSession, sf: str) -> DataFrame:
-    """Decision messages parsed, landed by day as an exactly-once stream and read back."""
+    """Decision messages parsed, landed as an exactly-once stream and read back; by month here, as the orders span years of days."""
     stream = spark.readStream.schema(I.table(spark, sf, "orders").schema).parquet(f"{sf}/orders.parque[t]")
     rows = I.as_decisions(stream)
     sent = rows.select(F.to_json(F.struct(*[c for c in rows.columns if c != "kafka_timestamp"])).cast("binary").alias("value"), F.col("kafka_timestamp").alias("timestamp"))
     path = new_path(spark, "landed")
-    S.append_stream(S.parse_decisions(sent), path, new_path(spark, "landed-state"), "decision_date", once=True).awaitTermination()
-    return S.read_layer(spark, path).select("transaction_id", "decided_at", F.col("decision_date").cast("date").alias("decision_date"), "decision", F.round("score", 9).alias("score"), "rule_name")
+    landed = S.parse_decisions(sent).withColumn("decision_month", F.date_format("decision_date", "yyyy-MM"))
+    S.append_stream(landed, path, new_path(spark, "landed-state"), "decision_month", once=True).awaitTermination()
+    return S.read_layer(spark, path).select("transaction_id", "decided_at", "decision_date", "decision", F.round("score", 9).alias("score"), "rule_name")
 
 
 def appended_layers(spark: SparkSession, sf: str) -> DataFrame:
