@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paysift.functions.payments import decide
 from paysift.operators.ranking import exact_quantiles, ranking_metrics
+from paysift.storage import write_table
 
 REVIEW_COST, FALSE_BLOCK_COST = 5.0, 25.0
 
@@ -60,7 +61,7 @@ def tune_thresholds(
 
     Rows are counted in the at most grid + 1 steps between candidates; the search runs over those few rows.
     """
-    scored = scored.where(F.col(score).isNotNull())
+    scored = write_table(scored.where(F.col(score).isNotNull()).select(score, label, amount), "scored")  # read three times
     shares = [i / (grid - 1) for i in range(grid)] if grid > 1 else [0.0]
     cuts = sorted(set(exact_quantiles(scored, score, shares)))
     if not cuts:

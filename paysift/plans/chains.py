@@ -16,6 +16,7 @@ from paysift.operators import marts as M
 from paysift.operators import model as MO
 from paysift.operators import quality as Q
 from paysift.operators import responses as RE
+from paysift.operators import rules as RU
 from paysift.plans import inputs as I
 from paysift.plans import queries as B
 from paysift.sources import ingest as S
@@ -202,4 +203,29 @@ def event_times(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("days", F.round(span, 9))
 
 
+def rule_operators(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules with the conditions that the other rule queries don't have."""
+    when = lambda *tests, mode="all": {mode: [dict(zip(("field", "op", "value"), t)) for t in tests]}
+    config = {"blocklist": {"card_tokens": ["3", "5", "8"]}, "rules": [
+        {"name": "listed", "action": "block", "when": when(("card_key", "in_blocklist"))},
+        {"name": "small_other", "action": "review", "when": when(("amount", "<=", 20), ("device_info", "!=", "click"))},
+        {"name": "nowhere", "action": "review", "when": when(("absent", "is_null"), ("r_emaildomain", "==", "7"), ("amount", ">", 10))},
+        {"name": "either", "action": "block", "when": when(("amount", ">", 180), ("device_info", "in", ["refund"]), mode="any")},
+    ]}
+    return RU.apply_rules(I.payments(spark, sf), config).select("transaction_id", "rule_action", "rule_name", F.concat_ws(",", "matched_rules").alias("matched"))
+
+
+def early_labels_found(spark: SparkSession, sf: str) -> DataFrame:
+    """What the check of early labels finds where every label is shown at once."""
+    shown = B._facts(spark, sf).withColumn("is_confirmed_fraud", F.col("decision") == "block")
+    return D.early_labels(shown, I.AS_OF).select("transaction_id", "label_available_at", "is_confirmed_fraud")
+
+
+def tuned_costs(spark: SparkSession, sf: str) -> DataFrame:
+    """All that tuning reports of the pair it chooses."""
+    out = E.tune_thresholds(B._scored(spark, sf).withColumn("amount", F.col("amount") / 10_000))
+    rates = ("review_threshold", "block_threshold", "review_rate", "block_rate", "cost_reduction")
+    return out.select(*[F.round(c, 6).alias(c) for c in rates], *[F.round(c, 3).alias(c) for c in ("missed_fraud_cost", "review_cost", "false_block_cost", "expected_cost", "baseline_cost")])
+
+
 QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", None) == __name__ and not f.__name__.startswith("_")}

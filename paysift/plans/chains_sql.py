@@ -143,6 +143,13 @@ SQL: dict[str, str] = {
     "case_ingest": f"WITH {_LABELS}, {_DECISIONS} SELECT count(*) AS cases, count(*) FILTER (is_fraud = 1) AS fraud, count(*) FILTER (is_fraud = 0) AS legitimate, count(*) AS from_chargebacks FROM attempts JOIN labels USING (transaction_id) WHERE label_available_at <= {_NOW}",
     "review_upsert": f"WITH {_DECISIONS} SELECT transaction_id, CASE WHEN transaction_id % 3 = 0 OR transaction_id % 8 = 0 THEN 'fraud' ELSE 'legitimate' END AS verdict, CASE WHEN transaction_id % 3 = 0 THEN 'again' ELSE '' END AS note, decision AS platform_decision FROM attempts",
     "version_days": f"WITH {_FACTS} SELECT decision_date, count(*) AS labelled_payments, count(*) FILTER (is_confirmed_fraud) AS fraud_count FROM facts WHERE label_is_known AND model_version = '1-URGENT' GROUP BY decision_date",
+    "rule_operators": f"""WITH {_PAYMENTS}, r AS (SELECT *, card_key IN ('3', '5', '8') AS listed, amount <= 20 AND device_info <> 'click' AS small_other, coalesce(r_emaildomain = '7', false) AND amount > 10 AS nowhere, amount > 180 OR device_info = 'refund' AS either FROM payments)
+        SELECT transaction_id, CASE WHEN listed OR either THEN 'block' WHEN small_other OR nowhere THEN 'review' END AS rule_action, CASE WHEN listed THEN 'listed' WHEN either THEN 'either' WHEN small_other THEN 'small_other' WHEN nowhere THEN 'nowhere' END AS rule_name,
+               concat_ws(',', CASE WHEN listed THEN 'listed' END, CASE WHEN small_other THEN 'small_other' END, CASE WHEN nowhere THEN 'nowhere' END, CASE WHEN either THEN 'either' END) AS matched FROM r""",
+    "early_labels_found": f"WITH {_FACTS} SELECT transaction_id, label_available_at, decision = 'block' AS is_confirmed_fraud FROM facts WHERE label_available_at > {_NOW}",
+    "tuned_costs": ORACLE["tuned_thresholds"].partition("SELECT round(r.t, 6)")[0] + """SELECT round(r.t, 6) AS review_threshold, round(b.t, 6) AS block_threshold, round((b.nb - r.nb) / n::DOUBLE, 6) AS review_rate, round((n - b.nb) / n::DOUBLE, 6) AS block_rate,
+        round(1 - (r.fb + (b.nb - r.nb) * 5 + (la - b.lb) * 25) / fa, 6) AS cost_reduction, round(r.fb, 3) AS missed_fraud_cost, round((b.nb - r.nb) * 5.0::DOUBLE, 3) AS review_cost, round((la - b.lb) * 25.0::DOUBLE, 3) AS false_block_cost,
+        round(r.fb + (b.nb - r.nb) * 5 + (la - b.lb) * 25, 3) AS expected_cost, round(fa, 3) AS baseline_cost FROM g r JOIN g b ON b.t >= r.t, w, (SELECT count(*) AS n FROM scored) ORDER BY round(r.fb + (b.nb - r.nb) * 5 + (la - b.lb) * 25, 6), r.t, b.t LIMIT 1""",
     "labels_known": f"WITH {_LABELS} SELECT transaction_id, is_fraud, label_available_at FROM labels WHERE label_available_at <= {_NOW}",
     "event_times": "SELECT o_orderkey AS transaction_id, TIMESTAMP '2020-02-29 10:00:00' + to_microseconds(o_orderkey * 500000) AS event_time, round(o_orderkey * 0.5::DOUBLE / 86400, 9) AS days FROM orders",
 }

@@ -83,4 +83,4 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("transaction_id"), "embedding", F.col("label").alias("is_fraud"), F.lit("given").alias("embedder"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("transaction_id"), "embedding", F.col("label").alias("is_fraud"), F.concat(F.lit("given-"), (F.col("label") % 3).cast("string")).alias("embedder"))

@@ -191,7 +191,7 @@ ORACLE: dict[str, str] = {
                round(sum(CASE WHEN a > 0 THEN (b - nb * x) ** 2 / (nb * x) ELSE b END), 4) AS chi2 FROM k GROUP BY "column\"""",
     "nearest_cases": f"WITH {_COSINE} SELECT query_id, CAST(rank AS INTEGER) AS rank, transaction_id, round(similarity, 6) AS similarity FROM t",
     "retrieval_precision": f"WITH {_COSINE} SELECT query_id, count(*) AS retrieved, count(*) FILTER (WHERE ql = cl) AS matching, round(count(*) FILTER (WHERE ql = cl) / count(*)::DOUBLE, 6) AS precision FROM t GROUP BY query_id",
-    "stored_embedders": "SELECT DISTINCT 'given' AS embedder FROM embeddings",
+    "stored_embedders": "SELECT DISTINCT 'given-' || CAST(label % 3 AS VARCHAR) AS embedder FROM embeddings",
     "case_upsert": f"""WITH {_DECISIONS} SELECT transaction_id, amount, CASE WHEN transaction_id % 3 = 0 THEN 'block' ELSE decision END AS decision, CASE WHEN transaction_id % 3 = 0 THEN 'new' ELSE 'old' END AS resolution FROM attempts
         UNION ALL SELECT -transaction_id - 1, amount * 2, 'block', 'new' FROM attempts WHERE transaction_id % 6 = 0""",
     "agreement_rate": f"WITH {_REVIEWS}, r AS (SELECT * FROM reviews ORDER BY decided_at DESC, transaction_id LIMIT 1000) SELECT round(avg(((decision = 'block') = (verdict = 'fraud'))::INT), 9) AS agreement_rate FROM r",
