@@ -101,7 +101,6 @@ ORACLE: dict[str, str] = {
         FROM attempts GROUP BY 1 HAVING CAST(decided_at AS DATE) + 1 <= (SELECT max(decided_at) - INTERVAL 1 DAY FROM attempts)""",
     "parsed_decisions": f"""WITH {_DECISIONS}, b AS (SELECT * FROM attempts UNION ALL SELECT * REPLACE (decided_at - INTERVAL 1 HOUR AS decided_at, 'allow' AS decision) FROM attempts WHERE transaction_id % 5 = 0)
         SELECT transaction_id, decided_at, CAST(decided_at AS DATE) AS decision_date, decision, round(score, 9) AS score, (rule_name IS NOT NULL)::INT AS n_rules, amount FROM b""",
-    "card_states": f"WITH {_PAYMENTS} SELECT card_key, count(*) AS n, round(sum(amount), 2) AS total, count(*)::INTEGER AS n_recent, string_agg(DISTINCT device_info, ',' ORDER BY device_info) AS devices FROM payments GROUP BY card_key",
     "card_day_states": f"""WITH {_PAYMENTS}, s AS (SELECT *, CAST(floor(epoch_us(event_time) / 1000000) AS BIGINT) AS sec FROM payments), l AS (SELECT *, max(sec) OVER (PARTITION BY card_key) AS last FROM s)
         SELECT card_key, count(*) AS n, round(sum(amount), 2) AS total, CAST(count(DISTINCT sec) FILTER (WHERE sec >= last - 86400) AS INTEGER) AS n_recent, string_agg(DISTINCT device_info, ',' ORDER BY device_info) AS devices FROM l GROUP BY card_key""",
     "silver_first_arrivals": f"WITH {_SILVER} SELECT transaction_id, event_time, event_date, transaction_dt, card_token, round(amount, 6) AS amount, product_cd, r_emaildomain, device_info FROM silver",
@@ -214,6 +213,7 @@ for _name in ("nearest_cases", "retrieval_precision", "agreement_rate", "review_
     ORACLE[f"{_name}_all"] = _sql
 
 ORACLE["tuned_thresholds_all"] = ORACLE["tuned_thresholds"]
+ORACLE["card_states"] = ORACLE["card_day_states"]
 
 from paysift.plans import chains_sql  # noqa: E402
 
