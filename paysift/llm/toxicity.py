@@ -205,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 20_000, prior: float =
     model = ToxicityModel(table, drift, 1.0, 1.0, 0.0, 1.0)
     full, discounted = _score_spread(check.where("label = 0"), model)
     model = ToxicityModel(table, drift, _decay(*full), _decay(*discounted), 0.0, 1.0)
-    found = _evidence(check, model).select("evidence", "label").toArrow()
+    found = _evidence(check, model).orderBy("id").select("evidence", "label").toArrow()
     x, y = found.column("evidence").to_numpy(), (found.column("label").to_numpy() > 0).astype(float)
     intercept, slope = _logistic(x, y) if 0 < y.sum() < len(y) else (0.0, 1.0)
     return ToxicityModel(table, drift, model.decay, model.document_decay, intercept, slope)
