@@ -82,7 +82,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 20_000, pooled_rows: fl
     driver as a table of that many short rows. With one class only, every score is that class's label; without
     labels, 0.
     """
-    rows = statistics_table(labelled_sample(docs, labels, "quality", bound, id_col=id_col, text_col=text_col).select("text", "label")).toArrow()
+    rows = statistics_table(labelled_sample(docs, labels, "quality", bound, id_col=id_col, text_col=text_col)).orderBy("id").toArrow()
     y = rows.column("label").to_numpy() > 0
     x = np.array(rows.column("x").to_pylist(), float).reshape(len(y), len(NAMES))
     if not 1 < y.sum() < len(y) - 1:
