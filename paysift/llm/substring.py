@@ -121,8 +121,7 @@ def edge_runs(rows: DataFrame, repeated: Broadcast, k: int, seed: int, salt: int
 def _steps(runs: DataFrame, sources: DataFrame) -> DataFrame:
     """(did, at, length, source_did, shift, odd): runs that a smaller document holds too, joined to their sources; odd counts
     those whose words are not those at the source coordinate."""
-    later = sources.where("last > source.did").select("key", "source")
-    return runs.join(later, "key").where("did > source.did").select(
+    return runs.join(sources.where("last > source.did").select("key", "source"), "key").where("did > source.did").select(
         "did", "at", "length", F.col("source.did").alias("source_did"), (F.col("at") - F.col("source.at")).alias("shift"), (F.col("proof") != F.col("source.proof")).cast("long").alias("odd")
     )
 
@@ -172,7 +171,9 @@ def repeated_spans(
         mixed = sources.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h")
         names = sources.join(mixed, "h").select(F.col("key").bitwiseXOR(F.col("source.did")).alias("h"))
         edges = write_table(edge_runs(rows, repeated, k, seed, salt, bits, context.broadcast(bitmap(names, filter_bits))), "edges")
-        steps = _steps(runs, sources).unionByName(_steps(edges, _sources(edges)))
+        # written, so that either join has shuffles of its own, which adaptive execution can split
+        shared = write_table(_sources(edges).where("last > source.did"), "edge-sources")
+        steps = _steps(runs, sources).unionByName(_steps(edges, shared))
         spans = write_table(_compacted(steps), "spans")
         if spans.where("odd > 0").isEmpty():
             return spans.drop("odd")
