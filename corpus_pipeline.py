@@ -58,8 +58,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     its first ones, all over again where there are more than it has. Documents without words have none to take. Repeated
     rows, equal in id and text, are one row with what all of them give."""
     text_key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    parts = mix(docs).where("taken > 0").groupBy("id", "text_key").agg(F.sum("taken").alias("taken"), F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
-    texts = docs.select("doc_id", text_key.alias("_key"), "text", "lang", "source").dropDuplicates(["doc_id", "_key"])
+    parts = mix(docs).where("taken > 0").groupBy("id", "text_key").agg(
+        F.sum("taken").alias("taken"), F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.count("*").alias("rows")
+    )
+    parts = write_table(parts, "mixture")
+    texts = docs.select("doc_id", text_key.alias("_key"), "text", "lang", "source")
+    if not parts.where("rows > 1").isEmpty():
+        texts = texts.dropDuplicates(["doc_id", "_key"])
     joined = texts.join(parts, texts.doc_id.eqNullSafe(parts.id) & (texts._key == parts.text_key))
     return joined.select("doc_id", "text", "lang", "source", "size", "source_size", "target", "taken")
 
