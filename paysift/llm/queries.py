@@ -13,6 +13,7 @@ from paysift.llm.decontaminate import matches
 from paysift.llm.html import main_text
 from paysift.llm.mixing import mix
 from paysift.llm.pivots import top_products
+from paysift.llm.runs import collapse_runs, planted_period
 from paysift.llm.simhash import near_duplicates
 from paysift.llm.substring import dedup_substrings
 from paysift.llm.warc import archive_pages, digests
@@ -67,6 +68,17 @@ def op10_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collapse_runs(table(spark, sf_dir, "documents"), rewrite=planted_period, carry=["doc_id"])
+    line = lambda r: F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string"))
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))))
+    best = F.col("strongest")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best.start.alias("start"), best.length.alias("length"), best.period.alias("period"),
+        F.expr("(1000 * strongest.length) div strongest.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
