@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from paysift.llm.pivots import top_products
 from paysift.llm.runs import collapse_runs, planted_period
 from paysift.llm.simhash import near_duplicates
 from paysift.llm.substring import dedup_substrings
+from paysift.llm.token_files import Encoding, read_tokens, write_tokens
 from paysift.llm.warc import archive_pages, digests
 
 
@@ -68,6 +70,12 @@ def op10_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoding = Encoding.from_file(public_tokenizers.path("word_bpe_49k.json"), end_id=1, by_words=True)
+    found = read_tokens(write_tokens(table(spark, sf_dir, "documents"), encoding))
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = collapse_runs(table(spark, sf_dir, "documents"), rewrite=planted_period, carry=["doc_id"])
     line = lambda r: F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string"))
