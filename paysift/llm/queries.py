@@ -14,6 +14,7 @@ from paysift.llm.decontaminate import matches
 from paysift.llm.html import main_text
 from paysift.llm.mixing import mix
 from paysift.llm.pivots import top_products
+from paysift.llm.ranked import search
 from paysift.llm.runs import collapse_runs, planted_period
 from paysift.llm.simhash import near_duplicates
 from paysift.llm.substring import dedup_substrings
@@ -70,6 +71,10 @@ def op10_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoding = Encoding.from_file(public_tokenizers.path("word_bpe_49k.json"), end_id=1, by_words=True)
     found = read_tokens(write_tokens(table(spark, sf_dir, "documents"), encoding))
@@ -155,8 +160,21 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 """
+OP11_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_FOLD} AS w FROM documents),
+s AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS total FROM d WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id, unnest({_FOLD}) AS term FROM benchmark),
+v AS (SELECT DISTINCT term FROM q),
+tf AS (SELECT r, doc_id, n, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS term FROM d) SEMI JOIN v USING (term) GROUP BY ALL),
+df AS (SELECT term, CAST(count(*) AS BIGINT) AS df FROM tf GROUP BY term),
+p AS (SELECT r, doc_id, tf.term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT)
+             * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // total))) AS part FROM tf JOIN df USING (term), s),
+e AS (SELECT item_id, r, doc_id, CAST(sum(part) AS BIGINT) AS score FROM p JOIN q USING (term) GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM e WHERE score > 0) WHERE rank <= 50
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op2_source_mixing": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op5_warc_round_trip": OP5_SQL, "op6_exact_top_k": OP6_SQL, "op8_benchmark_decontamination": OP8_SQL}
+    found = {"op2_source_mixing": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op5_warc_round_trip": OP5_SQL, "op6_exact_top_k": OP6_SQL, "op8_benchmark_decontamination": OP8_SQL, "op11_ranked_search": OP11_SQL}
     return {name: sql.strip() for name, sql in found.items()}
