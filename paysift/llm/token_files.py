@@ -32,6 +32,8 @@ DICTIONARY_BYTES = 112_640
 SAMPLE_DOCS, SAMPLE_IDS = 2048, 4096
 #: A worker remembers the ids of so many words at most.
 CACHED_WORDS = 1 << 20
+#: What may follow the last letter of a word.
+_STOPS = (b".", b",")
 _HEAD, _TAIL = "<8s32sB", "<QQ8s"
 _FILES = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64())])
 _READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
@@ -43,7 +45,7 @@ class Encoding:
     """A tokenizer as its file's text, the id that ends a document, and whether it can be applied word by word.
 
     by_words is right only for tokenizers that lower-case, drop white space and cut between letters and punctuation, with nothing
-    reaching across a cut; then a worker encodes a word between ASCII white space once, and knows it again in capitals or
+    reaching across a cut and words of a-z left whole to the merges; then a worker encodes a word between ASCII white space once, and knows it again in capitals or
     before a full stop or comma. Others encode the whole text.
     """
 
@@ -69,47 +71,62 @@ class _Encoder:
         self.by_words, self.known = encoding.by_words, {}
         if self.by_words:
             (self.between,) = self.tokenizer.encode("\x7f", add_special_tokens=False).ids
+            self.model, self.serial = self.tokenizer.model, [i.to_bytes(self.kind.itemsize, "little") for i in range(most)]
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[bytes]) -> None:
-        """Encodes many words in one text, with a character between them that is one id and in none of them."""
-        apart = [w for w in words if b"<|" in w or b"\x7f" in w]  # may hold the string of a special token, or the character
-        self.known.update(zip(apart, self._bytes([w.decode() for w in apart])))
-        words = [w for w in words if b"<|" not in w and b"\x7f" not in w]
+        """Encodes words of a-z by the merges alone, and the others in one text, with a character between them that is one id and in none of them."""
+        known, tokenize, serial = self.known, self.model.tokenize, self.serial
+        others = []
+        for w in words:
+            if w.isalpha():
+                known[w] = b"".join([serial[t.id] for t in tokenize(w.decode())])
+            else:
+                others.append(w)
+        words = others
+        text = b" \x7f ".join([*words, b""])
+        if b"<|" in text or text.count(b"\x7f") > len(words):  # the string of a special token, or the character, in a word
+            apart = [w for w in words if b"<|" in w or b"\x7f" in w]
+            known.update(zip(apart, self._bytes([w.decode() for w in apart])))
+            words = [w for w in words if b"<|" not in w and b"\x7f" not in w]
+            text = b" \x7f ".join([*words, b""])
         if not words:
             return
-        (encoded,) = self.tokenizer.encode_batch_fast([b" \x7f ".join([*words, b""]).decode()], add_special_tokens=False)
+        (encoded,) = self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)
         ids = np.array(encoded.ids, self.kind)
         ends = (np.flatnonzero(ids == self.between) * self.kind.itemsize).tolist()
         if len(ends) != len(words):
             raise ValueError("the tokenizer does not keep words apart")
         raw, at = ids.tobytes(), 0
         for word, end in zip(words, ends):
-            self.known[word] = raw[at:end]
+            known[word] = raw[at:end]
             at = end + self.kind.itemsize
 
     def _words(self, words: list[bytes]) -> bytes:
-        missing = set(words).difference(self.known)
+        known = self.known
+        missing = set(words).difference(known)
         if missing:
-            if len(self.known) + 2 * len(missing) > CACHED_WORDS:
-                self.known.clear()
+            if len(known) + 2 * len(missing) > CACHED_WORDS:
+                known.clear()
                 missing = set(words)
-            plain = {w: self._plain(w) for w in missing}
-            fresh = {part for parts in plain.values() for part in parts}.difference(self.known)
-            self._learn(list(fresh))
-            for w, parts in plain.items():
-                self.known[w] = b"".join([self.known[p] for p in parts])
-        return b"".join(map(self.known.__getitem__, words))
-
-    @staticmethod
-    def _plain(word: bytes) -> tuple[bytes, ...]:
-        """Parts that are encoded one by one: the word in small letters, and a stop or comma right after its last letter."""
-        if b"<|" in word:
-            return (word,)
-        word = word.lower()
-        return (word[:-1], word[-1:]) if word[-1:] in (b".", b",") and word[-2:-1].isalpha() else (word,)
+            fresh, derived = [], []
+            for w in missing:
+                plain = w.lower()  # ASCII letters only
+                if plain.endswith(_STOPS) and plain[-2:-1].isalpha() and b"<|" not in w:
+                    derived.append((w, plain[:-1], plain[-1:]))
+                elif plain != w and b"<|" not in w:
+                    derived.append((w, plain, b""))
+                else:
+                    fresh.append(w)
+            if derived:
+                parts = {core for _, core, _ in derived}.union({stop for _, _, stop in derived if stop})
+                fresh += parts.difference(known, fresh)
+            self._learn(fresh)
+            for w, core, stop in derived:
+                known[w] = known[core] + known[stop] if stop else known[core]
+        return b"".join(map(known.__getitem__, words))
 
     def document(self, raw: bytes) -> bytes:
         """The ids of a text and the id that ends it."""
@@ -153,8 +170,12 @@ def train_dictionary(docs: DataFrame, encoding: Encoding, size: int = DICTIONARY
         return b"".join(samples)[-size:]
 
 
-def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
-    return zstandard.ZstdCompressionDict(raw) if raw else None
+def _dictionary(raw: bytes, level: int | None = None) -> zstandard.ZstdCompressionDict | None:
+    """The dictionary; for a level its tables are built once and not for each document."""
+    found = zstandard.ZstdCompressionDict(raw) if raw else None
+    if found and level is not None:
+        found.precompute_compress(level=level)
+    return found
 
 
 def write_tokens(docs: DataFrame, encoding: Encoding, path: str | None = None, level: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,7 +199,7 @@ def write_tokens(docs: DataFrame, encoding: Encoding, path: str | None = None, l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, out = _encoder(given.value), None
-        squeeze = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(shared.value), write_checksum=False, write_dict_id=False)
+        squeeze = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(shared.value, level), write_checksum=False, write_dict_id=False)
         index: list[int] = []
         for batch in batches:
             for did, raw in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
