@@ -9,7 +9,7 @@ from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paysift.llm.common import crc_mod, pieces, raw_texts
@@ -20,9 +20,10 @@ _BITS = 21
 
 
 @cache
-def _is_letter() -> np.ndarray:
-    """For every code point: letters and the marks that go with them."""
-    return np.array([unicodedata.category(chr(cp))[0] in "LM" for cp in range(0x110000)])
+def _kind() -> np.ndarray:
+    """For every code point: 2 for letters, 1 for the marks that go with them, else 0."""
+    kinds = {"L": 2, "M": 1}
+    return np.array([kinds.get(unicodedata.category(chr(cp))[0], 0) for cp in range(0x110000)], np.int8)
 
 
 @lru_cache(maxsize=4096)
@@ -31,24 +32,28 @@ def _letter(point: int, dims: int, seed: int) -> np.ndarray:
     return np.random.default_rng((seed, point)).choice(np.array([-1, 1], np.int8), dims)
 
 
-def _trigrams(text: str) -> np.ndarray:
+def _trigrams(text: str) -> tuple[np.ndarray, bool]:
+    """Codes of the trigrams of letters and marks, and whether there is a letter among them."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    points = np.concatenate(([0], np.where(_is_letter()[points], points, 0), [0]))
+    kind = _kind()[points]
+    points = np.concatenate(([0], np.where(kind > 0, points, 0), [0]))
     points = points[np.concatenate(([True], (points[1:] != 0) | (points[:-1] != 0)))]
     codes = points[:-2] << 2 * _BITS | points[1:-1] << _BITS | points[2:]
-    return codes[points[1:-1] != 0]
+    return codes[points[1:-1] != 0], bool((kind == 2).any())
 
 
 def trigram_counts(raw: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     """Codes of letter trigrams, word edges counting as a letter, and their counts; empty without letters."""
-    codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    codes, counts, spoken = np.zeros(0, np.int64), np.zeros(0, np.int64), False
     for piece in pieces(raw or b""):
-        found, n = np.unique(_trigrams(piece.decode("utf-8", "replace")), return_counts=True)
+        found, letters = _trigrams(piece.decode("utf-8", "replace"))
+        found, n = np.unique(found, return_counts=True)
+        spoken |= letters
         if len(codes):
             found, where = np.unique(np.concatenate([codes, found]), return_inverse=True)
             n = np.bincount(where, np.concatenate([counts, n])).astype(np.int64)
         codes, counts = found, n
-    return codes, counts
+    return (codes, counts) if spoken else (codes[:0], counts[:0])
 
 
 def bundles(texts: list[tuple[np.ndarray, np.ndarray]], dims: int, seed: int) -> np.ndarray:
@@ -83,11 +88,14 @@ class LanguageModel:
 def fit(docs: DataFrame, bound: int = 20_000, dims: int = 2048, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Bundles the documents of each language, at most `bound` in all, outside the held-out fold.
 
-    Those with the least id hashes are drawn. Each task sums a vector for each language; Spark adds them up.
+    Languages take turns, each by the least hashes of its ids, so a rare one keeps all of its few documents. Each task sums a
+    vector for each language; Spark adds them up.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     known = rows.where(crc_mod("id", 3) != 1).where("lang IS NOT NULL AND text IS NOT NULL")
-    drawn = known.select("id").orderBy(F.xxhash64("id"), "id").limit(bound).distinct()
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    turns = known.select("id", "lang").withColumn("turn", turn).where(F.col("turn") <= bound)
+    drawn = turns.orderBy("turn", F.xxhash64("id"), "id").limit(bound).select("id").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -111,7 +119,7 @@ def fit(docs: DataFrame, bound: int = 20_000, dims: int = 2048, seed: int = 7, i
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: the id, held_out, lang_pred, score (the cosine with that language's prototype, at least 0).
 
-    Null texts and texts without letters are `und` with score 0; so is everything if nothing was learned. Ties go to the
+    Null texts and texts without a letter (category L; marks alone are none) are `und` with score 0; so is everything if nothing was learned. Ties go to the
     language that sorts first. Repeated rows have equal results; a null id is not held out. Other columns are ignored; no rows give no rows.
     """
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"), F.coalesce(crc_mod(id_col, 3) == 1, F.lit(False)).alias("held_out"))

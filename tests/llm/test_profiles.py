@@ -65,3 +65,22 @@ def test_scripts(spark):
     assert len(got) > 50 and all(got[i].lang_pred == rows[i][2] for i in got)
     a, b = (langid._letter(ord(c), 2048, 7).astype(int) for c in "жш")
     assert abs(np.dot(a, b)) < 250
+
+
+def test_a_letter_is_needed(docs):
+    from paysift.llm.langid import fit, predict
+
+    model = fit(docs(*[(i, "the words of a text in english") for i in range(1, 9)]))
+    texts = ["́́́ ⃝", "123 ⃝ !", "ःा", "", None, "1 a", "漢"]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in predict(docs(*enumerate(texts)), model).collect()}
+    assert [got[i] for i in range(5)] == [("und", 0.0)] * 5 and got[5][0] == "en" and got[6][0] == "en"
+
+
+def test_a_rare_language_keeps_its_prototype(docs, spark):
+    from pyspark.sql import functions as F
+
+    from paysift.llm.langid import fit
+
+    common = spark.range(100_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("common words of number "), "id").alias("text"), F.lit("en").alias("lang"))
+    rare = spark.range(200_000, 200_010).select(F.col("id").alias("doc_id"), F.lit("ñandú çÉ").alias("text"), F.lit("xx").alias("lang"))
+    assert fit(common.union(rare), bound=50).languages == ("en", "xx")
