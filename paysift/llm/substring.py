@@ -1,4 +1,4 @@
-"""Substring dedup: repeated token k-mers as de Bruijn edges, compacted by joins into spans with proved source coordinates."""
+"""Substring dedup: repeated token k-mers as de Bruijn edges, compacted by joins into spans with compared source coordinates."""
 
 from __future__ import annotations
 
@@ -14,17 +14,14 @@ from paysift.llm.common import ordered_id, raw_texts, record_batch, write_table
 from paysift.llm.words import FACTOR, paired_hashes, rolling, sliding_min, spaced_words
 
 _SEED = pa.schema([("h", pa.int64()), ("did", pa.int64())])
-_RUN = pa.schema([(n, pa.int64()) for n in ("h", "key", "proof", "did", "at", "length")])
-_EDGE = pa.schema([(n, pa.int64()) for n in ("key", "proof", "did", "at", "length")])
-#: A coordinate `at` is a word position below this, plus a multiple that tells rows with one id apart.
-AT = 1 << 40
+_RUN = pa.schema([(n, pa.int64()) for n in ("h", "key", "proof", "did", "text_key", "at", "length")])
+_EDGE = pa.schema([(n, pa.int64()) for n in ("key", "proof", "did", "text_key", "at", "length")])
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = ()) -> DataFrame:
-    """tag: 15 bits of the text, so that rows that share an id but not a text keep their own coordinates."""
+    """A row is named by its id and a 64-bit hash of its text, so rows that share an id but not a text keep their own coordinates."""
     text = F.col(text_col).cast("string")
-    tag = F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(0x7FFF)
-    return docs.select(ordered_id(id_col).alias("_did"), tag.alias("_tag"), text.alias("_text"), *[F.col(c).alias(f"c_{i}") for i, c in enumerate(carry)])
+    return docs.select(ordered_id(id_col).alias("_did"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_text_key"), text.alias("_text"), *[F.col(c).alias(f"c_{i}") for i, c in enumerate(carry)])
 
 
 def _windows(raw: bytes | None, k: int, seed: int, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,7 +72,7 @@ def _mixed(edges: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndar
 
 
 def edge_runs(rows: DataFrame, repeated: Broadcast, k: int, seed: int, salt: int, bits: int, wanted: Broadcast | None = None) -> DataFrame:
-    """(h, key, proof, did, at, length): consecutive windows of a document with one repeated minimizer h.
+    """(h, key, proof, did, text_key, at, length): consecutive windows of a document with one repeated minimizer h.
 
     A window is an edge of the de Bruijn graph and a run a first stretch of a path. key, of so many bits, is a hash of its words
     and names it; proof is another hash of the same words, independent of it. With a filter `wanted` of key xor did, the
@@ -86,8 +83,8 @@ def edge_runs(rows: DataFrame, repeated: Broadcast, k: int, seed: int, salt: int
         for batch in batches:
             out: list[tuple[np.ndarray, ...]] = []
             size = 0
-            for did, tag, raw in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), raw_texts(batch.column(2))):
-                found = runs(raw, did, tag)
+            for did, text_key, raw in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), raw_texts(batch.column(2))):
+                found = runs(raw, did, text_key)
                 if found is not None:
                     out.append(found)
                     size += len(found[0])
@@ -97,7 +94,7 @@ def edge_runs(rows: DataFrame, repeated: Broadcast, k: int, seed: int, salt: int
             if out:
                 yield record_batch(schema, *[pa.array(np.concatenate(x)) for x in zip(*out)])
 
-    def runs(raw: bytes | None, did: int, tag: int) -> tuple[np.ndarray, ...] | None:
+    def runs(raw: bytes | None, did: int, text_key: int) -> tuple[np.ndarray, ...] | None:
         hashes, proofs, least = _windows(raw, k, seed, salt)
         at = np.flatnonzero(_in_filter(repeated.value, least)) if len(least) else least
         if not len(at):
@@ -108,49 +105,48 @@ def edge_runs(rows: DataFrame, repeated: Broadcast, k: int, seed: int, salt: int
         edges, proved = rolling(hashes, k)[at], rolling(proofs, k)[at]
         key = _mixed(edges, first, lengths) >> np.uint64(64 - bits)
         if wanted is None:
-            columns = h[first], key, _mixed(proved, first, lengths), np.full(len(first), did), at[first] + tag * AT, lengths
+            columns = h[first], key, _mixed(proved, first, lengths), np.full(len(first), did), np.full(len(first), text_key), at[first], lengths
         else:
             take = np.repeat(_in_filter(wanted.value, key ^ np.uint64(np.int64(did).view(np.uint64))), lengths)
-            columns = edges[take] >> np.uint64(64 - bits), proved[take], np.full(int(take.sum()), did), at[take] + tag * AT, np.ones(int(take.sum()), np.int64)
+            n = int(take.sum())
+            columns = edges[take] >> np.uint64(64 - bits), proved[take], np.full(n, did), np.full(n, text_key), at[take], np.ones(n, np.int64)
         return tuple(x.astype(np.uint64, copy=False).view(np.int64) if x.dtype == np.uint64 else x for x in columns)
 
     schema = _RUN if wanted is None else _EDGE
-    return rows.select("_did", "_tag", "_text").mapInArrow(run, ", ".join(f"{n} long" for n in schema.names))
+    return rows.select("_did", "_text_key", "_text").mapInArrow(run, ", ".join(f"{n} long" for n in schema.names))
 
 
 def _steps(runs: DataFrame, sources: DataFrame) -> DataFrame:
-    """(did, at, length, source_did, shift, odd): runs that a smaller document holds too, joined to their sources; odd counts
-    those whose words are not those at the source coordinate."""
+    """(did, text_key, at, length, source_did, source_key, shift, odd): runs that a smaller document holds too, joined to their
+    sources; odd counts those whose words are not those at the source coordinate."""
     return runs.join(sources.where("last > source.did").select("key", "source"), "key").where("did > source.did").select(
-        "did", "at", "length", F.col("source.did").alias("source_did"), (F.col("at") - F.col("source.at")).alias("shift"), (F.col("proof") != F.col("source.proof")).cast("long").alias("odd")
-    )
+        "did", "text_key", "at", "length", F.col("source.did").alias("source_did"), F.col("source.text_key").alias("source_key"),
+        (F.col("at") - F.col("source.at")).alias("shift"), (F.col("proof") != F.col("source.proof")).cast("long").alias("odd"),
+    )
 
 
 def _sources(runs: DataFrame) -> DataFrame:
-    """(key, h of any, source, last): the first coordinate that holds a run, the smallest document, then position."""
+    """(key, h of any, source, last): the first coordinate that holds a run, the smallest document, its text, then position."""
     extra = [F.min("h").alias("h")] if "h" in runs.columns else []
-    return runs.groupBy("key").agg(F.min(F.struct("did", "at", "proof")).alias("source"), F.max("did").alias("last"), *extra)
+    return runs.groupBy("key").agg(F.min(F.struct("did", "text_key", "at", "proof")).alias("source"), F.max("did").alias("last"), *extra)
 
 
 def _compacted(steps: DataFrame) -> DataFrame:
-    """(did, tag, at, length, source_did, source_at, odd): steps that follow each other, in the document and in its source, as
-    one unbranched path."""
-    line = Window.partitionBy("did", "source_did", "shift").orderBy("at", "length")
+    """(did, text_key, at, length, source_did, source_key, source_at, odd): steps that follow each other, in the document and in
+    its source, as one unbranched path."""
+    of = ["did", "text_key", "source_did", "source_key", "shift"]
+    line = Window.partitionBy(*of).orderBy("at", "length")
     starts = (F.lag(F.col("at") + F.col("length")).over(line) != F.col("at")).cast("int")
-    return (
-        steps.withColumn("path", F.sum(F.coalesce(starts, F.lit(0))).over(line.rowsBetween(Window.unboundedPreceding, 0))).groupBy("did", "source_did", "shift", "path")
-        .agg(F.min("at").alias("at"), F.sum("length").alias("length"), F.sum("odd").alias("odd"))
-        .select(
-            "did", F.floor(F.col("at") / AT).alias("tag"), F.pmod("at", F.lit(AT)).alias("at"), "length", "source_did",
-            F.pmod(F.col("at") - F.col("shift"), F.lit(AT)).alias("source_at"), "odd",
-        )
-    )
+    paths = steps.withColumn("path", F.sum(F.coalesce(starts, F.lit(0))).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    return paths.groupBy(*of, "path").agg(F.min("at").alias("at"), F.sum("length").alias("length"), F.sum("odd").alias("odd")).select(
+        "did", "text_key", "at", "length", "source_did", "source_key", (F.col("at") - F.col("shift")).alias("source_at"), "odd"
+    )
 
 
 def repeated_spans(
     docs: DataFrame, k: int = 13, seed: int = 5, filter_bits: int = 26, edge_bits: int = 64, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(did, tag, at, length, source_did, source_at): unbranched paths of repeated k-word windows, each of length + k - 1
+    """(did, text_key, at, length, source_did, source_key, source_at): unbranched paths of repeated k-word windows, each of length + k - 1
     words, that a smaller document holds too at the source coordinate.
 
     Paths compact in two joins. First, runs of windows that are equal as a whole: all but those of the smallest document
@@ -158,7 +154,8 @@ def repeated_spans(
     both have the same minimizer; their windows are joined one by one. Sources are found before the shuffle as far as a task
     can, and the joins split what very many documents share. Then steps that follow each other become one path.
 
-    The words at both coordinates are compared by a second hash. If two runs or windows share a key without sharing their
+    A path is unbranched in that its windows have their sources one after the other in one document; degrees of nodes are not
+    counted. The words at both coordinates are compared by a second, independent 64-bit hash. If two runs or windows share a key without sharing their
     words, all is done again under another salt with keys of 64 bits, until every span is proved.
     """
     rows = _rows(docs, id_col, text_col)
@@ -193,9 +190,9 @@ def dedup_substrings(
     holds the kept words joined by one space.
     """
     spans = repeated_spans(docs, k, seed, filter_bits, edge_bits, id_col, text_col)
-    cuts = spans.groupBy("did", "tag").agg(F.collect_list("at").alias("_at"), F.collect_list("length").alias("_length"))
+    cuts = spans.groupBy("did", "text_key").agg(F.collect_list("at").alias("_at"), F.collect_list("length").alias("_length"))
     rows = _rows(docs, id_col, text_col, carry)
-    joined = rows.join(cuts, (rows._did == cuts.did) & (rows._tag == cuts.tag), "left")
+    joined = rows.join(cuts, (rows._did == cuts.did) & (rows._text_key == cuts.text_key), "left")
     names = [f"c_{i}" for i in range(len(carry))]
     joined = joined.select("_text", "_at", "_length", *names)
     schema = ", ".join([*[f"{n} {joined.schema[n].dataType.simpleString()}" for n in names], "kept_text string, n_words long, n_removed long"])

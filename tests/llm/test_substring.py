@@ -88,3 +88,23 @@ def test_spans_name_their_source(docs):
 
 def test_no_documents(docs):
     assert dedup_substrings(docs((1, "a")).where("false"), carry=["doc_id"]).count() == 0
+
+
+def test_many_rows_of_one_id(docs, spark):
+    """A row without an id, and one of an id that many rows have, repeat a passage; no other row of theirs loses a word."""
+    from pyspark.sql import functions as F
+
+    passage = " ".join(f"p{i}" for i in range(20))
+    many = spark.range(50_000).select(F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), F.col("id")) for k in range(16)]).alias("text"))
+    rows = many.select(F.lit(None).cast("long").alias("doc_id"), "text").union(many.select(F.lit(7).cast("long"), F.concat(F.lit("z "), "text")))
+    planted = spark.createDataFrame([(1, passage), (None, f"a {passage} b"), (7, f"c {passage} d")], "doc_id long, text string")
+    got = dedup_substrings(rows.union(planted), carry=["doc_id"]).where("n_removed > 0").collect()
+    # the words of a row of id 7 stand in a row without an id, which comes after it
+    assert sorted((str(r.doc_id), r.n_removed) for r in got if r.n_removed == 20) == [("7", 20), ("None", 20)]
+    assert sum(r.n_removed == 16 and r.doc_id is None for r in got) == 50_000 and len(got) == 50_002
+
+
+def test_two_texts_of_one_id_are_two_sources(docs):
+    text = lambda a, n: " ".join(f"t{i}" for i in range(a, a + n))
+    rows = [(3, text(0, 30)), (3, text(100, 30)), (3, text(200, 5)), (9, text(0, 30) + " " + text(100, 30)), (None, text(110, 15)), (None, "other words")]
+    assert same(docs(*rows), rows) == 75
