@@ -19,9 +19,16 @@ from paysift.llm.common import write_table
 BROADCAST_BYTES = 32 << 20
 #: A path this long goes on from a hash of what came before, so deep pages take no quadratic space.
 _LONG_PATH = 400
+#: So many characters a form field are little text.
+_FIELD_TEXT = 200
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style template noscript svg math iframe object canvas textarea title select".split())
-_INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr br img input button".split())
+_RAW = frozenset("script style template noscript svg iframe object canvas textarea title select annotation annotation-xml".split())
+#: Elements that start and end a block of text; all others, unknown ones too, are part of the line they stand in.
+_BLOCK = frozenset(
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html "
+    "legend li listing main menu nav noframes ol optgroup option p plaintext pre search section summary table tbody td tfoot th thead tr ul xmp".split()
+)
+_FIELDS = frozenset("input textarea select button".split())
 _CONTAINERS = frozenset("body main article section div td".split())
 _DROPPED = frozenset("nav aside footer form button menu dialog head".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
@@ -33,8 +40,12 @@ _MARKS = frozenset(
     "sidebar comment comments reply replies respond disqus notice notices cookie cookies consent gdpr "
     "newsletter subscribe subscription signup login paywall popup modal overlay alert footer masthead toolbar".split()
 )
-#: Those that say so as a part of a longer name too.
-_CLEAR = frozenset("ads advert adverts advertisement sponsored navbar breadcrumb breadcrumbs pagination sidebar comment comments disqus cookie cookies gdpr newsletter".split())
+#: Words of place and layout: a name of these and marking words alone marks an element as the marking word does.
+_LAYOUT = frozenset(
+    "list lists item items box boxes block blocks wrap wrapper container content inner outer body area section panel row col column left right top bottom center main primary "
+    "secondary header title head foot group set unit slot holder placeholder bar strip link links button buttons btn icon icons form field thread text message desktop mobile fixed "
+    "sticky small large post posts article articles entry page site user users reader readers blog story count meta info".split()
+)
 #: Words that mark link lists, which an article may also have as names of its own parts.
 _LISTS = frozenset("widget related recommended share sharing social".split())
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -54,6 +65,7 @@ class _Node:
     step: str
     dropped: bool  # never text of the article: a tag, role or style says so
     mark: int  # 0 none, 1 a marking word in a longer name, 2 a marking name, 3 a name of link lists
+    link: bool  # in a link
     aside: bool  # in an element with a mark
     depth: int  # in the stack of open elements
     container: int  # nearest container, itself included; 0 if none
@@ -65,8 +77,9 @@ class _Node:
 
 @dataclass(slots=True)
 class Page:
-    nodes: list[_Node] = field(default_factory=lambda: [_Node("", -1, "", False, 0, False, 0, 0, 0, 0, 0, 0)])
+    nodes: list[_Node] = field(default_factory=lambda: [_Node("", -1, "", False, 0, False, False, 0, 0, 0, 0, 0, 0)])
     blocks: list[tuple[int, str, int]] = field(default_factory=list)  # element, text, characters in links
+    fields: list[int] = field(default_factory=list)  # the elements around form fields
     known: dict[int, str] = field(default_factory=dict)
 
     def add(self, tag: str, attributes: dict[str, str], parent: int, depth: int) -> int:
@@ -74,8 +87,8 @@ class Page:
         mark = _mark(tag, attributes)
         holds, whole = tag in _CONTAINERS, tag in _WHOLE
         self.nodes.append(_Node(
-            tag, parent, _step(tag, attributes.get("class", "").split()), above.dropped or _boilerplate(tag, attributes, above.near > 0), mark, above.aside or mark > 0, depth,
-            at if holds else above.container, above.container if holds else above.outside, above.block if tag in _INLINE else at, at if whole else above.near, above.top or (at if whole else 0),
+            tag, parent, _step(tag, attributes.get("class", "").split()), above.dropped or _boilerplate(tag, attributes, above.near > 0), mark, above.link or tag == "a", above.aside or mark > 1, depth,
+            at if holds else above.container, above.container if holds else above.outside, at if tag in _BLOCK else above.block, at if whole else above.near, above.top or (at if whole else 0),
         ))
         return at
 
@@ -140,9 +153,11 @@ class Page:
         inside = chosen | {v for v in voted if nodes[v].tag != "body" and not nodes[v].top}
         return chosen if inside == chosen else {self.around(inside)}
 
-    def sizes(self) -> tuple[list[int], list[int], list[int]]:
-        """Of every element with all inside it: characters, those in links, and those outside inner elements of marking names."""
-        size, linked, plain = ([0] * len(self.nodes) for _ in range(3))
+    def sizes(self) -> tuple[list[int], list[int], list[int], list[int]]:
+        """Of every element with all inside it: characters, those in links, those outside inner elements of marking names, and form fields."""
+        size, linked, plain, fields = ([0] * len(self.nodes) for _ in range(4))
+        for node in self.fields:
+            fields[node] += 1
         for node, text, in_links in self.blocks:
             size[node] += len(text)
             plain[node] += len(text)
@@ -151,17 +166,25 @@ class Page:
             parent = self.nodes[n].parent
             size[parent] += size[n]
             linked[parent] += linked[n]
+            fields[parent] += fields[n]
             plain[parent] += 0 if self.nodes[n].mark == 2 else plain[n]
-        return size, linked, plain
+        return size, linked, plain, fields
 
     def text(self, paths: list[str] | None) -> str:
         """Blocks of the article around the first of the host's paths that the page has, or around its own best container.
 
-        The article decides what a name means: in it an element goes if its whole name, or a clear part of it, marks it and the
-        article has text besides (a tenth of the element's), or if it is named as a link list and is mostly links. A word that is
-        only a part of a name takes nothing away.
+        The article decides what a name means: in it an element goes if its whole name marks it and the article has text besides (a
+        tenth of the element's), or if it is named as a link list and is mostly links. A marking word in a longer name, such as
+        newsletter-history, takes the element away only if it is mostly links or holds form fields and little else.
         """
-        size, linked, plain = self.sizes()
+        size, linked, plain, fields = self.sizes()
+
+        def goes(n: int, article: int) -> bool:
+            mark = self.nodes[n].mark
+            if mark == 2:
+                return 10 * plain[article] >= size[n]
+            return mark > 0 and (2 * linked[n] > size[n] or mark == 1 and size[n] < _FIELD_TEXT * fields[n])
+
         here: dict[str, set[int]] = {}
         for n, node in enumerate(self.nodes):
             if node.container == n > 0 and size[n]:
@@ -179,8 +202,7 @@ class Page:
             if n in chosen and within[node.parent] < 0:
                 within[n] = n
             elif (article := within[node.parent]) >= 0:
-                goes = 10 * plain[article] >= size[n] if node.mark == 2 else 2 * linked[n] > size[n] if node.mark == 3 else False
-                within[n] = -2 if goes else article
+                within[n] = -2 if goes(n, article) else article
             elif within[node.parent] == -2:
                 within[n] = -2
         return "\n".join(text for node, text, _ in self.blocks if within[node] >= 0)
@@ -207,11 +229,15 @@ def _mark(tag: str, attributes: dict[str, str]) -> int:
     names = f"{attributes.get('class', '')} {attributes.get('id', '')}".split()
     found = 0
     for name in names:
-        whole = name.lower()
-        parts = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if w]
-        if whole in _MARKS or not _CLEAR.isdisjoint(parts):
+        parts = {w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if w}
+        marks, lists = parts & _MARKS, parts & _LISTS
+        named = parts <= _MARKS | _LISTS | _LAYOUT
+        if name.lower() in _MARKS or marks and named:
             return 2
-        found = 3 if whole in _LISTS else found or int(not (_MARKS | _LISTS).isdisjoint(parts))
+        if lists and named:
+            found = 3
+        elif marks or lists:
+            found = found or 1
     return found
 
 
@@ -254,7 +280,7 @@ def parse(source: str) -> Page:
         nonlocal linked
         if text and not nodes[stack[-1]].dropped:
             buffer.append(text)
-            if any(nodes[n].tag == "a" for n in stack[-4:]):
+            if nodes[stack[-1]].link:
                 linked += len(text)
 
     while at < len(source):
@@ -279,7 +305,7 @@ def parse(source: str) -> Page:
         tail = _TAG_END.match(source, name.end())
         end = tail.end() if tail else source.find(">", name.end()) + 1 or len(source)
         tag, inside, at = name[1].lower(), source[name.end() : end - 1], end
-        block = tag not in _INLINE
+        block = tag in _BLOCK
         if block:
             flush()
         if source[start + 1] == "/":
@@ -289,6 +315,10 @@ def parse(source: str) -> Page:
             keep(" ")
         if block:
             implied(tag)
+        if tag == "a":
+            close(tag)  # links don't nest
+        if tag in _FIELDS:
+            page.fields.append(stack[-1])
         if tag in _VOID:
             continue
         if tag in _RAW:

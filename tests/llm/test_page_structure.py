@@ -17,18 +17,43 @@ def article(inside, before=""):
     return f'<html><body>{before}<article><h1>Head</h1><p>{LONG}</p>{inside}</article></body></html>'
 
 
-@pytest.mark.parametrize("name", ["related-work", "notice-board", "share", "related", "share-holders", "menu-item-prices", "login-tutorial"])
+@pytest.mark.parametrize("name", ["related-work", "notice-board", "share", "related", "share-holders", "menu-item-prices", "login-tutorial", "newsletter-history", "comment-policy", "comment-on-budget", "cookie-recipes", "adsorption"])
 def test_words_in_names_take_nothing_from_an_article(name):
     found = parse(article(f'<div class="{name}"><p>Kept text</p></div>')).text(None)
     assert found.endswith("\nKept text")
 
 
-@pytest.mark.parametrize("name", ["ad", "comments", "comment-list", "cookie-banner", "sidebar-left", "notice", "nav", "newsletter-signup"])
+@pytest.mark.parametrize("name", ["ad", "comments", "comment-list", "cookie-banner", "sidebar-left", "notice", "nav", "newsletter-signup", "post-comments", "cookieNotice", "ad-slot-2"])
 def test_names_of_adverts_comments_and_notices_do(name):
     assert "Gone" not in parse(article(f'<div class="{name}"><p>Gone text</p></div>')).text(None)
     assert "Gone" not in parse(article(f'<section class="{name}">' + "<p>Gone, said a reader</p>" * 80 + "</section>")).text(None)
 
 
+@pytest.mark.parametrize("line", ["one <script>x</script> two", "one <style>x</style>two", "one <svg><text>x</text></svg> two", "one <noscript>x</noscript> two", "one <picture><img></picture> two", "<acronym>one</acronym> two", "<nobr>one</nobr> two", "<my-word>one</my-word> two", "one <select><option>x</select> two", "one <button>x</button>two", "one <select><option>x</option></select> two"])
+def test_a_line_goes_on(line):
+    assert parse(article(f"<p>{line}</p>")).text(None).endswith("\none two")
+
+
+def test_formulas_are_text():
+    formula = "<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding='tex'>x = 1</annotation></math>"
+    assert parse(article(f"<p>so {formula} holds</p>")).text(None).endswith("\nso x=1 holds")
+
+
+def test_links_count_at_any_depth():
+    deep = "".join(f"<li><a href=/{i}><span><b><i><em><u>Gone elsewhere</u></em></i></b></span></a></li>" for i in range(5))
+    assert "Gone" not in parse(article(f'<ul class="related">{deep}</ul>')).text(None)
+    listed = "<ul>" + "".join(f"<li><a href=/{i}><span><b><i><em>{LONG}</em></i></b></span></a></li>" for i in range(5)) + "</ul>"
+    page = f'<body><div class="links">{listed}</div><div class="story"><p>{LONG}</p></div></body>'
+    assert parse(page).text(None) == LONG.strip()
+
+
+def test_a_word_in_a_name_needs_evidence():
+    links = "<a href=/>Gone elsewhere</a> " * 5
+    assert "Gone" not in parse(article(f'<div class="newsletter-history">{links}</div>')).text(None)
+    assert "Gone" not in parse(article('<div class="newsletter-history">Gone: your address <input> <button>Go</button></div>')).text(None)
+    assert "Kept" in parse(article(f'<div class="newsletter-history"><p>Kept {LONG}</p><input></div>')).text(None)
+
+
 def test_link_lists_go():
     assert "Gone" not in parse(article('<div class="related"><a href=/>Gone elsewhere</a></div>')).text(None)
 
