@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
@@ -73,12 +73,43 @@ def _inputs(matrix: DataFrame) -> tuple[DataFrame, list[str]]:
     return frame.drop(*flags), [*NUMBERS, *[f"{c}={v}" for c, v in pairs]]
 
 
+def _input(name: str) -> Column:
+    """An input of the model by its name: a number, -1 for null, or a category's 0/1 flag such as product_cd=W."""
+    column, _, value = name.partition("=")
+    if value:
+        return (F.col(column) == value).cast("double")
+    return F.coalesce(F.when(~F.isnan(column), F.col(column)), F.lit(-1.0))
+
+
+class LinearModel:
+    """A logistic model given by its terms, as column expressions: it scores and explains batches and streams alike."""
+
+    def __init__(self, weights: Mapping[str, float], intercept: float = 0.0, means: Mapping[str, float] | None = None, version: str = "current") -> None:
+        self.weights, self.intercept, self.means, self.version = dict(weights), intercept, dict(means or {}), version
+
+    def score(self, matrix: DataFrame) -> DataFrame:
+        logit = F.lit(float(self.intercept))
+        for name, weight in self.weights.items():
+            logit = logit + F.lit(float(weight)) * _input(name)
+        return matrix.withColumn("model_score", 1 / (1 + F.exp(-logit)))
+
+    def contributions(self, scored: DataFrame) -> DataFrame:
+        """scored with a map of each input's part of the logit, against its mean."""
+        parts = {n: F.lit(float(w)) * (_input(n) - F.lit(float(self.means.get(n, 0.0)))) for n, w in self.weights.items()}
+        return scored.withColumn("contributions", F.map_from_arrays(F.array(*[F.lit(n) for n in parts]), F.array(*parts.values())))
+
+
 class FraudModel:
     """A weighted logistic regression; its score is a probability and its terms add up to its logit."""
 
     def __init__(self, model: LogisticRegressionModel, names: list[str], means: list[float]) -> None:
         self.model, self.names, self.means = model, names, means
 
+    def linear(self, version: str = "current") -> LinearModel:
+        """The same model by its terms."""
+        weights = dict(zip(self.names, map(float, self.model.coefficients.toArray())))
+        return LinearModel(weights, float(self.model.intercept), dict(zip(self.names, self.means)), version)
+
     def score(self, matrix: DataFrame) -> DataFrame:
         frame, _ = _inputs(matrix)
         scored = self.model.transform(frame)

@@ -205,16 +205,9 @@ ORACLE: dict[str, str] = {
 }
 
 #: The same SQL with every case as a query.
-_WHOLE = {_COSINE: _COSINE.replace(" WHERE q.vec_id % 20 = 0", "")}
-for _name in ("nearest_cases", "retrieval_precision", "agreement_rate", "review_feedback", "recent_reviews"):
-    _sql = ORACLE[_name]
-    for _part, _all in _WHOLE.items():
-        _sql = _sql.replace(_part, _all)
-    ORACLE[f"{_name}_all"] = _sql
+for _name in ("nearest_cases", "retrieval_precision"):
+    ORACLE[f"{_name}_all"] = ORACLE[_name].replace(_COSINE, _COSINE.replace(" WHERE q.vec_id % 20 = 0", ""))
 
-ORACLE["tuned_thresholds_all"] = ORACLE["tuned_thresholds"]
-ORACLE["card_states"] = ORACLE["card_day_states"]
+from paysift.plans import chains_sql, streams_sql  # noqa: E402
 
-from paysift.plans import chains_sql  # noqa: E402
-
-ORACLE |= chains_sql.SQL
+ORACLE |= chains_sql.SQL | streams_sql.SQL

@@ -111,11 +111,6 @@ def card_day_states(spark: SparkSession, sf: str) -> DataFrame:
     return states.select("card_key", "s.n", F.round("s.total", 2).alias("total"), F.size("s.recent").alias("n_recent"), F.array_join("s.devices", ",").alias("devices"))
 
 
-def card_states(spark: SparkSession, sf: str) -> DataFrame:
-    """As card_day_states: a state holds a day, so no row holds a card's whole history."""
-    return card_day_states(spark, sf)
-
-
 def silver_first_arrivals(spark: SparkSession, sf: str) -> DataFrame:
     bronze = S.parse_payment_events(I.as_messages(I.table(spark, sf, "events")))
     return LA.to_silver(bronze, I.SALT).select("transaction_id", "event_time", "event_date", "transaction_dt", "card_token", F.round("amount", 6).alias("amount"), "product_cd", "r_emaildomain", "device_info")
@@ -319,11 +314,6 @@ def tuned_thresholds(spark: SparkSession, sf: str) -> DataFrame:
     return _tuned(spark, sf)
 
 
-def tuned_thresholds_all(spark: SparkSession, sf: str) -> DataFrame:
-    """As tuned_thresholds, which once tried fewer quantiles."""
-    return _tuned(spark, sf)
-
-
 def class_weight(spark: SparkSession, sf: str) -> DataFrame:
     return E.class_weight(I.chargebacks(spark, sf)).select(F.round("positive_weight", 9).alias("positive_weight"))
 
@@ -408,11 +398,6 @@ def agreement_rate(spark: SparkSession, sf: str) -> DataFrame:
     return _agreement(_reviews(spark, sf))
 
 
-def agreement_rate_all(spark: SparkSession, sf: str) -> DataFrame:
-    """As agreement_rate, which once saw every fourth review; so with the next two."""
-    return _agreement(_reviews(spark, sf, "true"))
-
-
 def _feedback(spark: SparkSession, sf: str, reviews: DataFrame) -> DataFrame:
     facts = D.latest_attempts(I.decisions(spark, sf)).select("transaction_id", "card_token", F.col("decided_at").alias("occurred_at"), F.col("features")["amount"].alias("amount"), "features")
     return C.cases_from_reviews(reviews, facts).select("transaction_id", "is_fraud", "decision", "resolution", "description")
@@ -422,18 +407,10 @@ def review_feedback(spark: SparkSession, sf: str) -> DataFrame:
     return _feedback(spark, sf, _reviews(spark, sf))
 
 
-def review_feedback_all(spark: SparkSession, sf: str) -> DataFrame:
-    return _feedback(spark, sf, _reviews(spark, sf, "true"))
-
-
 def recent_reviews(spark: SparkSession, sf: str) -> DataFrame:
     return C.recent_reviews(_reviews(spark, sf)).select("transaction_id", "reviewed_at", "verdict")
 
 
-def recent_reviews_all(spark: SparkSession, sf: str) -> DataFrame:
-    return C.recent_reviews(_reviews(spark, sf, "true")).select("transaction_id", "reviewed_at", "verdict")
-
-
 def numbers_in_texts(spark: SparkSession, sf: str) -> DataFrame:
     rows = I.table(spark, sf, "conversations").select("conv_id", "turn", RE.numbers_in(F.col("text")).alias("numbers"))
     return rows.select("conv_id", "turn", F.size("numbers").alias("n"), F.round(F.aggregate("numbers", F.lit(0.0), lambda s, x: s + x), 2).alias("total"))
@@ -486,6 +463,6 @@ QUERIES: dict[str, Query] = {
     f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", None) == __name__ and not f.__name__.startswith("_")
 }
 
-from paysift.plans import chains  # noqa: E402
+from paysift.plans import chains, streams  # noqa: E402
 
-QUERIES |= chains.QUERIES
+QUERIES |= chains.QUERIES | streams.QUERIES

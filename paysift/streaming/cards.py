@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import math
-from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+import heapq
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -12,134 +11,202 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from paysift.operators.features import DAY, FEATURES, NO_HISTORY
-from paysift.sources.ingest import append_stream
+from paysift.operators.decisions import audit, combine
+from paysift.operators.features import DAY, FEATURES
+from paysift.operators.model import COLUMNS, model_matrix, top_reasons
+from paysift.operators.rules import apply_rules
+from paysift.streaming.memory import HOUR, CardMemory, Payment, Seen
 
 TRACKED = 20
+#: Payments of a block of waiting ones, and rows of a frame that goes out.
+BLOCK, FRAME = 1000, 5000
 STATE = "n long, total double, last long, recent array<struct<second:bigint,amount:double>>, devices array<string>, domains array<string>"
-OUTPUT = "transaction_id long, event_time timestamp, " + ", ".join(f"{f} double" for f in FEATURES)
-Remembered = tuple[int, float, int | None, list[tuple[int, float]], list[str], list[str]]
-EMPTY: Remembered = (0, 0.0, None, [], [], [])
-
-
-def score_time_features(state: Remembered, second: int, amount: float, device: str | None, domain: str | None, identity: bool) -> dict[str, float]:
-    """Features of a payment from what its card did before; payments later than it (it is late) don't count."""
-    n, total, last, recent, devices, domains = state
-    near = [(s, a) for s, a in recent if s <= second]
-    within = lambda span: 1 + sum(s >= second - span for s, _ in near)
-    mean = total / n if n else 0.0
-    hour = second % DAY // 3600
-    new = lambda value, seen: float(value is not None and n > 0 and value not in seen)
-    return {
-        "amount": amount, "amount_log": math.log1p(max(amount, 0.0)), "hour_of_day": float(hour), "day_of_week": float((second // DAY + 3) % 7), "is_night": float(hour < 6), "has_identity": float(identity),
-        "card_txn_count_10m": float(within(600)), "card_txn_count_1h": float(within(3600)), "card_txn_count_24h": float(within(DAY)),
-        "card_amount_sum_24h": amount + sum(a for s, a in near if s >= second - DAY), "seconds_since_card_last_txn": NO_HISTORY if last is None else float(max(0, second - last)),
-        "card_amount_avg_lifetime": mean, "amount_to_card_avg_ratio": amount / mean if mean > 0 else 1.0, "card_txn_count_lifetime": float(n), "card_is_new": float(n == 0),
-        "card_new_device": new(device, devices), "card_new_email_domain": new(domain, domains), "card_distinct_devices": float(len(devices)),
-    }
-
-
-def folded(state: Remembered, second: int, amount: float, device: str | None, domain: str | None, tracked: int = TRACKED) -> Remembered:
-    """The state after a payment. The clock never goes back; a day of payments and the last `tracked` devices and domains are kept."""
-    n, total, last, recent, devices, domains = state
-    clock = second if last is None else max(last, second)
-    kept = [(s, a) for s, a in [*recent, (second, amount)] if s >= clock - DAY]
-    seen = lambda value, known: known if value is None or value in known else [*known, value][-tracked:]
-    return n + 1, total + amount, clock, kept, seen(device, devices), seen(domain, domains)
-
-
-class _Day:
-    """A card's last day of payments in the order of seconds, with running sums: a window takes two binary searches."""
-
-    def __init__(self, recent: list[tuple[int, float]]) -> None:
-        self.seconds: list[int] = []
-        self.sums, self.first = [0.0], 0
-        for second, amount in sorted(recent):
-            self.add(second, amount)
-
-    def add(self, second: int, amount: float) -> None:
-        at = bisect_right(self.seconds, second)
-        self.seconds.insert(at, second)
-        self.sums.insert(at + 1, self.sums[at] + amount)
-        for i in range(at + 2, len(self.sums)):  # only after a late payment
-            self.sums[i] += amount
-
-    def forget(self, before: int) -> None:
-        self.first = bisect_left(self.seconds, before, self.first)
-        if self.first > 1000 and 2 * self.first > len(self.seconds):
-            del self.seconds[: self.first]
-            base = self.sums[self.first]
-            self.sums = [x - base for x in self.sums[self.first :]]
-            self.first = 0
-
-    def within(self, second: int, span: int) -> tuple[int, float]:
-        """Number and amount of what is kept from second - span to second."""
-        low = max(self.first, bisect_left(self.seconds, second - span))
-        high = max(low, bisect_right(self.seconds, second))
-        return high - low, self.sums[high] - self.sums[low]
-
-    def kept(self) -> list[tuple[int, float]]:
-        return [(s, b - a) for s, a, b in zip(self.seconds[self.first :], self.sums[self.first :], self.sums[self.first + 1 :])]
+OUTPUT = "transaction_id long, micros long, payload string, " + ", ".join(f"{f} double" for f in FEATURES)
+_WAITING = "rows array<struct<second:bigint,transaction_id:bigint,micros:bigint,amount:double,device:string,domain:string,identity:boolean,payload:string>>"
 
 
 class CardProcessor(StatefulProcessor):
     """One row out for each payment: its features before it is folded into its card's state.
 
-    The same as score_time_features() and folded() one after the other, but a payment costs the logarithm of a day's
-    payments and not their number.
+    The state has a value (totals and clock) and maps: seconds by hour, devices, domains. A run writes the hours and values that it
+    changed and removes the hours that a day's windows no longer reach. Payments that have to wait, because a micro-batch
+    brings more than one frame of a card or because their turn in event time has not come, lie in a map of sorted
+    blocks and are merged from there, so a task holds a block of every sorted run and never all payments of a card.
+
+    With `slot_seconds` (time mode EventTime) payments wait until the watermark has passed their slot of event time; its timer
+    then folds the slot in the order of time, and slots one after the other. With `ttl_ms` (ProcessingTime) a card that was not
+    written for so long starts again, and a timer removes its state. With `idle_seconds` a card starts again at a payment
+    that comes so long after its last one in event time.
     """
 
-    def __init__(self, ttl_hours: float | None = 48, tracked: int = TRACKED, idle_hours: float | None = None) -> None:
-        self.tracked = tracked
-        self.idle = None if idle_hours is None else idle_hours * 3600
-        self.ttl = int(ttl_hours * 3_600_000) if ttl_hours else None
+    def __init__(self, tracked: int = TRACKED, idle_seconds: float | None = None, ttl_ms: int | None = None, slot_seconds: int | None = None) -> None:
+        self.tracked, self.idle, self.ttl, self.slot = tracked, idle_seconds, ttl_ms, slot_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("card", STATE, ttlDurationMs=self.ttl) if self.ttl else handle.getValueState("card", STATE)
+        self.handle = handle
+        self.card = handle.getValueState("card", "n long, total double, last long, until long, device_place long, domain_place long")
+        self.hours = handle.getMapState("hours", "hour long", "seconds array<struct<second:bigint,n:bigint,amount:double>>")
+        self.devices = handle.getMapState("devices", "value string", "place long")
+        self.domains = handle.getMapState("domains", "value string", "place long")
+        self.runs = handle.getMapState("runs", "slot long", "blocks array<int>")
+        self.blocks = handle.getMapState("blocks", "slot long, run int, block int", _WAITING)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        held = self.state.get()
-        state: Remembered = EMPTY
-        if held is not None:
-            n, total, last, recent, devices, domains = held
-            state = n, total, last, [(r[0], r[1]) for r in recent], list(devices), list(domains)
-        day = _Day(state[3])
-        batch = pd.concat(list(rows)).sort_values(["second", "transaction_id"], kind="stable")  # a card's payments of one micro-batch
-        out = []
-        for r in batch.itertuples(index=False):
-            device, domain = (None if pd.isna(x) else x for x in (r.device_info, r.r_emaildomain))
-            second, amount = int(r.second), float(r.amount)
-            if self.idle is not None and state[2] is not None and second - state[2] > self.idle:
-                state, day = EMPTY, _Day([])
-            n, total, last, _, devices, domains = state
-            counts = {name: float(1 + day.within(second, span)[0]) for name, span in (("card_txn_count_10m", 600), ("card_txn_count_1h", 3600), ("card_txn_count_24h", DAY))}
-            found = score_time_features((n, total, last, [], devices, domains), second, amount, device, domain, bool(r.identity))
-            found |= counts | {"card_amount_sum_24h": amount + day.within(second, DAY)[1]}
-            out.append({"transaction_id": r.transaction_id, "event_time": r.event_time} | found)
-            state = folded((n, total, last, [], devices, domains), second, amount, device, domain, self.tracked)
-            day.add(second, amount)
-            day.forget(state[2] - DAY)
-        n, total, last, _, devices, domains = state
-        self.state.update((n, total, last, [(int(s), float(a)) for s, a in day.kept()], devices, domains))
-        yield pd.DataFrame(out)
+        now = timerValues.getCurrentProcessingTimeInMs() if self.ttl else None
+        if self.slot is not None:
+            for frame in rows:
+                self._wait(_payments(frame), self.slot)
+            return
+        first = next(rows)
+        second = next(rows, None)
+        if second is None:
+            yield from self._folded(_payments(first), now)
+            return
+        for frame in (first, second):
+            self._wait(_payments(frame))
+        for frame in rows:
+            self._wait(_payments(frame))
+        yield from self._folded(self._merged(0), now)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        if self.ttl:
+            held = self.card.get()
+            if held is not None and held[3] <= timerValues.getCurrentProcessingTimeInMs():
+                self._clear()
+            return
+        passed = timerValues.getCurrentWatermarkInMs()
+        for slot in sorted(k[0] for k in list(self.runs.keys())):
+            if (slot + 1) * self.slot * 1000 <= passed:
+                yield from self._folded(self._merged(slot), None)
 
     def close(self) -> None:
         pass
 
-
-def stream_features(payments: DataFrame, card: str = "card_key", ttl_hours: float | None = 48, tracked: int = TRACKED, idle_hours: float | None = None) -> DataFrame:
-    """Features of a stream of payments. State and offsets commit together, so a repeated batch is folded once.
-
-    A card that is idle for ttl_hours by the clock is forgotten; None keeps it. A payment that comes over idle_hours of event time
-    after its card's last one finds a new card, which a one-shot run can do too. Of a card's devices and domains the last `tracked` are known. Needs the RocksDB state store.
+    def _wait(self, payments: list[Payment], slot_seconds: int | None = None) -> None:
+        """Puts payments that are in order into the blocks of their slots, as a run of each slot."""
+        by_slot: dict[int, list[Payment]] = {}
+        for p in payments:
+            by_slot.setdefault(p.second // slot_seconds if slot_seconds else 0, []).append(p)
+        for slot, waiting in by_slot.items():
+            held = self.runs.getValue((slot,))
+            runs = list(held[0]) if held else []
+            for block, at in enumerate(range(0, len(waiting), BLOCK)):
+                self.blocks.updateValue((slot, len(runs), block), ([tuple(p) for p in waiting[at : at + BLOCK]],))
+            self.runs.updateValue((slot,), ([*runs, -(-len(waiting) // BLOCK)],))
+            if slot_seconds and not runs:
+                self.handle.registerTimer((slot + 1) * slot_seconds * 1000)
+
+    def _run(self, slot: int, run: int, blocks: int) -> Iterator[Payment]:
+        for block in range(blocks):
+            where = (slot, run, block)
+            rows = self.blocks.getValue(where)[0]
+            self.blocks.removeKey(where)
+            yield from (Payment(*r) for r in rows)
+
+    def _merged(self, slot: int) -> Iterator[Payment]:
+        """The waiting payments of a slot in order; they are removed."""
+        runs = self.runs.getValue((slot,))[0]
+        self.runs.removeKey((slot,))
+        return heapq.merge(*[self._run(slot, i, n) for i, n in enumerate(runs)], key=_order)
+
+    def _folded(self, payments: Iterable[Payment], now: int | None) -> Iterator[pd.DataFrame]:
+        memory, out = self._load(now), []
+        for p in payments:
+            if self.idle is not None and memory.last is not None and p.second - memory.last > self.idle:
+                self._clear()
+                memory = CardMemory(self.tracked)
+            out.append((p.transaction_id, p.micros, p.payload, *memory.features(p)))
+            memory.fold(p)
+            if len(out) >= FRAME:
+                yield _frame(out)
+                out = []
+        self._save(memory, now)
+        if out:
+            yield _frame(out)
+
+    def _load(self, now: int | None) -> CardMemory:
+        held = self.card.get()
+        if held is not None and now is not None and held[3] <= now:
+            self._clear()
+            held = None
+        if held is None:
+            return CardMemory(self.tracked)
+        n, total, last, _, device_place, domain_place = held
+        seconds = [tuple(s) for (hour,) in list(self.hours.values()) for s in hour]
+        devices, domains = ([(k[0], v[0]) for k, v in list(state.iterator())] for state in (self.devices, self.domains))
+        return CardMemory(self.tracked, n, total, last, seconds, Seen(self.tracked, devices, device_place), Seen(self.tracked, domains, domain_place))
+
+    def _save(self, memory: CardMemory, now: int | None) -> None:
+        """Writes what has changed, and removes the hours that are a day behind."""
+        until = None
+        if now is not None:
+            until = now + self.ttl
+            self.handle.registerTimer(until)
+        self.card.update((memory.n, memory.total, memory.last, until, memory.devices.place, memory.domains.place))
+        oldest = (memory.last - DAY) // HOUR
+        for (hour,) in list(self.hours.keys()):
+            if hour < oldest:
+                self.hours.removeKey((hour,))
+        for hour in memory.hours:
+            if hour >= oldest:
+                self.hours.updateValue((hour,), (memory.day.hour(hour),))
+        for state, seen in ((self.devices, memory.devices), (self.domains, memory.domains)):
+            for value in seen.dropped - seen.known.keys():
+                if state.containsKey((value,)):
+                    state.removeKey((value,))
+            for value in seen.added & seen.known.keys():
+                state.updateValue((value,), (seen.known[value],))
+
+    def _clear(self) -> None:
+        self.card.clear()
+        for state in (self.hours, self.devices, self.domains):
+            state.clear()
+
+
+def _order(p: Payment) -> tuple[int, int]:
+    return p.second, p.transaction_id
+
+
+def _payments(frame: pd.DataFrame) -> list[Payment]:
+    """The rows of a frame in the order of second and id."""
+    columns = [frame[c].tolist() for c in ("second", "transaction_id", "micros", "amount", "device_info", "r_emaildomain", "identity", "payload")]
+    text = lambda x: x if isinstance(x, str) else None
+    return sorted((Payment(s, t, m, float(a), text(d), text(e), bool(i), text(p)) for s, t, m, a, d, e, i, p in zip(*columns)), key=_order)
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["transaction_id", "micros", "payload", *FEATURES])
+
+
+def stream_features(
+    payments: DataFrame, card: str = "card_key", ttl_hours: float | None = 48, tracked: int = TRACKED, idle_hours: float | None = None,
+    lateness: str | None = None, slot_seconds: int = HOUR, payload: Column | None = None,
+) -> DataFrame:
+    """Features of a stream of payments: transaction_id, event_time, FEATURES, and the payload if one is given.
+
+    State and offsets commit together, so a repeated batch is folded once. A card that is idle for ttl_hours by the clock is forgotten;
+    None keeps it. A payment that comes over idle_hours of event time after its card's last one finds a new card, which a one-shot
+    run can do too. Of a card's devices and domains the last `tracked` are known. Payments are folded as they arrive, those of a
+    micro-batch in the order of time. With `lateness`, a duration, they wait for the watermark instead and are folded in the order of
+    time over all batches; those that come later than that are dropped and counted in the query's progress
+    (numRowsDroppedByWatermark). payload is a string column that goes along with each payment. Needs the RocksDB state store.
     """
+    if lateness is not None and ttl_hours is not None:
+        raise ValueError("state expires by the clock or waits for event time, not both: give ttl_hours=None with lateness")
     identity = F.col("device_info").isNotNull()
     if "identity_numeric" in payments.columns:
         identity = identity | (F.size(F.coalesce(F.map_keys("identity_numeric"), F.array().cast("array<string>"))) > 0)
+    time = F.col("event_time").cast("timestamp")
     rows = payments.select(
-        F.col(card).alias("card"), "transaction_id", F.col("event_time").cast("timestamp").alias("event_time"), F.col("event_time").cast("timestamp").cast("long").alias("second"), "amount", "device_info", "r_emaildomain", identity.alias("identity")
-    )
-    return rows.groupBy("card").transformWithStateInPandas(CardProcessor(ttl_hours, tracked, idle_hours), OUTPUT, "Append", "None" if ttl_hours is None else "ProcessingTime")
+        F.col(card).alias("card"), "transaction_id", time.alias("event_time"), F.unix_micros(time).alias("micros"), time.cast("long").alias("second"), F.col("amount").cast("double").alias("amount"),
+        "device_info", "r_emaildomain", identity.alias("identity"), (F.lit(None) if payload is None else payload).cast("string").alias("payload"),
+    )
+    mode = "EventTime" if lateness else "ProcessingTime" if ttl_hours is not None else "None"
+    if lateness:
+        rows = rows.withWatermark("event_time", lateness)
+    processor = CardProcessor(tracked, None if idle_hours is None else idle_hours * HOUR, None if ttl_hours is None else int(ttl_hours * HOUR * 1000), slot_seconds if lateness else None)
+    found = rows.groupBy("card").transformWithStateInPandas(processor, OUTPUT, "Append", mode)
+    return found.select("transaction_id", F.timestamp_micros("micros").alias("event_time"), *FEATURES, *([] if payload is None else ["payload"]))
 
 
 def encode_state(state: Column) -> Column:
@@ -158,24 +225,65 @@ def decode_state(text: Column) -> Column:
     )
 
 
-def ingest_and_fold(bronze: DataFrame, bronze_path: str, features_path: str, checkpoints: str, once: bool = True) -> list[StreamingQuery]:
-    """Two queries over one stream of bronze rows: the bronze table and the features, each exactly once.
+def land_and_fold(bronze: DataFrame, bronze_path: str, features_path: str, checkpoint: str, once: bool = True, card: str = "card_key", ttl_hours: float | None = 48) -> StreamingQuery:
+    """One query over a stream of bronze rows with two outputs: the rows themselves, landed first, and their features.
 
-    With `once` they end with what is there, and cards are kept: a state that expires by the clock never lets a query end.
+    The source is read once: bronze rows go along with their payments as payloads. Each micro-batch is held while both outputs are
+    written, each to a folder of the batch's number that a repeated batch writes anew, so a failure between the two, and a
+    restart, neither loses a row nor doubles one. read_batches() reads an output. With `once` the query ends with what is there,
+    and cards are kept: a state that expires by the clock never lets a query end.
     """
-    day = stream_features(bronze, ttl_hours=None if once else 48).withColumn("event_date", F.to_date("event_time"))
-    return [append_stream(bronze, bronze_path, f"{checkpoints}/bronze", "event_date", once), append_stream(day, features_path, f"{checkpoints}/features", "event_date", once)]
+    kind = bronze.schema
+    carried = F.to_json(F.struct(*[F.unix_micros(c).alias(c) if kind[c].dataType.typeName() == "timestamp" else F.col(c) for c in bronze.columns]))
+    rows = stream_features(bronze, card, ttl_hours=None if once else ttl_hours, payload=carried)
+    fields = ", ".join(f"`{f.name}` {'bigint' if f.dataType.typeName() == 'timestamp' else f.dataType.simpleString()}" for f in kind)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            body = batch.select(F.from_json("payload", fields).alias("b"))
+            back = [(F.timestamp_micros(f"b.{f.name}") if f.dataType.typeName() == "timestamp" else F.col(f"b.{f.name}")).alias(f.name) for f in kind]
+            for path, part in ((bronze_path, body.select(*back)), (features_path, batch.drop("payload"))):
+                write_batch(part, path, number)
+        finally:
+            batch.unpersist()
+
+    writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
+
+
+def write_batch(rows: DataFrame, path: str, number: int) -> None:
+    rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
+def read_batches(rows_path: str, like: DataFrame, done: str | None = None) -> DataFrame:
+    """An output of land_and_fold with the columns of `like`; with the path of the later output, of batches that both have."""
+    spark = like.sparkSession
+    found = spark.read.schema(like.schema).option("basePath", rows_path).parquet(f"{rows_path}/batch=*")
+    if done is None:
+        return found.drop("batch")
+    numbers = spark.read.option("basePath", done).parquet(f"{done}/batch=*").select("batch").distinct()
+    return found.join(numbers, "batch", "left_semi").drop("batch")
 
 
 def decide_stream(features: DataFrame, rules: dict, review: float, block: float, model: Any = None) -> DataFrame:
-    """Streaming decisions: rules and, if there is one, a model with score(matrix) over the features of stream_features."""
-    from paysift.operators.decisions import combine
-    from paysift.operators.model import model_matrix
-    from paysift.operators.rules import apply_rules
+    """Streaming decisions: rules and, if there is one, a model with score(matrix) over the features of stream_features.
 
+    Rules see the columns as they are, the model sees its matrix. A model that has contributions(scored) too gives the top reasons
+    of each payment. All of it is column expressions, so it stays in the streaming plan.
+    """
+    rows = apply_rules(features, rules)
     if model is not None:
-        features = model.score(model_matrix(features, keep=("transaction_id", "event_time", "card_token", "r_emaildomain")))
-    return combine(apply_rules(features, rules), review, block, "none" if model is None else "current")
+        rows = model.score(model_matrix(rows, keep=[c for c in rows.columns if c not in COLUMNS]))
+        if hasattr(model, "contributions"):
+            rows = top_reasons(model.contributions(rows)).drop("contributions")
+    return combine(rows, review, block, "none" if model is None else getattr(model, "version", "current"))
+
+
+def audit_stream(features: DataFrame, rules: dict, review: float, block: float, model: Any = None) -> DataFrame:
+    """The decision record of every payment of a stream of features: decided when the payment was made known, without latency."""
+    decided = decide_stream(features, rules, review, block, model)
+    return audit(decided, FEATURES, decided_at=F.col("event_time"))
 
 
 def kpi_stream(decisions: DataFrame, late: str = "1 day") -> DataFrame:

@@ -95,17 +95,6 @@ def test_same_second(spark):
     assert [got[i].card_txn_count_10m for i in (1, 2)] == [2, 2] and [got[i].card_txn_count_lifetime for i in (1, 2)] == [0, 1]
 
 
-def test_fold_forgets_and_never_turns_back():
-    state = cards.EMPTY
-    for i in range(30):
-        state = cards.folded(state, i * 10, 1.0, f"d{i}", None)
-    assert len(state[4]) == cards.TRACKED and state[4][-1] == "d29" and state[0] == 30
-    late = cards.score_time_features(state, 5, 1.0, None, None, False)
-    assert late["seconds_since_card_last_txn"] == 0 and late["card_txn_count_10m"] == 2
-    assert cards.folded(state, 5, 1.0, None, None)[2] == 290
-    assert cards.folded(state, 290 + 86_401, 1.0, None, None)[3] == [(290 + 86_401, 1.0)]
-
-
 def _message(spark, bodies):
     rows = [(None, json.dumps(b).encode() if isinstance(b, dict) else b, "t", i % 3, i, _at(0)) for i, b in enumerate(bodies)]
     return spark.createDataFrame(rows, schemas.MESSAGE)
@@ -138,12 +127,14 @@ def test_stream_restarts_without_repeats(spark, tmp_path):
 
 def test_two_outputs_of_one_stream(spark, tmp_path):
     source = str(tmp_path / "in")
-    _message(spark, [_event(i, device_info="d") for i in range(6)]).write.parquet(source)
+    _message(spark, [_event(i, device_info="d", counts={"C1": 2.5}, match_flags={"M1": "T"}) for i in range(6)]).write.parquet(source)
     bronze = S.parse_payment_events(S.read_message_stream(spark, source, "parquet"))
-    for query in cards.ingest_and_fold(bronze, str(tmp_path / "b"), str(tmp_path / "f"), str(tmp_path / "c")):
-        query.awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "b")).count() == 6
-    assert sorted(r.card_txn_count_lifetime for r in spark.read.parquet(str(tmp_path / "f")).collect()) == [0, 1, 2, 3, 4, 5]
+    cards.land_and_fold(bronze, str(tmp_path / "b"), str(tmp_path / "f"), str(tmp_path / "c")).awaitTermination()
+    landed = cards.read_batches(str(tmp_path / "b"), bronze).collect()
+    want = S.parse_payment_events(spark.read.schema(schemas.MESSAGE).parquet(source)).drop("ingested_at").collect()
+    plain = lambda rows: sorted(str({k: v for k, v in r.asDict().items() if k != "ingested_at"}) for r in rows)
+    assert plain(landed) == plain(want) and all(r.ingested_at for r in landed)
+    assert sorted(r.card_txn_count_lifetime for r in spark.read.parquet(str(tmp_path / "f") + "/*").collect()) == [0, 1, 2, 3, 4, 5]
 
 
 @pytest.mark.parametrize("change, broken", [
