@@ -17,6 +17,8 @@ from paysift.llm.common import crc_mod, pieces, raw_texts
 UNKNOWN = "und"
 #: Bits of a code point in a trigram's code; 0 is the edge of a word.
 _BITS = 21
+#: The ids of each language are dealt into so many parts, which are ranked one by one.
+DEALS = 256
 
 
 @cache
@@ -88,13 +90,15 @@ class LanguageModel:
 def fit(docs: DataFrame, bound: int = 20_000, dims: int = 2048, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Bundles the documents of each language, at most `bound` in all, outside the held-out fold.
 
-    Languages take turns, each by the least hashes of its ids, so a rare one keeps all of its few documents. Each task sums a
+    Languages take turns, each by hashes of its ids, so a rare one keeps its few documents. Each task sums a
     vector for each language; Spark adds them up.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     known = rows.where(crc_mod("id", 3) != 1).where("lang IS NOT NULL AND text IS NOT NULL")
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    turns = known.select("id", "lang").withColumn("turn", turn).where(F.col("turn") <= bound)
+    deal = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(DEALS))  # so that no task has all of a common language
+    place = F.row_number().over(Window.partitionBy("lang", "deal").orderBy(F.xxhash64("id"), "id"))
+    dealt = known.select("id", "lang").withColumn("deal", deal).withColumn("place", (place - 1) * DEALS + F.col("deal")).where(F.col("place") < bound)
+    turns = dealt.withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy("place")))  # at most `bound` rows of a language
     drawn = turns.orderBy("turn", F.xxhash64("id"), "id").limit(bound).select("id").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
