@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paysift.operators.ranking import group_quantiles
+
 FLAGGED = ("review", "block")
+LATENCY_SHARES = (0.5, 0.95, 0.99)
 
 
 def _count(test: Column | str) -> Column:
@@ -29,15 +32,17 @@ def daily_kpis(facts: DataFrame) -> DataFrame:
         "decided_by_model": "triggered_by = 'model'", "decided_without_a_model": "degraded", "labels_known": "label_is_known", "labels_pending": "NOT label_is_known", "fraud_blocked": "outcome = 'fraud_blocked'",
         "fraud_to_review": "outcome = 'fraud_to_review'", "fraud_missed": "outcome = 'fraud_missed'", "false_blocks": "outcome = 'false_block'",
     }
-    latency = lambda p: F.round(F.percentile("latency_ms", F.lit(p)), 2)
-    return facts.groupBy("decision_date").agg(
+    latencies = group_quantiles(facts, ["decision_date"], "latency_ms", LATENCY_SHARES).withColumnRenamed("decision_date", "_day")
+    latency = [F.round(F.get("quantiles", F.lit(i)), 2).alias(name) for i, name in enumerate(("latency_p50_ms", "latency_p95_ms", "latency_p99_ms"))]
+    days = facts.groupBy("decision_date").agg(
         everything.alias("payments_scored"), *[_count(test).alias(name) for name, test in counts.items()],
         _rate(_count("decision = 'review'"), everything).alias("review_rate"), _rate(_count("decision = 'block'"), everything).alias("block_rate"),
         F.sum("amount").alias("payment_value"), F.sum(F.when(F.col("decision") == "block", F.col("amount"))).alias("blocked_value"),
-        latency(0.5).alias("latency_p50_ms"), latency(0.95).alias("latency_p95_ms"), latency(0.99).alias("latency_p99_ms"),
         _total("amount", "outcome IN ('fraud_blocked', 'fraud_to_review')").alias("fraud_value_caught"), _total("amount", "outcome = 'fraud_missed'").alias("fraud_value_missed"),
         _rate(_count("outcome = 'false_block'"), legit).alias("false_positive_rate"),
-    ).orderBy("decision_date")
+    )
+    at = days.columns.index("fraud_value_caught")
+    return days.join(latencies, days.decision_date.eqNullSafe(latencies._day), "left").select(*days.columns[:at], *latency, *days.columns[at:]).orderBy("decision_date")
 
 
 def model_performance(facts: DataFrame) -> DataFrame:
@@ -121,8 +126,9 @@ def most_recent(rows: DataFrame, n: int, time: str = "event_time", key: str = "t
 
 def latency_report(decisions: DataFrame) -> DataFrame:
     """One row: latency percentiles and how many of each decision."""
-    at = lambda p: F.percentile("latency_ms", F.lit(p))
-    return decisions.agg(
-        F.count("*").alias("requests"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.avg("latency_ms").alias("mean"), F.max("latency_ms").alias("max"),
-        *[_count(F.col("decision") == d).alias(d) for d in ("allow", "review", "block")],
-    )
+    latencies = group_quantiles(decisions, [], "latency_ms", LATENCY_SHARES)
+    counts = decisions.agg(
+        F.count("*").alias("requests"), F.avg("latency_ms").alias("mean"), F.max("latency_ms").alias("max"), *[_count(F.col("decision") == d).alias(d) for d in ("allow", "review", "block")]
+    )
+    at = [F.get("quantiles", F.lit(i)).alias(name) for i, name in enumerate(("p50", "p95", "p99"))]
+    return counts.join(F.broadcast(latencies), F.lit(True), "left").select("requests", *at, "mean", "max", "allow", "review", "block")  # one row each

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,3 +89,55 @@ def exact_quantiles(rows: DataFrame, value: str, shares: Sequence[float]) -> lis
     wanted = sorted({int(p) for p in places} | {min(int(p) + 1, n - 1) for p in places})
     at = {r.r: r.v for r in ranked.where(F.col("r").isin(wanted)).collect()}
     return [at[int(p)] + (at[min(int(p) + 1, n - 1)] - at[int(p)]) * (p - int(p)) for p in places]
+
+
+def group_quantiles(rows: DataFrame, by: Sequence[str], value: str, shares: Sequence[float | Column], bins: int = 1024, small: int = 10_000) -> DataFrame:
+    """(by..., n, quantiles): the interpolated quantiles of a finite value in each group, at shares that may be columns over n.
+
+    No group is sorted and no buffer holds its values. Every rank that a quantile needs has a stretch of values to lie in,
+    at first the whole group. Passes count each stretch in `bins` equal parts and go on with the part that has the rank,
+    until a stretch has one value or at most `small` rows, which are then ranked. A pass shuffles counts only. Null and NaN are
+    left out; groups without a value have no row. A null group is a group.
+    """
+    g = [f"_g{i}" for i in range(len(by))]
+    given = rows.where(F.col(value).isNotNull()).select(*[F.col(c).alias(n) for c, n in zip(by, g)], F.col(value).cast("double").alias("_v"))
+    base = write_table(given.where(~F.isnan("_v")), "values")
+    counts = base.groupBy(*g).agg(F.count("*").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+    places = [F.greatest(F.lit(0.0), (s if isinstance(s, Column) else F.lit(float(s))) * (F.col("n") - 1)) for s in shares]
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(p), F.ceil(p)) for p in places]))).cast("array<long>")
+    counts = write_table(counts.where("n > 0").withColumn("ranks", ranks), "groups")
+    wanted = counts.select(*g, F.explode("ranks").alias("r"), "low", "high", F.lit(0).cast("long").alias("below"), F.col("n").alias("size"))
+    found = None
+    of = [*g, "low", "high"]
+
+    def met(left: DataFrame, right: DataFrame, names: Sequence[str], more: Column | None = None) -> DataFrame:
+        """left joined with right on names, nulls too, and on a further test; right's names are dropped."""
+        right = right.select(*[F.col(c).alias(f"{c}_") if c in names else F.col(c) for c in right.columns])
+        test = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in names], F.lit(True) if more is None else more)
+        return left.join(right, test).drop(*[f"{c}_" for c in names])
+
+    def stretches(of_ranks: DataFrame, *more: str) -> DataFrame:
+        """The values in each stretch that a rank still lies in."""
+        return met(base, of_ranks.select(*of, *more).distinct(), g, F.col("_v").between(F.col("low"), F.col("high")))
+
+    while True:
+        narrow = (F.col("size") <= small) | (F.col("low") == F.col("high"))
+        closed, wanted = wanted.where(narrow), wanted.where(~narrow)
+        found = closed if found is None else found.unionByName(closed)
+        if wanted.isEmpty():
+            break
+        part = F.least(F.lit(bins - 1), F.floor((F.col("_v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2) * bins))
+        cells = stretches(wanted).groupBy(*of, part.alias("part")).agg(F.count("*").alias("c"), F.min("_v").alias("from"), F.max("_v").alias("to"))
+        before = Window.partitionBy(*of).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # at most `bins` rows
+        start = F.col("below") + F.coalesce("before", F.lit(0))
+        hit = met(wanted, cells.withColumn("before", F.sum("c").over(before)), of, (F.col("r") >= start) & (F.col("r") < start + F.col("c")))
+        wanted = write_table(hit.select(*g, "r", F.col("from").alias("low"), F.col("to").alias("high"), start.alias("below"), F.col("c").alias("size")), "stretches")
+    several = found.where("low < high")
+    place = F.col("below") + F.row_number().over(Window.partitionBy(*of).orderBy("_v")) - 1  # at most `small` rows
+    ranked = stretches(several, "below").withColumn("place", place).select(*of, "place", F.col("_v").alias("x"))
+    ranked = met(several.select(*of, "r"), ranked, of, F.col("r") == F.col("place")).select(*g, "r", "x")
+    every = found.where("low = high").select(*g, "r", F.col("low").alias("x")).unionByName(ranked)
+    values = every.groupBy(*g).agg(F.map_from_entries(F.collect_list(F.struct("r", "x"))).alias("at"))
+    at = lambda p: F.col("at")[F.floor(p)] + (F.col("at")[F.ceil(p)] - F.col("at")[F.floor(p)]) * (p - F.floor(p))
+    joined = met(counts, values, g)
+    return joined.select(*[F.col(n).alias(c) for n, c in zip(g, by)], "n", F.array(*[at(p) for p in places]).alias("quantiles"))
