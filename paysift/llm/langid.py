@@ -97,8 +97,8 @@ def fit(docs: DataFrame, bound: int = 20_000, dims: int = 2048, seed: int = 7, i
     known = rows.where(crc_mod("id", 3) != 1).where("lang IS NOT NULL AND text IS NOT NULL")
     deal = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(DEALS))  # so that no task has all of a common language
     place = F.row_number().over(Window.partitionBy("lang", "deal").orderBy(F.xxhash64("id"), "id"))
-    dealt = known.select("id", "lang").withColumn("deal", deal).withColumn("place", (place - 1) * DEALS + F.col("deal")).where(F.col("place") < bound)
-    turns = dealt.withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy("place")))  # at most `bound` rows of a language
+    dealt = known.select("id", "lang").withColumn("deal", deal).withColumn("place", (place - 1) * DEALS + F.col("deal")).where(F.col("place") < bound + DEALS)
+    turns = dealt.withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy("place")))  # at most bound + DEALS rows of a language
     drawn = turns.orderBy("turn", F.xxhash64("id"), "id").limit(bound).select("id").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
