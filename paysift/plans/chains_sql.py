@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from paysift.operators.features import FEATURES
-from paysift.operators.model import COLUMNS, VOCABULARIES
+from paysift.operators.model import COLUMNS, NUMBERS, VOCABULARIES
 from paysift.operators.quality import MART_SUITES
 from paysift.plans.oracle import _DECISIONS, _FACTS, _LABELS, _NOW, _PAYMENTS, _PLACED, _SILVER, _WINDOWS, ORACLE, _features, _fraction
 from paysift.plans.inputs import FRAUD_SEED
@@ -107,7 +107,12 @@ _PARTS = f"""{_PAYMENTS}, x AS (SELECT transaction_id, amount, product_cd, [{{'f
 _LIVES = f"""{_PAYMENTS.replace('payments AS', 'every AS')}, gaps AS (SELECT *, floor(epoch_us(event_time) / 1000000) - lag(floor(epoch_us(event_time) / 1000000)) OVER (PARTITION BY card_key ORDER BY floor(epoch_us(event_time) / 1000000), transaction_id) > 48 * 3600 AS fresh FROM every),
 payments AS (SELECT * REPLACE (card_key || '/' || sum(coalesce(fresh, false)::INT) OVER (PARTITION BY card_key ORDER BY floor(epoch_us(event_time) / 1000000), transaction_id) AS card_key) FROM gaps)"""
 
+_TESTED = f"""{_LABELS}, {_PAYMENTS}, known AS (SELECT *, row_number() OVER (ORDER BY event_time, transaction_id) - 1 AS place, count(*) OVER () AS total FROM payments JOIN labels USING (transaction_id)),
+    tested AS (SELECT * FROM known WHERE place >= floor(total * 0.85::DOUBLE))"""
+
 SQL: dict[str, str] = {
+    "boosted_model": f"WITH {_TESTED} SELECT count(*) AS rows, count(*) FILTER (is_fraud = 1) AS fraud_count, round(sum(amount) FILTER (is_fraud = 1), 4) AS baseline_cost FROM tested",
+    "boosted_reasons": f"WITH {_TESTED} SELECT transaction_id, {len(NUMBERS) + sum(len(v) + 1 for v in VOCABULARIES.values())}::INTEGER AS n_inputs, true AS adds_up FROM known WHERE place < floor(total * 0.85::DOUBLE)",
     "quality_report": _quality("", "count(*) FILTER (NOT regexp_matches(card_token, '^[0-9a-f]{32}$'))", "count(*) - count(DISTINCT transaction_id)", "silver", "", "x.observed AS observed,"),
     "contract_failures": _quality(
         "b AS (SELECT transaction_id, card_token, amount, product_cd FROM silver UNION ALL SELECT transaction_id, '4111', -amount, product_cd FROM silver WHERE transaction_id % 2 = 0),",

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paysift.functions import payments as P
+from paysift.operators import boosting as BO
 from paysift.operators import cases as C
 from paysift.operators import decisions as D
 from paysift.operators import drift as DR
@@ -451,6 +452,20 @@ def trained_model(spark: SparkSession, sf: str) -> DataFrame:
     return MO.train_and_test(rows)[2].select("rows", "fraud_count", "pr_auc", "roc_auc", "expected_cost", "baseline_cost")
 
 
+def boosted_model(spark: SparkSession, sf: str) -> DataFrame:
+    """What is certain of boosted trees that are grown, stopped, tuned and tested on the labelled payments: the newest part and its cost."""
+    return BO.train_and_test(_labelled(spark, sf))[2].select("rows", "fraud_count", F.round("baseline_cost", 4).alias("baseline_cost"))
+
+
+def boosted_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the parts that boosted trees give each input of each labelled payment add up to its logit."""
+    matrix = MO.model_matrix(R.time_split(_labelled(spark, sf)), keep=("transaction_id", "is_fraud", "part")).where("part <> 'test'")
+    model, _ = BO.fit(matrix.where("part = 'train'"), matrix.where("part = 'validation'"), BO.Settings(rounds=8))
+    scored = model.contributions(model.score(matrix))
+    total = F.aggregate(F.map_values("contributions"), F.lit(model.expected()), lambda a, x: a + x)
+    return scored.select("transaction_id", F.size("contributions").alias("n_inputs"), (F.abs(total - F.log(F.col("model_score") / (1 - F.col("model_score")))) < 1e-6).alias("adds_up"))
+
+
 def explained_decisions(spark: SparkSession, sf: str) -> DataFrame:
     rows = _labelled(spark, sf)
     matrix = MO.model_matrix(rows, keep=("transaction_id", "is_fraud"))
