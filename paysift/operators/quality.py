@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -79,24 +79,28 @@ def _bad(e: Expect) -> Column:
     raise ValueError(f"unknown expectation {e.kind!r}")
 
 
-def check(rows: DataFrame, suite: Sequence[Expect] = SILVER_SUITE) -> DataFrame:
-    """One row an expectation: i, expectation, success, observed, unexpected_count.
-
-    What a table with unique columns has of the suite's columns is written once, so that it is not computed for each of them.
-    """
-    have = set(rows.columns)
-    if any(e.kind == "unique" and e.column in have for e in suite):
-        rows = write_table(rows.select(*sorted({e.column for e in suite if e.column in have})), "checked")
+def measures(suite: Sequence[Expect], columns: Iterable[str]) -> list[Column]:
+    """What one pass over a table with these columns has to count for the suite, unique columns aside."""
+    have = set(columns)
     counted = {i: e for i, e in enumerate(suite) if e.column in have and e.kind not in ("unique", "row_count", "columns")}
-    totals = rows.agg(
-        F.count("*").alias("n"), *[F.count_if(_bad(e)).alias(f"bad_{i}") for i, e in counted.items()],
-        *[(F.count("*") if e.kind == "not_null" else F.count(e.column)).alias(f"of_{i}") for i, e in counted.items()],
-    )
+    bad = [F.count_if(_bad(e)).alias(f"bad_{i}") for i, e in counted.items()]
+    return [F.count(F.lit(1)).alias("n"), *bad, *[F.count(F.lit(1) if e.kind == "not_null" else F.col(e.column)).alias(f"of_{i}") for i, e in counted.items()]]
+
+
+def repeats(rows: DataFrame, suite: Sequence[Expect]) -> DataFrame | None:
+    """One row: for each unique column of the suite that rows have, how many rows share their value with another."""
+    totals = None
     for i, e in enumerate(suite):
-        if e.kind == "unique" and e.column in have:
-            repeated = rows.where(F.col(e.column).isNotNull()).groupBy(e.column).agg(F.count("*").alias("k")).agg(F.coalesce(F.sum(F.when(F.col("k") > 1, F.col("k"))), F.lit(0)).alias(f"bad_{i}"))
-            totals = totals.crossJoin(F.broadcast(repeated))  # one row each
-    results = []
+        if e.kind == "unique" and e.column in rows.columns:
+            counts = rows.where(F.col(e.column).isNotNull()).groupBy(e.column).agg(F.count("*").alias("k"))
+            one = counts.agg(F.coalesce(F.sum(F.when(F.col("k") > 1, F.col("k"))), F.lit(0)).alias(f"bad_{i}"))
+            totals = one if totals is None else totals.crossJoin(F.broadcast(one))  # one row each
+    return totals
+
+
+def report(totals: DataFrame, suite: Sequence[Expect], columns: Iterable[str]) -> DataFrame:
+    """One row an expectation, of the one row of counts: i, expectation, success, observed, unexpected_count."""
+    have, results = set(columns), []
     for i, e in enumerate(suite):
         if e.kind == "row_count":
             ok, observed, bad = (F.col("n") >= e.args.get("least", 0)) & (F.col("n") <= e.args.get("most", 2**62)), F.col("n").cast("string"), F.lit(0).cast("long")
@@ -115,8 +119,21 @@ def check(rows: DataFrame, suite: Sequence[Expect] = SILVER_SUITE) -> DataFrame:
     return totals.select(F.explode(F.array(*results)).alias("r")).select("r.*")
 
 
-def suite_result(report: DataFrame) -> DataFrame:
-    return report.agg(F.bool_and("success").alias("success"), F.count("*").alias("evaluated"), F.count_if("success").alias("successful"), F.array_sort(F.collect_list(F.when(~F.col("success"), F.col("expectation")))).alias("failures"))
+def check(rows: DataFrame, suite: Sequence[Expect] = SILVER_SUITE) -> DataFrame:
+    """The report on rows: one row an expectation.
+
+    What a table with unique columns has of the suite's columns is written once, so that it is not computed for each of them.
+    """
+    columns = rows.columns
+    if any(e.kind == "unique" and e.column in columns for e in suite):
+        rows = write_table(rows.select(*sorted({e.column for e in suite if e.column in columns})), "checked")
+    totals, repeated = rows.agg(*measures(suite, columns)), repeats(rows, suite)
+    return report(totals if repeated is None else totals.crossJoin(F.broadcast(repeated)), suite, columns)  # one row each
+
+
+def suite_result(found: DataFrame) -> DataFrame:
+    """One row: whether all is well, how many expectations there were and held, and the names of the others."""
+    return found.agg(F.bool_and("success").alias("success"), F.count("*").alias("evaluated"), F.count_if("success").alias("successful"), F.array_sort(F.collect_list(F.when(~F.col("success"), F.col("expectation")))).alias("failures"))
 
 
 def gate(rows: DataFrame, suite: Sequence[Expect] = SILVER_SUITE, skip: bool = False) -> DataFrame:

@@ -20,6 +20,7 @@ from paysift.operators import rules as RU
 from paysift.plans import inputs as I
 from paysift.plans import queries as B
 from paysift.sources import ingest as S
+from paysift.sources import versions as V
 from paysift.storage import new_path, write_table
 from paysift.streaming import cards
 
@@ -62,11 +63,53 @@ def appended_layers(spark: SparkSession, sf: str) -> DataFrame:
     rows = I.payments(spark, sf).withColumn("event_date", F.to_date("event_time"))
     for part in (0, 1):
         S.append_batch(rows.where(F.col("transaction_id") % 2 == part), path, "event_date")
-    S.rebuild(write_table(S.read_layer(spark, path).withColumn("doubled", F.col("amount") * 2), "again"), path, "event_date")
+    S.rebuild(S.read_layer(spark, path).withColumn("doubled", F.col("amount") * 2), path, "event_date")
     S.export_snapshots(spark, {"bronze": path, "absent": f"{path}-none"}, out)
     return S.read_layer(spark, f"{out}/bronze").select("transaction_id", F.round("doubled", 6).alias("doubled"), F.col("event_date").cast("date").alias("event_date"))
 
 
+GATE = (Q.Expect("row_count", args={"least": 1}), Q.Expect("unique", "transaction_id"), Q.Expect("not_null", "card_token"), Q.Expect("between", "amount", {"low": 0.0001}))
+
+
+def gated_rebuilds(spark: SparkSession, sf: str) -> DataFrame:
+    """Three rebuilds of a silver table behind a gate: a good one, a broken one that is refused, and the broken one with the gate
+    open; what each was told, and what readers found after it."""
+    path = new_path(spark, "gated")
+    good = LA.to_silver(S.parse_payment_events(I.as_messages(I.table(spark, sf, "events"))), I.SALT)
+    broken = good.unionByName(good.where("transaction_id % 2 = 0").withColumn("amount", -F.col("amount")))
+    out = None
+    for attempt, (rows, skip) in enumerate(((good, False), (broken, False), (broken, True)), 1):
+        try:
+            told = ",".join(V.publish(rows, path, GATE, "event_date", skip)["failures"])
+        except ValueError as e:
+            told = str(e)
+        found = V.read_version(spark, path).agg(F.count("*").alias("rows"), F.round(F.sum("amount"), 2).alias("amount"))
+        found = found.select(F.lit(attempt).alias("attempt"), F.lit(told).alias("told"), "rows", "amount", F.lit(V.versions(spark, path)[-1]["number"]).alias("version"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def suite_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """What is kept of a run of the silver suite: totals and the names of what failed."""
+    found = Q.suite_result(B.quality_report(spark, sf))
+    return found.withColumn("failures", F.array_join("failures", ","))
+
+
+def case_bucket_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """case_upsert with a tenth of the keys, into a store in buckets."""
+    path = new_path(spark, "cases")
+    latest = B._latest_cases(spark, sf)
+    V.create_buckets(latest, path, buckets=16)
+    new = latest.where("transaction_id % 10 = 0").withColumns({"amount": F.col("amount") * 2, "decision": F.lit("block"), "resolution": F.lit("new")})
+    V.upsert_buckets(new.unionByName(new.where("transaction_id % 20 = 0").withColumn("transaction_id", -F.col("transaction_id") - 1)), path)
+    return V.read_buckets(spark, path).drop("bucket", "card_token")
+
+
+def labels_by_availability(spark: SparkSession, sf: str) -> DataFrame:
+    """The first thousand labels to become known."""
+    return L.by_availability(I.chargebacks(spark, sf)).select("transaction_id", "is_fraud", "label_available_at").limit(1000)
+
+
 def published_marts(spark: SparkSession, sf: str) -> DataFrame:
     out = new_path(spark, "marts")
     S.publish_marts({"rules": M.rule_effectiveness(B._facts(spark, sf))}, out)

@@ -111,6 +111,14 @@ _TESTED = f"""{_LABELS}, {_PAYMENTS}, known AS (SELECT *, row_number() OVER (ORD
     tested AS (SELECT * FROM known WHERE place >= floor(total * 0.85::DOUBLE))"""
 
 SQL: dict[str, str] = {
+    "gated_rebuilds": f"""WITH {_SILVER}, b AS (SELECT amount FROM silver UNION ALL SELECT -amount FROM silver WHERE transaction_id % 2 = 0),
+        g AS (SELECT count(*) AS rows, round(sum(amount), 2) AS amount FROM silver), w AS (SELECT count(*) AS rows, round(sum(amount), 2) AS amount FROM b)
+        SELECT 1 AS attempt, '' AS told, rows, amount, 1 AS version FROM g UNION ALL SELECT 2, 'the table does not meet between(amount), unique(transaction_id)', rows, amount, 1 FROM g
+        UNION ALL SELECT 3, 'between(amount),unique(transaction_id)', rows, amount, 2 FROM w""",
+    "case_bucket_upsert": f"""WITH {_DECISIONS}, latest AS (SELECT transaction_id, amount, decision FROM attempts)
+        SELECT transaction_id, amount, CASE WHEN transaction_id % 10 = 0 THEN 'block' ELSE decision END AS decision, CASE WHEN transaction_id % 10 = 0 THEN 'new' ELSE 'old' END AS resolution FROM latest
+        UNION ALL SELECT -transaction_id - 1, amount * 2, 'block', 'new' FROM latest WHERE transaction_id % 20 = 0""",
+    "labels_by_availability": f"WITH {_LABELS} SELECT transaction_id, is_fraud, label_available_at FROM labels ORDER BY label_available_at, transaction_id LIMIT 1000",
     "boosted_model": f"WITH {_TESTED} SELECT count(*) AS rows, count(*) FILTER (is_fraud = 1) AS fraud_count, round(sum(amount) FILTER (is_fraud = 1), 4) AS baseline_cost FROM tested",
     "boosted_reasons": f"WITH {_TESTED} SELECT transaction_id, {len(NUMBERS) + sum(len(v) + 1 for v in VOCABULARIES.values())}::INTEGER AS n_inputs, true AS adds_up FROM known WHERE place < floor(total * 0.85::DOUBLE)",
     "quality_report": _quality("", "count(*) FILTER (NOT regexp_matches(card_token, '^[0-9a-f]{32}$'))", "count(*) - count(DISTINCT transaction_id)", "silver", "", "x.observed AS observed,"),
@@ -158,3 +166,4 @@ SQL: dict[str, str] = {
     "labels_known": f"WITH {_LABELS} SELECT transaction_id, is_fraud, label_available_at FROM labels WHERE label_available_at <= {_NOW}",
     "event_times": "SELECT o_orderkey AS transaction_id, TIMESTAMP '2020-02-29 10:00:00' + to_microseconds(o_orderkey * 500000) AS event_time, round(o_orderkey * 0.5::DOUBLE / 86400, 9) AS days FROM orders",
 }
+SQL["suite_totals"] = f"""SELECT bool_and(success) AS success, count(*) AS evaluated, count(*) FILTER (success) AS successful, coalesce(string_agg(expectation, ',' ORDER BY expectation) FILTER (NOT success), '') AS failures FROM ({SQL['quality_report']})"""

@@ -378,9 +378,13 @@ def stored_embedders(spark: SparkSession, sf: str) -> DataFrame:
     return C.stored_embedders(I.cases(spark, sf))
 
 
+def _latest_cases(spark: SparkSession, sf: str) -> DataFrame:
+    rows = D.latest_attempts(I.decisions(spark, sf))
+    return rows.select("transaction_id", "card_token", F.col("features")["amount"].alias("amount"), "decision", F.lit("old").alias("resolution"))
+
+
 def case_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    rows = I.decisions(spark, sf)
-    latest = D.latest_attempts(rows).select("transaction_id", "card_token", F.col("features")["amount"].alias("amount"), "decision", F.lit("old").alias("resolution"))
+    latest = _latest_cases(spark, sf)
     new = latest.where("transaction_id % 3 = 0").withColumns({"amount": F.col("amount") * 2, "decision": F.lit("block"), "resolution": F.lit("new")})
     extra = new.where("transaction_id % 2 = 0").withColumn("transaction_id", -F.col("transaction_id") - 1)
     return C.upsert(latest, new.unionByName(extra)).drop("card_token")

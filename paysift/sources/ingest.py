@@ -10,6 +10,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from paysift import schemas
 from paysift.functions import payments as P
+from paysift.sources.versions import publish, read_version, versions
 
 
 def read_message_stream(spark: SparkSession, source: str, format: str = "kafka", servers: str | None = None, starting: str = "earliest", per_trigger: int | None = 20_000) -> DataFrame:
@@ -54,14 +55,14 @@ def append_stream(rows: DataFrame, path: str, checkpoint: str, day: str, once: b
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
 
 
-def rebuild(rows: DataFrame, path: str, day: str | None = None, format: str = "parquet") -> None:
-    """Replaces the whole table, its schema too."""
-    writer = rows.write.format(format).mode("overwrite").option("overwriteSchema", "true")
-    (writer.partitionBy(day) if day else writer).save(path)
+def rebuild(rows: DataFrame, path: str, day: str | None = None) -> None:
+    """Replaces the whole table, its schema too; readers have the old one until the new one stands, so rows may come from it."""
+    publish(rows, path, partition_by=day)
 
 
 def read_layer(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
-    return spark.read.format(format).load(path)
+    """A layer's table: its current version if it was rebuilt, else the rows that were appended."""
+    return read_version(spark, path) if versions(spark, path) else spark.read.format(format).load(path)
 
 
 def export_snapshots(spark: SparkSession, tables: Mapping[str, str], out: str, files: int | None = None, format: str = "parquet") -> list[str]:
@@ -100,7 +101,7 @@ def payments_from_flat(transactions: DataFrame, identity: DataFrame | None = Non
         text("P_emaildomain", "p_emaildomain"), text("R_emaildomain", "r_emaildomain"), block(schemas.COUNTS, "double").alias("counts"), block(schemas.DELTAS, "double").alias("deltas"),
         block(schemas.VESTA, "double").alias("vesta"), block(schemas.IDENTITY_NUMBERS, "double").alias("identity_numeric"), block(schemas.MATCHES, "string").alias("match_flags"),
         block(schemas.IDENTITY_TEXTS, "string").alias("identity_categorical"), text("DeviceType", "device_type"), text("DeviceInfo", "device_info"),
-    ).orderBy("transaction_dt", "transaction_id")
+    )
 
 
 def to_messages(rows: DataFrame, key: str = "card_key", fields: Iterable[str] | None = None) -> DataFrame:
