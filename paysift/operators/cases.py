@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paysift.functions.payments import agreed, amount_band, let
+from paysift.storage import write_table
 
 DIMENSIONS, NGRAM = 384, 4
 #: Cases in a block of a search.
 BLOCK, QUERY_BLOCK = 8192, 256
+#: Cells of an index at most.
+CELLS = 4096
 #: What an upsert of a case replaces; the rest keeps its old value.
 CASE_UPDATES = ("decision", "is_fraud", "confirmed_at", "resolution", "description", "facts", "embedding", "embedder")
 REVIEW_UPDATES = ("reviewed_at", "analyst", "verdict", "note")
 
 
 def describe(features: Column, amount: Column, decision: Column, product: Column | None = None, device: Column | None = None) -> Column:
-    """A sentence-like description of a payment from its feature map."""
+    """A sentence-like description of a payment from its feature map. The phrases."""
     f = lambda name: F.try_element_at(features, F.lit(name))
     yes = lambda name: F.coalesce(f(name), F.lit(0.0)) != 0
     filled = lambda c: F.when(F.length(c) > 0, c)
@@ -69,25 +74,22 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms > 0, dot(a, b) / norms).otherwise(0.0)
 
 
-def _blocks(rows: DataFrame, n: int, key: str, vector: str, name: str) -> DataFrame:
-    """(block number, keys, unit vectors): rows with a vector, dealt by a hash of the key into n blocks for each length."""
-    kept = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("k"), unit(F.col(vector)).alias("v"), F.size(vector).alias("dims"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("b"))
-    packed = kept.groupBy("dims", "b").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("rows"))
-    return packed.select("dims", F.col("b").alias(name), F.col("rows.k").alias(f"{name}_keys"), F.flatten("rows.v").alias(f"{name}_v"))
+def _vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """(k, v, dims): keys and unit vectors of the rows that have both."""
+    kept = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull())
+    return kept.select(F.col(key).alias("k"), unit(F.col(vector)).alias("v"), F.size(vector).alias("dims"))
 
 
-def nearest(queries: DataFrame, cases: DataFrame, k: int = 5, key: str = "transaction_id", vector: str = "embedding", blocks: int | None = None) -> DataFrame:
-    """(query_id, rank, key, similarity): the k most similar cases of every query but itself; ties to the smaller key.
+def _blocks(rows: DataFrame, n: Column, name: str) -> DataFrame:
+    """(dims, cell, block number, keys, vectors) of rows (k, v, dims, cell), dealt by a hash of the key into n blocks of each cell."""
+    packed = rows.withColumn("b", F.pmod(F.xxhash64("k"), n).cast("int")).groupBy("dims", "cell", "b").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("rows"))
+    return packed.select("dims", "cell", F.col("b").alias(name), F.col("rows.k").alias(f"{name}_keys"), F.flatten("rows.v").alias(f"{name}_v"))
 
-    Queries are a stated set. Both sides are packed into blocks of bounded size, whose number grows with the rows; every query
-    block meets every case block by its number, as one matrix product, and keeps k cases a query for the merge after it. Rows
-    without a key or a vector take no part, and vectors meet those of their own length.
-    """
-    n_cases = blocks or max(1, -(-cases.count() // BLOCK))
-    n_queries = max(1, -(-queries.count() // QUERY_BLOCK))
-    c = _blocks(cases, n_cases, key, vector, "c")
-    q = _blocks(queries, n_queries, key, vector, "q").withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n_cases - 1))))
-    kind = cases.schema[key].dataType.simpleString()
+
+def _best(pairs: DataFrame, k: int, key: str) -> DataFrame:
+    """(query_id, rank, key, similarity) of pairs of a query block and a case block (q_keys, q_v, c_keys, c_v): one matrix product each,
+    of which k cases a query are kept for the merge after it."""
+    kinds = [pairs.schema[c].dataType.elementType.simpleString() for c in ("q_keys", "c_keys")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,12 +106,95 @@ def nearest(queries: DataFrame, cases: DataFrame, k: int = 5, key: str = "transa
                 row, column = row[keep], column[keep]
                 yield pa.RecordBatch.from_arrays([q_keys.take(pa.array(row)), c_keys.take(pa.array(column)), pa.array(scores[row, column])], names=["query_id", "k", "similarity"])
 
-    pairs = q.join(c, ["dims", "c"]).select("q_keys", "q_v", "c_keys", "c_v")
-    found = pairs.mapInArrow(run, f"query_id {queries.schema[key].dataType.simpleString()}, k {kind}, similarity double")
+    found = pairs.select("q_keys", "q_v", "c_keys", "c_v").mapInArrow(run, f"query_id {kinds[0]}, k {kinds[1]}, similarity double")
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc("k"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("k").alias(key), "similarity")
 
 
+def nearest(queries: DataFrame, cases: DataFrame, k: int = 5, key: str = "transaction_id", vector: str = "embedding", blocks: int | None = None) -> DataFrame:
+    """(query_id, rank, key, similarity): the k most similar cases of every query but itself; ties to the smaller key.
+
+    Queries are a stated set. Both sides are packed into blocks of bounded size, whose number grows with the rows; every query
+    block meets every case block by its number. Rows without a key or a vector take no part, and vectors meet those of their own
+    length.
+    """
+    n_cases = blocks or max(1, -(-cases.count() // BLOCK))
+    n_queries = max(1, -(-queries.count() // QUERY_BLOCK))
+    c = _blocks(_vectors(cases, key, vector).withColumn("cell", F.lit(0)), F.lit(n_cases), "c")
+    q = _blocks(_vectors(queries, key, vector).withColumn("cell", F.lit(0)), F.lit(n_queries), "q").withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n_cases - 1))))
+    return _best(q.join(c, ["dims", "cell", "c"]), k, key)
+
+
+class CaseIndex:
+    """Stored cases in cells around centroids. Only the centroids are held here; there are at most CELLS of them."""
+
+    def __init__(self, centroids: np.ndarray, rows: DataFrame, counts: DataFrame) -> None:
+        self.centroids, self.rows, self.counts = centroids, rows, counts
+
+
+def _cells(rows: DataFrame, centroids: np.ndarray, n: int) -> DataFrame:
+    """rows (k, v, dims) with each of its n nearest cells."""
+    shared = rows.sparkSession.sparkContext.broadcast(centroids)
+
+    @F.pandas_udf("array<int>")
+    def near(v: pd.Series) -> pd.Series:
+        if not len(v):
+            return pd.Series([], dtype=object)
+        scores = np.round(np.stack(v.to_numpy()) @ shared.value.T, 9)
+        return pd.Series(list(np.argsort(-scores, axis=1, kind="stable")[:, :n].astype(np.int32)))
+
+    return rows.select("*", F.posexplode(near("v")).alias("place", "cell"))
+
+
+def index_cases(cases: DataFrame, cells: int | None = None, sample: int = 20_000, turns: int = 10, key: str = "transaction_id", vector: str = "embedding") -> CaseIndex:
+    """Deals every case with a key and a vector to its nearest cell and stores them, a row a case.
+
+    Centroids come from `turns` turns of k-means over at most `sample` unit vectors, drawn by a hash of the key. There are as many cells as
+    the square root of the cases says, CELLS at most. All vectors have one length, that of the first drawn; others are left out.
+    """
+    rows = _vectors(cases, key, vector)
+    drawn = rows.orderBy(F.xxhash64("k"), "k").limit(sample).select("v").toArrow().column("v").to_pylist()
+    drawn = np.array([v for v in drawn if len(v) == len(drawn[0])], float) if drawn else np.zeros((0, 1))
+    n = min(len(drawn), cells or max(1, min(CELLS, int(cases.count() ** 0.5))))
+    centroids = drawn[:n].copy()
+    for _ in range(turns if n > 1 else 0):
+        nearest_cell = (drawn @ centroids.T).argmax(axis=1)
+        for i in range(n):
+            total = drawn[nearest_cell == i].sum(axis=0)
+            size = np.linalg.norm(total)
+            centroids[i] = total / size if size else centroids[i]
+    dealt = write_table(_cells(rows.where(F.col("dims") == drawn.shape[1]), centroids, 1).drop("place") if n else rows.withColumn("cell", F.lit(0)).limit(0), "cells")
+    return CaseIndex(centroids, dealt, dealt.groupBy("cell").agg(F.count("*").alias("n")))
+
+
+def probes_for(index: CaseIndex, cases: DataFrame, recall: float = 0.95, sample: int = 200, k: int = 5, key: str = "transaction_id", vector: str = "embedding") -> int:
+    """How many cells a query has to look into so that it finds `recall` of its k nearest cases: measured for at most `sample` cases,
+    drawn by a hash of the key, against all others. What is hard to tell apart by distance needs many cells."""
+    drawn = write_table(cases.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, vector).orderBy(F.xxhash64(key, F.lit(1)), key).limit(sample), "drawn")
+    if not len(index.centroids):
+        return 1
+    wanted = _vectors(drawn, key, vector).where(F.col("dims") == index.centroids.shape[1])
+    order = _cells(wanted, index.centroids, len(index.centroids)).select(F.col("k").alias("query_id"), "cell", "place")
+    found = nearest(drawn, cases, k, key, vector).select("query_id", F.col(key).alias("k")).join(index.rows.select("k", "cell"), "k")
+    places = sorted(r.place for r in found.join(order, ["query_id", "cell"]).select("place").collect())  # at most sample * k
+    return places[max(0, math.ceil(recall * len(places)) - 1)] + 1 if places else 1
+
+
+def nearest_by_index(queries: DataFrame, index: CaseIndex, k: int = 5, probes: int = 8, key: str = "transaction_id", vector: str = "embedding") -> DataFrame:
+    """As nearest(), of the cases in the `probes` cells nearest to each query only: similarities are exact, a neighbour in another cell is missed.
+
+    A cell's cases are packed into blocks of bounded size, and the queries that look into it meet each block, so a cell with very
+    many cases is many tasks.
+    """
+    blocks = index.counts.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("n_blocks"))
+    c = _blocks(index.rows.join(blocks, "cell"), F.col("n_blocks"), "c") if len(index.centroids) else _blocks(index.rows, F.lit(1), "c")
+    wanted = _vectors(queries, key, vector).where(F.col("dims") == index.centroids.shape[1])
+    probing = _cells(wanted, index.centroids, probes).drop("place") if len(index.centroids) else wanted.withColumn("cell", F.lit(0)).limit(0)
+    n_queries = max(1, -(-queries.count() * probes // (QUERY_BLOCK * max(1, len(index.centroids)))))
+    q = _blocks(probing, F.lit(n_queries), "q").join(blocks, "cell").withColumn("c", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    return _best(q.join(c, ["dims", "cell", "c"]), k, key)
+
+
 def ingest_report(stored: DataFrame) -> DataFrame:
     """One row: how many cases there are after an ingest, of which outcome, and how many are from chargebacks."""
     return stored.agg(F.count("*").alias("cases"), F.count_if("is_fraud").alias("fraud"), F.count_if(~F.col("is_fraud")).alias("legitimate"), F.count_if(F.col("resolution") == "chargeback").alias("from_chargebacks"))

@@ -102,12 +102,12 @@ def flagged_known(latest: DataFrame, chargebacks: DataFrame, as_of: str, limit:
 
 
 def confirmed_cases(latest: DataFrame, chargebacks: DataFrame, silver: DataFrame, as_of: str, newest_first: bool = False, limit: int | None = None) -> DataFrame:
-    """Decisions with known labels and what silver has of them; the limit takes the oldest unless newest_first."""
+    """Decisions with known labels and what silver has of them, in no order without a limit; the limit takes the oldest unless newest_first."""
     labels = chargebacks.where(F.col("label_available_at") <= F.lit(as_of).cast("timestamp")).select("transaction_id", "is_fraud", "label_available_at")
     extra = silver.select("transaction_id", *[c for c in ("product_cd", "device_type") if c in silver.columns and c not in latest.columns])
     rows = latest.join(labels, "transaction_id").join(extra, "transaction_id", "left")
-    rows = rows.orderBy(F.desc("decided_at") if newest_first else F.asc("decided_at"), "transaction_id")
-    return rows.limit(limit) if limit else rows
+    order = [F.desc("decided_at") if newest_first else F.asc("decided_at"), F.asc("transaction_id")]
+    return rows.orderBy(*order).limit(limit) if limit else rows
 
 
 def bronze_summary(bronze: DataFrame, approximate: bool = False) -> DataFrame:
@@ -116,6 +116,21 @@ def bronze_summary(bronze: DataFrame, approximate: bool = False) -> DataFrame:
     return out.withColumn("has_duplicates", F.col("rows") > F.col("transactions"))
 
 
+def daily_sketches(bronze: DataFrame, bits: int = 12) -> DataFrame:
+    """A row a day to keep: rows, and mergeable sketches of its transactions and cards (relative error about 1.04 / 2**(bits / 2))."""
+    sketch = lambda c: F.hll_sketch_agg(F.col(c).cast("string"), bits)
+    return bronze.groupBy(F.to_date("event_time").alias("event_date")).agg(
+        F.count("*").alias("rows"), sketch("transaction_id").alias("transactions"), sketch("card_key").alias("cards"), F.min("event_time").alias("first_event"), F.max("event_time").alias("last_event")
+    )
+
+
+def summary_of_days(sketches: DataFrame, unit: Column | None = None) -> DataFrame:
+    """Totals over any days of daily_sketches, without reading their rows again: one row, or one a unit such as the month."""
+    about = lambda c: F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c)
+    groups = sketches.groupBy(*([] if unit is None else [unit.alias("unit")]))
+    return groups.agg(F.sum("rows").alias("rows"), about("transactions"), about("cards"), F.min("first_event").alias("first_event"), F.max("last_event").alias("last_event"))
+
+
 def rows_per_day(bronze: DataFrame) -> DataFrame:
     return bronze.groupBy(F.to_date("event_time").alias("event_date")).agg(F.count("*").alias("rows")).orderBy("event_date")
 

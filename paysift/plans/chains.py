@@ -105,6 +105,28 @@ def case_bucket_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return V.read_buckets(spark, path).drop("bucket", "card_token")
 
 
+def indexed_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """What a search by cells finds of the neighbours of every twentieth case, against the exact search, similarities included."""
+    stored = I.cases(spark, sf)
+    queries = stored.where("transaction_id % 20 = 0")
+    index = C.index_cases(stored)
+    found = C.nearest_by_index(queries, index, probes=C.probes_for(index, stored))
+    exact = C.nearest(queries, stored).select("query_id", "transaction_id", F.col("similarity").alias("exact"))
+    both = found.join(exact, ["query_id", "transaction_id"], "left")
+    return both.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("neighbours"), (F.avg(F.col("exact").isNotNull().cast("int")) >= 0.9).alias("reaches"), F.bool_and(F.coalesce(F.abs(F.col("exact") - F.col("similarity")) < 1e-6, F.lit(True))).alias("similar"))
+
+
+def distinct_by_month(spark: SparkSession, sf: str) -> DataFrame:
+    """Months from the sketches of their days, which are kept as a table, and whether their distinct counts are within 5 % of exact ones."""
+    rows = I.payments(spark, sf)
+    days = write_table(M.daily_sketches(rows), "sketches")
+    month = lambda c: F.date_format(c, "yyyy-MM")
+    exact = rows.groupBy(month("event_time").alias("unit")).agg(F.count_distinct("transaction_id").alias("t"), F.count_distinct("card_key").alias("c"))
+    close = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 0.05 * F.col(b)
+    found = M.summary_of_days(days, month("event_date")).join(exact, "unit")
+    return found.select("unit", "rows", "first_event", "last_event", close("transactions", "t").alias("transactions_close"), close("cards", "c").alias("cards_close"))
+
+
 def labels_by_availability(spark: SparkSession, sf: str) -> DataFrame:
     """The first thousand labels to become known."""
     return L.by_availability(I.chargebacks(spark, sf)).select("transaction_id", "is_fraud", "label_available_at").limit(1000)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from paysift.operators.features import FEATURES
 from paysift.operators.model import COLUMNS, NUMBERS, VOCABULARIES
 from paysift.operators.quality import MART_SUITES
-from paysift.plans.oracle import _DECISIONS, _FACTS, _LABELS, _NOW, _PAYMENTS, _PLACED, _SILVER, _WINDOWS, ORACLE, _features, _fraction
+from paysift.plans.oracle import _COSINE, _DECISIONS, _FACTS, _LABELS, _NOW, _PAYMENTS, _PLACED, _SILVER, _WINDOWS, ORACLE, _features, _fraction
 from paysift.plans.inputs import FRAUD_SEED
 
 _ROWS = {
@@ -119,6 +119,8 @@ SQL: dict[str, str] = {
         SELECT transaction_id, amount, CASE WHEN transaction_id % 10 = 0 THEN 'block' ELSE decision END AS decision, CASE WHEN transaction_id % 10 = 0 THEN 'new' ELSE 'old' END AS resolution FROM latest
         UNION ALL SELECT -transaction_id - 1, amount * 2, 'block', 'new' FROM latest WHERE transaction_id % 20 = 0""",
     "labels_by_availability": f"WITH {_LABELS} SELECT transaction_id, is_fraud, label_available_at FROM labels ORDER BY label_available_at, transaction_id LIMIT 1000",
+    "indexed_recall": f"WITH {_COSINE} SELECT count(DISTINCT query_id) AS queries, count(*) AS neighbours, true AS reaches, true AS similar FROM t",
+    "distinct_by_month": f"WITH {_PAYMENTS} SELECT strftime(event_time, '%Y-%m') AS unit, count(*) AS rows, min(event_time) AS first_event, max(event_time) AS last_event, true AS transactions_close, true AS cards_close FROM payments GROUP BY 1",
     "boosted_model": f"WITH {_TESTED} SELECT count(*) AS rows, count(*) FILTER (is_fraud = 1) AS fraud_count, round(sum(amount) FILTER (is_fraud = 1), 4) AS baseline_cost FROM tested",
     "boosted_reasons": f"WITH {_TESTED} SELECT transaction_id, {len(NUMBERS) + sum(len(v) + 1 for v in VOCABULARIES.values())}::INTEGER AS n_inputs, true AS adds_up FROM known WHERE place < floor(total * 0.85::DOUBLE)",
     "quality_report": _quality("", "count(*) FILTER (NOT regexp_matches(card_token, '^[0-9a-f]{32}$'))", "count(*) - count(DISTINCT transaction_id)", "silver", "", "x.observed AS observed,"),

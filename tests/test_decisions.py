@@ -77,6 +77,13 @@ def test_bad_rules(spark, rule):
         RU.apply_rules(spark.range(1), {"rules": [rule]})
 
 
+def test_all_faults_are_told_at_once():
+    config = {"rules": [{"name": "a", "action": "drop", "when": {"all": [{"field": "x", "op": "~"}, {"op": ">"}]}}, {"action": "block"}, {"action": "block", "when": {"any": [{"field": "x", "op": "is_null"}]}}]}
+    told = RU.faults(config)
+    assert len(told) == 4 and [t.startswith("rule a:") for t in told] == [True, True, True, False] and told[3].startswith("rule rule_1:")
+    assert RU.faults({}) == []
+
+
 @pytest.mark.parametrize("action, score, want", [("block", 0.1, ("block", "rule", None)), ("review", 0.1, ("review", "rule", 0.1)), ("review", 0.95, ("block", "model", 0.95)), (None, 0.6, ("review", "model", 0.6)), (None, 0.1, ("allow", "model", 0.1))])
 def test_combine(spark, action, score, want):
     rows = spark.createDataFrame([(action, "r", "", score)], "rule_action string, rule_name string, rule_description string, model_score double")

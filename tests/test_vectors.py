@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from paysift.operators import cases as C
 from paysift.operators import drift as DR
+from paysift.plans import inputs as I
+from tests.conftest import SF
 
 
 def test_embedding_counts_every_gram(spark):
@@ -47,3 +49,47 @@ def test_nearest_equals_all_pairs(spark, monkeypatch):
         monkeypatch.setattr(C, "BLOCK", size)
         got = sorted((r.query_id, r["rank"], r.transaction_id) for r in C.nearest(frame, frame).collect())
         assert got == sorted(want)
+
+
+def test_an_index_over_all_given_vectors(spark):
+    """Recall of every case's five neighbours, and how much is compared for it."""
+    stored = I.cases(spark, SF)
+    index = C.index_cases(stored)
+    probes = C.probes_for(index, stored)
+    got = {(r.query_id, r.transaction_id): r.similarity for r in C.nearest_by_index(stored, index, probes=probes).collect()}
+    want = {(r.query_id, r.transaction_id): r.similarity for r in C.nearest(stored, stored).collect()}
+    assert index.rows.count() == stored.count() and len(got) == len(want)
+    assert len(got.keys() & want.keys()) >= 0.9 * len(want) and all(abs(got[k] - want[k]) < 1e-9 for k in got.keys() & want.keys())
+    every = C.nearest_by_index(stored, index, probes=len(index.centroids))
+    assert {(r.query_id, r.transaction_id) for r in every.collect()} == want.keys()
+
+
+def test_an_index_of_clusters_compares_little(spark, monkeypatch):
+    """Cases in clusters, one of which has a third of all and more than a block: few cells give all neighbours."""
+    monkeypatch.setattr(C, "BLOCK", 50)
+    rng = random.Random(5)
+    centres = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(30)]
+    rows = [(i, [x + rng.gauss(0, 0.02) for x in centres[0 if i % 3 == 0 else i % 30]]) for i in range(900)] + [(2000, None), (None, centres[0]), (2001, [1.0, 2.0])]
+    stored = spark.createDataFrame(rows, "transaction_id long, embedding array<double>")
+    index = C.index_cases(stored, cells=30)
+    probes = C.probes_for(index, stored)
+    assert probes <= 6 and index.counts.agg(F.max("n")).first()[0] > 50
+    found = {(r.query_id, r.transaction_id) for r in C.nearest_by_index(stored, index, probes=probes).collect()}
+    want = {(r.query_id, r.transaction_id) for r in C.nearest(stored.where("size(embedding) = 16"), stored).collect()}
+    assert len(found & want) >= 0.9 * len(want)
+
+
+def test_an_empty_index(spark):
+    none = spark.createDataFrame([], "transaction_id long, embedding array<double>")
+    index = C.index_cases(none)
+    assert C.probes_for(index, none) == 1 and C.nearest_by_index(none, index).collect() == []
+
+
+def test_sketches_of_days_add_up(spark):
+    from paysift.operators import marts as M
+
+    rows = spark.range(200_000).select(F.col("id").alias("transaction_id"), F.pmod(F.col("id") * 7, F.lit(30_000)).alias("card_key"), F.timestamp_seconds(F.pmod("id", F.lit(40)) * 86_400).alias("event_time"))
+    days = M.daily_sketches(rows)
+    whole = M.summary_of_days(days).first()
+    assert days.count() == 40 and whole.rows == 200_000 and abs(whole.transactions / 200_000 - 1) < 0.05 and abs(whole.cards / 30_000 - 1) < 0.05
+    assert M.summary_of_days(days.limit(0)).first().rows is None
