@@ -116,6 +116,20 @@ def indexed_recall(spark: SparkSession, sf: str) -> DataFrame:
     return both.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("neighbours"), (F.avg(F.col("exact").isNotNull().cast("int")) >= 0.9).alias("reaches"), F.bool_and(F.coalesce(F.abs(F.col("exact") - F.col("similarity")) < 1e-6, F.lit(True))).alias("similar"))
 
 
+def embedder_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """What a search with each stored embedder, and one more, is told before it may start."""
+    stored = write_table(I.cases(spark, sf), "cases")
+    told = []
+    for name in (*[r.embedder for r in C.stored_embedders(stored).limit(10).collect()], "another"):
+        try:
+            C.check_embedder(stored.where(F.col("transaction_id") % 3 != 0), name)
+            told.append((name, True))
+        except ValueError:
+            told.append((name, False))
+    matches = spark.createDataFrame(told, "embedder string, may_search boolean")
+    return matches.join(stored.groupBy("embedder").agg(F.count("*").alias("cases")), "embedder", "left")
+
+
 def distinct_by_month(spark: SparkSession, sf: str) -> DataFrame:
     """Months from the sketches of their days, which are kept as a table, and whether their distinct counts are within 5 % of exact ones."""
     rows = I.payments(spark, sf)
@@ -156,7 +170,7 @@ def _flat(spark: SparkSession, sf: str) -> DataFrame:
 
 def full_matrix(spark: SparkSession, sf: str) -> DataFrame:
     """All columns of the model matrix, of flat payments whose map blocks hold some of them."""
-    rows = FE.add_card_features(S.payments_from_flat(_flat(spark, sf)), "card_key")
+    rows = FE.add_card_features_by_day(S.payments_from_flat(_flat(spark, sf)), "card_key")
     return MO.model_matrix(rows).select("transaction_id", *[F.round(c, 6).alias(c) if c in MO.NUMBERS and c != "card_amount_avg_lifetime" else F.round(F.col(c) + 1e-8, 6).alias(c) if c in MO.NUMBERS else F.col(c) for c in MO.COLUMNS])
 
 

@@ -121,6 +121,8 @@ SQL: dict[str, str] = {
     "labels_by_availability": f"WITH {_LABELS} SELECT transaction_id, is_fraud, label_available_at FROM labels ORDER BY label_available_at, transaction_id LIMIT 1000",
     "indexed_recall": f"WITH {_COSINE} SELECT count(DISTINCT query_id) AS queries, count(*) AS neighbours, true AS reaches, true AS similar FROM t",
     "distinct_by_month": f"WITH {_PAYMENTS} SELECT strftime(event_time, '%Y-%m') AS unit, count(*) AS rows, min(event_time) AS first_event, max(event_time) AS last_event, true AS transactions_close, true AS cards_close FROM payments GROUP BY 1",
+    "embedder_checks": """WITH c AS (SELECT vec_id, 'given-' || (label % 3) AS embedder FROM embeddings), n AS (SELECT DISTINCT embedder FROM c UNION ALL SELECT 'another')
+        SELECT n.embedder, NOT EXISTS (SELECT 1 FROM c WHERE vec_id % 3 <> 0 AND c.embedder <> n.embedder) AS may_search, (SELECT nullif(count(*), 0) FROM c WHERE c.embedder = n.embedder) AS cases FROM n""",
     "boosted_model": f"WITH {_TESTED} SELECT count(*) AS rows, count(*) FILTER (is_fraud = 1) AS fraud_count, round(sum(amount) FILTER (is_fraud = 1), 4) AS baseline_cost FROM tested",
     "boosted_reasons": f"WITH {_TESTED} SELECT transaction_id, {len(NUMBERS) + sum(len(v) + 1 for v in VOCABULARIES.values())}::INTEGER AS n_inputs, true AS adds_up FROM known WHERE place < floor(total * 0.85::DOUBLE)",
     "quality_report": _quality("", "count(*) FILTER (NOT regexp_matches(card_token, '^[0-9a-f]{32}$'))", "count(*) - count(DISTINCT transaction_id)", "silver", "", "x.observed AS observed,"),
