@@ -18,7 +18,12 @@ from paysift.llm.substring import dedup_substrings
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go. The labels outside the held-out fold are learned from."""
+    """Rejected documents go. The labels outside the held-out fold are learned from.
+
+    Null and empty texts are scored as any other, by what the model makes of no words. Rows are judged one by one, so repeated rows,
+    or rows without an id, go or stay each by its text; columns beyond those of documents stay, whatever their names.
+    Without labels nothing is rejected; no rows give no rows.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model, carry=docs.columns).where("predicted = 0")
     return scored.select(*[F.col(f"c_{i}").alias(c) for i, c in enumerate(docs.columns)])
@@ -27,19 +32,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of linked documents the one with the smallest id stays; of repeated rows of an id, one.
 
-    Rows without an id can't be told apart and stay.
+    Rows without an id can't be told apart and stay; null and empty texts have one fingerprint and are one group. Of repeated rows of an
+    id that with the smallest text stays, null last. Other columns stay, whatever their names; no rows give no rows.
     """
     found = write_table(near_duplicates(docs).select("doc_id", "component_id"), "components")
     kept = docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
     repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not repeated.isEmpty():
         row = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.asc_nulls_last("text")))
-        kept = kept.withColumn("_row", row).where("_row = 1 OR doc_id IS NULL").drop("_row")
+        place = "_" * (1 + max(map(len, kept.columns)))  # no column has this name
+        kept = kept.withColumn(place, row).where((F.col(place) == 1) | F.col("doc_id").isNull()).drop(place)
     return kept.select(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated windows are cut; a text that loses words becomes its kept words. No document goes."""
+    """Repeated windows are cut; a text that loses words becomes its kept words. No document goes.
+
+    Null texts stay null and short ones as they are. A null id counts as the largest; rows that share an id don't cut each other, so
+    repeated rows stay equal. Other columns stay, whatever their names; no rows give no rows.
+    """
     cut = dedup_substrings(docs, carry=docs.columns)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     changed = cut.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
@@ -47,7 +58,11 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go.
+
+    Null and empty texts hold none and stay; rows equal in id and text go together. Without items nothing goes. Other columns stay,
+    whatever their names; no rows give no rows.
+    """
     hit = matches(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select("id", "key").distinct()
     key = F.xxhash64(F.coalesce(docs.text, F.lit("")))
     return docs.join(hit, docs.doc_id.eqNullSafe(hit.id) & (key == hit.key), "left_anti").select(*docs.columns)
