@@ -51,10 +51,11 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Null texts stay null and short ones as they are. A null id counts as the largest; rows that share an id don't cut each other, so
     repeated rows stay equal. Other columns stay, whatever their names; no rows give no rows.
     """
-    cut = dedup_substrings(docs, carry=docs.columns)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    changed = cut.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return changed.select(*docs.columns)
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # no name of the operator's own
+    cut = dedup_substrings(docs.select(*[F.col(c).alias(n) for c, n in names.items()]), id_col=names["doc_id"], text_col=names["text"], carry=list(names.values()))
+    loses = F.col("n_removed") > 0
+    new = {"text": F.when(loses, F.col("kept_text")), "n_chars": F.when(loses, F.char_length("kept_text").cast("long"))}
+    return cut.select(*[(F.coalesce(new[c], F.col(n)) if c in new else F.col(n)).alias(c) for c, n in names.items()])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
