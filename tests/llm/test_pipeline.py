@@ -56,6 +56,17 @@ def test_stages_keep_columns(spark, docs):
     assert corpus_pipeline.STAGES[-1][1](spark, frame, SF).count() >= 1
 
 
+def test_columns_of_any_name_stay(spark, docs):
+    frame = docs((1, "a b c"), (1, "d e f"), (None, "g h i"), (4, "plain words here"))
+    for name in ("_row", "_", "__", "component_id ", "n_hit", "key", "count", "kept_text", "predicted"):
+        frame = frame.withColumn(name, frame.score)
+    want = frame.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        frame = stage(spark, frame, SF)
+        assert frame.columns == want and {tuple(r)[-9:] for r in frame.collect()} == {("x",) * 9}
+    assert frame.count() == 3
+
+
 def test_stages_take_nothing(spark, docs):
     frame = docs((1, "a")).where("false")
     for _, stage in corpus_pipeline.STAGES:
