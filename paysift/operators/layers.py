@@ -8,12 +8,20 @@ from pyspark.sql import functions as F
 from paysift.functions.payments import card_token
 from paysift.operators.features import FEATURES, add_card_features, add_card_features_by_day
 
-SILVER = (
-    "transaction_id event_time event_date transaction_dt card_token amount product_cd card3 card4 card5 card6 dist1 dist2 p_emaildomain r_emaildomain "
-    "counts deltas match_flags vesta identity_numeric identity_categorical device_type device_info ingested_at"
-).split()
-PASSTHROUGH = "product_cd card3 card4 card5 card6 dist1 dist2 p_emaildomain r_emaildomain device_type".split()
-KEYS = "transaction_id event_time event_date transaction_dt card_token".split()
+#: The columns of silver, and of gold besides its features.
+SILVER = [
+    "transaction_id", "event_time", "event_date", "transaction_dt", "card_token", "amount",
+    "product_cd", "card3", "card4", "card5", "card6", "dist1",
+    "dist2", "p_emaildomain", "r_emaildomain", "counts", "deltas", "match_flags",
+    "vesta", "identity_numeric", "identity_categorical", "device_type", "device_info", "ingested_at",
+]
+PASSTHROUGH = [
+    "product_cd", "card3", "card4", "card5", "card6", "dist1",
+    "dist2", "p_emaildomain", "r_emaildomain", "device_type",
+]
+KEYS = [
+    "transaction_id", "event_time", "event_date", "transaction_dt", "card_token",
+]
 
 
 def first_arrivals(bronze: DataFrame) -> DataFrame:

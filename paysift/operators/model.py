@@ -16,10 +16,12 @@ from paysift.schemas import COUNTS, DELTAS
 
 OTHER, MISSING = "other", "missing"
 #: Category vocabularies.
-DOMAINS = (
-    "gmail.com yahoo.com hotmail.com anonymous.com aol.com comcast.net icloud.com outlook.com msn.com att.net live.com verizon.net sbcglobal.net ymail.com bellsouth.net cox.net me.com "
-    "optonline.net charter.net mail.com"
-).split()
+DOMAINS = [
+    "gmail.com", "yahoo.com", "hotmail.com", "anonymous.com", "aol.com", "comcast.net",
+    "icloud.com", "outlook.com", "msn.com", "att.net", "live.com", "verizon.net",
+    "sbcglobal.net", "ymail.com", "bellsouth.net", "cox.net", "me.com", "optonline.net",
+    "charter.net", "mail.com",
+]
 VOCABULARIES = {
     "product_cd": ["W", "C", "R", "H", "S"],
     "card4": ["visa", "mastercard", "american express", "discover"],

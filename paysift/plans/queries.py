@@ -267,7 +267,7 @@ _RULES = {"rules": [
 
 
 def _ruled(spark: SparkSession, sf: str) -> DataFrame:
-    return RU.apply_rules(FE.add_card_features(I.payments(spark, sf), "card_key"), _RULES)
+    return RU.apply_rules(FE.add_card_features_by_day(I.payments(spark, sf), "card_key"), _RULES)
 
 
 def rules(spark: SparkSession, sf: str) -> DataFrame:

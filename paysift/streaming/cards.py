@@ -131,16 +131,20 @@ class CardProcessor(StatefulProcessor):
             held = None
         if held is None:
             return CardMemory(self.tracked)
-        n, total, last, _, device_place, domain_place = held
+        n, total, last, until, device_place, domain_place = held
         seconds = [tuple(s) for (hour,) in list(self.hours.values()) for s in hour]
         devices, domains = ([(k[0], v[0]) for k, v in list(state.iterator())] for state in (self.devices, self.domains))
-        return CardMemory(self.tracked, n, total, last, seconds, Seen(self.tracked, devices, device_place), Seen(self.tracked, domains, domain_place))
+        memory = CardMemory(self.tracked, n, total, last, seconds, Seen(self.tracked, devices, device_place), Seen(self.tracked, domains, domain_place))
+        memory.until = until
+        return memory
 
     def _save(self, memory: CardMemory, now: int | None) -> None:
         """Writes what has changed, and removes the hours that are a day behind."""
         until = None
         if now is not None:
             until = now + self.ttl
+            if memory.until is not None and memory.until != until:
+                self.handle.deleteTimer(memory.until)
             self.handle.registerTimer(until)
         self.card.update((memory.n, memory.total, memory.last, until, memory.devices.place, memory.domains.place))
         oldest = (memory.last - DAY) // HOUR

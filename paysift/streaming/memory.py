@@ -96,6 +96,7 @@ class CardMemory:
         self.n, self.total, self.last = n, total, last
         self.day, self.devices, self.domains = Day(seconds), devices or Seen(tracked), domains or Seen(tracked)
         self.hours: set[int] = set()
+        self.until: int | None = None  # when the clock forgets what was read
 
     def features(self, p: Payment) -> tuple[float, ...]:
         """FEATURES of a payment before it is folded in. Windows end with the payment, so what came early counts for
