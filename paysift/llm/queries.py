@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +75,8 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # here, so that the other queries don't need the vocabulary files
+
     encoding = Encoding.from_file(public_tokenizers.path("word_bpe_49k.json"), end_id=1, by_words=True)
     found = read_tokens(write_tokens(table(spark, sf_dir, "documents"), encoding))
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
