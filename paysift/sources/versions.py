@@ -7,12 +7,13 @@ import uuid
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
 from paysift.operators import quality as Q
 from paysift.operators.cases import CASE_UPDATES, upsert
+from paysift.storage import write_table
 
 MANIFEST, LAYOUT = "_versions", "_layout.json"
 
@@ -56,27 +57,24 @@ def versions(spark: SparkSession, path: str) -> list[dict[str, Any]]:
 def publish(rows: DataFrame, path: str, suite: Sequence[Q.Expect] = (), partition_by: str | None = None, skip: bool = False) -> dict[str, Any]:
     """Replaces a table by rows, if they meet the suite, and returns the new version.
 
-    The rows are written once, to a folder of their own, and counted for the suite as they pass; only unique columns are read back,
-    from what was written. Then one small file makes the folder the current version. Until then, and if the suite is not
+    The rows are computed once, as they are written to a folder of their own; the suite is counted over what was written, of which only
+    its columns are read. Then one small file makes the folder the current version. Until then, and if the suite is not
     met (an error names what is not), readers have the version before, so rows may come from the table itself and have other
     columns. Of two runs at once the later one to end is refused. With skip the suite is counted and noted, and nothing is refused.
     """
     spark = rows.sparkSession
     before = versions(spark, path)
     number, folder = (before[-1]["number"] + 1 if before else 1), f"v-{uuid.uuid4().hex}"
-    seen = Observation()
-    counted = rows.observe(seen, *Q.measures(suite, rows.columns))
-    writer = counted.write
+    writer = rows.write
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{path}/{folder}")
-    totals = spark.createDataFrame([tuple(seen.get.values())], ", ".join(f"`{k}` long" for k in seen.get))
     written = spark.read.schema(rows.schema).parquet(f"{path}/{folder}")
-    repeated = Q.repeats(written, suite)
-    found = Q.report(totals if repeated is None else totals.crossJoin(F.broadcast(repeated)), suite, rows.columns) if suite else None  # one row each
-    failures = list(Q.suite_result(found).first()["failures"]) if found is not None else []
+    totals, repeated = written.agg(*Q.measures(suite, rows.columns)), Q.repeats(written, suite)
+    totals = write_table(totals if repeated is None else totals.crossJoin(F.broadcast(repeated)), "gate")  # one row each
+    failures = list(Q.suite_result(Q.report(totals, suite, rows.columns)).first()["failures"]) if suite else []
     if failures and not skip:
         _remove(spark, f"{path}/{folder}")
         raise ValueError(f"the table does not meet {', '.join(failures)}")
-    version = {"number": number, "folder": folder, "rows": seen.get["n"], "failures": failures, "schema": rows.schema.jsonValue()}
+    version = {"number": number, "folder": folder, "rows": totals.first()["n"], "failures": failures, "schema": rows.schema.jsonValue()}
     _create(spark, f"{path}/{MANIFEST}/{number:08d}.json", version)
     return version
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterable, Iterator
+from itertools import chain
 from typing import Any
 
 import pandas as pd
@@ -50,12 +51,17 @@ class CardProcessor(StatefulProcessor):
         self.domains = handle.getMapState("domains", "value string", "place long")
         self.runs = handle.getMapState("runs", "slot long", "blocks array<int>")
         self.blocks = handle.getMapState("blocks", "slot long, run int, block int", _WAITING)
+        self.due = handle.getValueState("due", "slot long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentProcessingTimeInMs() if self.ttl else None
         if self.slot is not None:
-            for frame in rows:
-                self._wait(_payments(frame), self.slot)
+            earliest = min(self._wait(_payments(frame), self.slot) for frame in rows)
+            held = self.due.get()
+            if held is None or earliest < held[0]:
+                if held is not None:
+                    self.handle.deleteTimer(self._end(held[0]))
+                self._next(earliest)
             return
         first = next(rows)
         second = next(rows, None)
@@ -75,15 +81,27 @@ class CardProcessor(StatefulProcessor):
                 self._clear()
             return
         passed = timerValues.getCurrentWatermarkInMs()
-        for slot in sorted(k[0] for k in list(self.runs.keys())):
-            if (slot + 1) * self.slot * 1000 <= passed:
-                yield from self._folded(self._merged(slot), None)
+        slots = sorted(k[0] for k in list(self.runs.keys()))
+        over = [slot for slot in slots if self._end(slot) <= passed]
+        if over:
+            yield from self._folded(chain.from_iterable(self._merged(slot) for slot in over), None)
+        self.due.clear()
+        if len(over) < len(slots):
+            self._next(slots[len(over)])
 
     def close(self) -> None:
         pass
 
-    def _wait(self, payments: list[Payment], slot_seconds: int | None = None) -> None:
-        """Puts payments that are in order into the blocks of their slots, as a run of each slot."""
+    def _end(self, slot: int) -> int:
+        return (slot + 1) * self.slot * 1000
+
+    def _next(self, slot: int) -> None:
+        """A card has one timer: that of the first slot that waits."""
+        self.due.update((slot,))
+        self.handle.registerTimer(self._end(slot))
+
+    def _wait(self, payments: list[Payment], slot_seconds: int | None = None) -> int:
+        """Puts payments that are in order into the blocks of their slots, as a run of each slot, and gives the first slot."""
         by_slot: dict[int, list[Payment]] = {}
         for p in payments:
             by_slot.setdefault(p.second // slot_seconds if slot_seconds else 0, []).append(p)
@@ -93,8 +111,7 @@ class CardProcessor(StatefulProcessor):
             for block, at in enumerate(range(0, len(waiting), BLOCK)):
                 self.blocks.updateValue((slot, len(runs), block), ([tuple(p) for p in waiting[at : at + BLOCK]],))
             self.runs.updateValue((slot,), ([*runs, -(-len(waiting) // BLOCK)],))
-            if slot_seconds and not runs:
-                self.handle.registerTimer((slot + 1) * slot_seconds * 1000)
+        return min(by_slot)
 
     def _run(self, slot: int, run: int, blocks: int) -> Iterator[Payment]:
         for block in range(blocks):
