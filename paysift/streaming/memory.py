@@ -98,16 +98,23 @@ class CardMemory:
         self.hours: set[int] = set()
         self.until: int | None = None  # when the clock forgets what was read
 
-    def features(self, p: Payment) -> tuple[float, ...]:
-        """FEATURES of a payment before it is folded in. Windows end with the payment, so what came early counts for
-        nothing and a late payment still finds its own."""
+    def around(self, second: int, n: int, amount: float) -> tuple[list[float], float]:
+        """Payments of the 10 minutes, hour and day that end with a second, and the day's amount: what is kept, and n payments of that
+        second that are about to be folded in."""
+        kept = [self.day.within(second, span) for span in (600, HOUR, DAY)]
+        return [float(k + n) for k, _ in kept], kept[-1][1] + amount
+
+    def features(self, p: Payment, windows: tuple[list[float], float] | None = None) -> tuple[float, ...]:
+        """FEATURES of a payment before it is folded in. Windows end with the payment's second, so what came early counts for
+        nothing and a late payment still finds its own. `windows` are those of around() with all payments of the second; without
+        them the payment is the only one that comes."""
+        counts, amount = windows or self.around(p.second, 1, p.amount)
         mean = self.total / self.n if self.n else 0.0
         hour = p.second % DAY // HOUR
-        counts = [float(1 + self.day.within(p.second, span)[0]) for span in (600, HOUR, DAY)]
         old = self.n > 0
         return (
             p.amount, math.log1p(max(p.amount, 0.0)), float(hour), float((p.second // DAY + 3) % 7), float(hour < 6), float(p.identity), *counts,
-            p.amount + self.day.within(p.second, DAY)[1], NO_HISTORY if self.last is None else float(max(0, p.second - self.last)), mean, p.amount / mean if mean > 0 else 1.0,
+            amount, NO_HISTORY if self.last is None else float(max(0, p.second - self.last)), mean, p.amount / mean if mean > 0 else 1.0,
             float(self.n), float(not old), old * self.devices.is_new(p.device), old * self.domains.is_new(p.domain), float(len(self.devices.known)),
         )
 

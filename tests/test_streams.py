@@ -275,3 +275,33 @@ def test_default_state_of_a_stream(spark):
     check(got, [tuple(r) for r in given])
     batch = {r.transaction_id: r for r in add_card_features(I.payments(spark, SF), "card_key").collect()}
     assert sum(r.card_new_email_domain != batch[r.transaction_id].card_new_email_domain for r in got) > 0
+
+
+@pytest.mark.parametrize("lateness", [None, "1 hour"])
+def test_payments_of_one_second_are_in_each_other_s_windows(spark, tmp_path, lateness):
+    """As in the batch windows, whichever of them comes first."""
+    rows = [(i, 1000 * (i // 5 + 1) + i % 5 // 2, f"c{i % 2}", float(i + 1), "d", None) for i in range(40)]
+    land(spark, tmp_path / "in", 0, rows)
+    if lateness:
+        land(spark, tmp_path / "in", 1, [(99, 10**7, "closing", 1.0, None, None)])
+    for _ in range(2):  # the watermark moves after a batch
+        found = cards.stream_features(stream_of(spark, tmp_path / "in"), ttl_hours=None, lateness=lateness, slot_seconds=600)
+        ST._run(found, str(tmp_path / "out"), str(tmp_path / "state"))
+    got = {r.transaction_id: r for r in spark.read.parquet(str(tmp_path / "out")).where("transaction_id < 99").collect()}
+    want = add_card_features(spark.read.schema(PAYMENTS).parquet(f"{tmp_path}/in/0"), "card_key").collect()
+    assert set(got) == {r.transaction_id for r in want} and max(r.card_txn_count_10m for r in want) > 1
+    assert all(abs(got[r.transaction_id][f] - r[f]) < 1e-6 for r in want for f in FEATURES)
+
+
+def test_seconds_of_a_card_that_comes_in_many_frames(spark, tmp_path):
+    """Three payments a second, which wait in more blocks than are held at once."""
+    n = 30_000
+    rows = spark.range(n).select(
+        F.col("id").alias("transaction_id"), F.timestamp_seconds(F.floor(F.col("id") / 3)).alias("event_time"), F.lit("one").alias("card_key"), F.lit(2.0).alias("amount"), F.lit("d").alias("device_info"), F.lit(None).cast("string").alias("r_emaildomain"),
+    )
+    rows.orderBy(F.xxhash64("transaction_id")).write.parquet(str(tmp_path / "in/0"))
+    ST._run(cards.stream_features(stream_of(spark, tmp_path / "in"), ttl_hours=None), str(tmp_path / "out"), str(tmp_path / "state"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    second = F.floor(F.col("transaction_id") / 3)
+    right = got.where((F.col("card_txn_count_10m") == 3 * F.least(second + 1, F.lit(601))) & (F.col("card_amount_sum_24h") == 6 * (second + 1)) & (F.col("card_txn_count_lifetime") == F.col("transaction_id")))
+    assert got.count() == right.count() == n
