@@ -133,3 +133,38 @@ def test_it_refuses_one_class(spark):
         BO.fit(frame(spark, [(1.0, 1.0, 1.0, 1.0, 0)] * 5), frame(spark, planted(1, 20)), names=NAMES)
     with pytest.raises(ValueError, match="bins"):
         BO.fit(frame(spark, planted(1, 20)), frame(spark, planted(1, 20)), BO.Settings(bins=2), names=NAMES)
+
+
+def test_a_pass_follows_few_trees_over_the_inputs_that_vary(spark, monkeypatch):
+    """Trees that the stored margins have are not followed again, inputs with one value are not counted, and the model is the same."""
+    rows = [(*r[:3], 1.0, r[4]) for r in planted(6)]
+    data, s, grow, found = frame(spark, rows), BO.Settings(rounds=5, depth=2, bins=8, patience=9), BO.grow, []
+    for carry in (2, 100):
+        passes = []
+        monkeypatch.setattr(BO, "CARRY", carry)
+        monkeypatch.setattr(BO, "grow", lambda rows, model, s: passes.append((len(model.trees), model.names)) or grow(rows, model, s))
+        found.append(BO.fit(data, data, s, names=NAMES))
+        assert [t for t, _ in passes] == ([0, 1, 0, 1, 0] if carry == 2 else [0, 1, 2, 3, 4]) and all(n == ["a", "b", "c"] for _, n in passes)
+    (one, figures), (two, others) = found
+    assert figures == others and len(one.trees) == len(two.trees) > 0 and one.names == NAMES
+    assert all((a.value == b.value).all() and (a.feature == b.feature).all() for a, b in zip(one.trees, two.trees))
+
+
+def test_fits_go_over_stored_rows(spark, monkeypatch):
+    """No pass of a fit computes the windows over all payments again."""
+    from paysift.operators import model as MO
+    from paysift.plans import queries as B
+    from tests.conftest import SF
+
+    class Seen(Exception):
+        pass
+
+    def look(matrix, *_, **__):
+        raise Seen("Window" in matrix._jdf.queryExecution().toString())
+
+    monkeypatch.setattr(MO, "fit", look)
+    monkeypatch.setattr(BO, "fit", look)
+    for query in (B.explained_decisions, B.trained_model, B.boosted_model, B.boosted_reasons):
+        with pytest.raises(Seen) as told:
+            query(spark, SF)
+        assert told.value.args == (False,)
