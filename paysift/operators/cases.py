@@ -6,10 +6,10 @@ import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from paysift.functions.payments import agreed, amount_band, let
 from paysift.storage import write_table
@@ -19,6 +19,8 @@ DIMENSIONS, NGRAM = 384, 4
 BLOCK, QUERY_BLOCK = 8192, 256
 #: Cells of an index at most.
 CELLS = 4096
+#: Similarities of cases and centroids that a task holds at once.
+SCORES = 1 << 20
 #: What an upsert of a case replaces; the rest keeps its old value.
 CASE_UPDATES = ("decision", "is_fraud", "confirmed_at", "resolution", "description", "facts", "embedding", "embedder")
 REVIEW_UPDATES = ("reviewed_at", "analyst", "verdict", "note")
@@ -96,7 +98,9 @@ def _best(pairs: DataFrame, k: int, key: str) -> DataFrame:
             for q_keys, q_v, c_keys, c_v in zip(*[batch.column(i) for i in range(4)]):
                 q_keys, c_keys = q_keys.values, c_keys.values
                 q_k, c_k = q_keys.to_numpy(zero_copy_only=False), c_keys.to_numpy(zero_copy_only=False)
-                scores = np.round(q_v.values.to_numpy().reshape(len(q_k), -1) @ c_v.values.to_numpy().reshape(len(c_k), -1).T, 9) + 0.0
+                scores = q_v.values.to_numpy().reshape(len(q_k), -1) @ c_v.values.to_numpy().reshape(len(c_k), -1).T
+                np.round(scores, 9, out=scores)
+                scores += 0.0
                 scores[q_k[:, None] == c_k[None, :]] = -np.inf
                 at = max(0, len(c_k) - k)
                 row, column = np.nonzero(scores >= np.partition(scores, at, axis=1)[:, at, None])
@@ -133,17 +137,21 @@ class CaseIndex:
 
 
 def _cells(rows: DataFrame, centroids: np.ndarray, n: int) -> DataFrame:
-    """rows (k, v, dims) with each of its n nearest cells."""
-    shared = rows.sparkSession.sparkContext.broadcast(centroids)
+    """rows (k, v, dims) with each of its n nearest cells. A task compares so many rows at once that it holds SCORES similarities,
+    however many cells there are."""
+    shared, at, step = rows.sparkSession.sparkContext.broadcast(centroids), rows.columns.index("v"), max(1, SCORES // len(centroids))
 
-    @F.pandas_udf("array<int>")
-    def near(v: pd.Series) -> pd.Series:
-        if not len(v):
-            return pd.Series([], dtype=object)
-        scores = np.round(np.stack(v.to_numpy()) @ shared.value.T, 9)
-        return pd.Series(list(np.argsort(-scores, axis=1, kind="stable")[:, :n].astype(np.int32)))
-
-    return rows.select("*", F.posexplode(near("v")).alias("place", "cell"))
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, step):
+                part = batch.slice(first, step)
+                scores = np.round(part.column(at).flatten().to_numpy().reshape(part.num_rows, -1) @ shared.value.T, 9)
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :n].astype(np.int32)
+                lists = pa.ListArray.from_arrays(np.arange(0, best.size + 1, best.shape[1], dtype=np.int32), best.ravel())
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*batch.schema.names, "near"])
+
+    found = rows.mapInArrow(near, StructType([*rows.schema, StructField("near", ArrayType(IntegerType()))]))
+    return found.select(*rows.columns, F.posexplode("near").alias("place", "cell"))
 
 
 def index_cases(cases: DataFrame, cells: int | None = None, sample: int = 20_000, turns: int = 10, key: str = "transaction_id", vector: str = "embedding") -> CaseIndex:

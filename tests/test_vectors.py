@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from paysift.operators import cases as C
@@ -79,6 +80,24 @@ def test_an_index_of_clusters_compares_little(spark, monkeypatch):
     assert len(found & want) >= 0.9 * len(want)
 
 
+def test_cells_are_compared_a_few_rows_at_once(spark, monkeypatch):
+    """However many cells there are, a task holds SCORES similarities, and each row finds the same cells."""
+    rng, sizes = np.random.default_rng(2), spark.sparkContext.accumulator(0)
+    centroids, vectors = rng.normal(size=(40, 8)), rng.normal(size=(300, 8))
+    rows = spark.createDataFrame([(i, v.tolist(), 8) for i, v in enumerate(vectors)], "k long, v array<double>, dims int").coalesce(1)
+    monkeypatch.setattr(C, "SCORES", 1000)
+
+    def batches(given):
+        for batch in given:
+            sizes.add(batch.num_rows > 25)
+            yield batch
+
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda df, run, kind, old=type(rows).mapInArrow: old(df, lambda given: batches(run(given)), kind))
+    got = C._cells(rows, centroids, 3).collect()
+    want = np.argsort(-np.round(vectors @ centroids.T, 9), axis=1, kind="stable")[:, :3]
+    assert len(got) == 900 and all(want[r.k][r.place] == r.cell for r in got) and sizes.value == 0
+
+
 def test_an_empty_index(spark):
     none = spark.createDataFrame([], "transaction_id long, embedding array<double>")
     index = C.index_cases(none)
