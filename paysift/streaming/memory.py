@@ -63,6 +63,12 @@ class Day:
         """The kept seconds of an hour."""
         low = max(self.first, bisect_left(self.seconds, hour * HOUR))
         high = max(low, bisect_left(self.seconds, (hour + 1) * HOUR))
+        return self._between(low, high)
+
+    def kept(self) -> list[Second]:
+        return self._between(self.first, len(self.seconds))
+
+    def _between(self, low: int, high: int) -> list[Second]:
         return [(self.seconds[i], self.counts[i + 1] - self.counts[i], self.amounts[i + 1] - self.amounts[i]) for i in range(low, high)]
 
 
@@ -93,11 +99,23 @@ class CardMemory:
     """A card's past, and which parts of it a run of payments has changed."""
 
     def __init__(self, tracked: int, n: int = 0, total: float = 0.0, last: int | None = None, seconds: Iterable[Second] = (), devices: Seen | None = None, domains: Seen | None = None) -> None:
-        self.n, self.total, self.last = n, total, last
+        self.tracked, self.n, self.total, self.last = tracked, n, total, last
         self.day, self.devices, self.domains = Day(seconds), devices or Seen(tracked), domains or Seen(tracked)
         self.hours: set[int] = set()
         self.until: int | None = None  # when the clock forgets what was read
 
+    @classmethod
+    def from_parts(cls, tracked: int, n: int, total: float, last: int | None, seconds: list, devices: list, domains: list) -> CardMemory:
+        """The memory that parts() gave."""
+        return cls(tracked, n, total, last, seconds, *(Seen(tracked, known, place) for place, known in (devices, domains)))
+
+    def parts(self) -> tuple:
+        """All of the memory as plain values: at most a day of seconds, and the known devices and domains."""
+        return self.n, self.total, self.last, self.day.kept(), *((s.place, list(s.known.items())) for s in (self.devices, self.domains))
+
+    def clear(self) -> None:
+        self.__init__(self.tracked)
+
     def around(self, second: int, n: int, amount: float) -> tuple[list[float], float]:
         """Payments of the 10 minutes, hour and day that end with a second, and the day's amount: what is kept, and n payments of that
         second that are about to be folded in."""
